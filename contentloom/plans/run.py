@@ -9,7 +9,7 @@ from contentloom.operators.items import finish_items
 from contentloom.operators.routing import Routes
 from contentloom.plans.sites import linkedin_items, substack_items
 from contentloom.plans.website import Crawl, website_items
-from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items
+from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items, with_run
 from contentloom.sources.drive import drive_items, first_names, listing_links
 from contentloom.sources.files import book_items, generic_items, transcript_items
 from contentloom.sources.pages import one_per_key, page_nodes
@@ -42,17 +42,17 @@ class Store:
 
 
 def _file_items(sources: DataFrame, texts: DataFrame, make, key: str) -> DataFrame:
-    items = skew_join(sources.select("source_id", F.col("source").alias(key)), make(texts), key)
+    items = skew_join(sources.select("source_id", "run", F.col("source").alias(key)), make(texts), key)
     return items.withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))
 
 
 def _drive(sources: DataFrame, store: Store) -> DataFrame:
-    own = sources.select("source_id", url_key(F.col("source")).alias("url_key"))
+    own = sources.select("source_id", "run", url_key(F.col("source")).alias("url_key"))
     listings = page_nodes(one_per_key(store.pages.join(own, "url_key", "left_semi")), "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
     links = first_names(listing_links(listings), ["url_key"])
     books = drive_items(links, store.drive_pages)
-    return own.join(books, "url_key")
+    return skew_join(own, books, "url_key")
 
 
 def route_items(routed: DataFrame, store: Store, routes: Routes, unescape: bool = True) -> DataFrame:
@@ -72,6 +72,7 @@ def route_items(routed: DataFrame, store: Store, routes: Routes, unescape: bool
     }
     parts = []
     for route in routes.routes:
+        # A registered extractor gets its sources and hands on their source_id and run.
         there, build = (True, route.extract) if route.extract else builders[route.name]
         if there:
             parts.append(check_items(build(routed.where(F.col("route") == route.name).drop("route"))))
@@ -80,16 +81,11 @@ def route_items(routed: DataFrame, store: Store, routes: Routes, unescape: bool
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """Items beside the settings of their run."""
-    settings = sources.select("source_id", "source", "is_file", "team_id", "force_content_type", "max_items")
-    return skew_join(items, settings, "source_id", spread=F.xxhash64("page_seq", "item_seq"))
-
-
 def extract(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:
-    """All items found, before limit and filter, with the columns of their source row."""
+    """All items found, before limit and filter, with the settings of their run."""
     routes = routes or Routes()
-    return with_sources(route_items(routes.apply(sources), store, routes, unescape), sources)
+    items = route_items(routes.apply(with_run(sources)), store, routes, unescape)
+    return items.select(*POSITION_FIELDS, "run.*", *ITEM_FIELDS)
 
 
 def run(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from contentloom.schemas import item_columns
 
 
 def _own_pages(sources: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
-    own = sources.select("source_id", F.col("source").alias("url"), url_key(F.col("source")).alias("url_key"))
+    own = sources.select("source_id", "run", F.col("source").alias("url"), url_key(F.col("source")).alias("url_key"))
     return fetch(own, facts, *columns).where("fetched")
 
 
@@ -16,6 +16,7 @@ def _one_item(pages: DataFrame, content: str, content_type: str) -> DataFrame:
     title = F.coalesce("document_title", "url")
     return pages.where(F.col(content).isNotNull()).select(
         "source_id",
+        "run",
         F.lit(0).alias("page_seq"),
         F.lit(0).alias("item_seq"),
         *item_columns(title, F.col(content), content_type, F.col("url")),

@@ -24,8 +24,8 @@ class Crawl:
 def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tuple[DataFrame, DataFrame]:
     """Items and rejects. ``dedup`` keeps an article once where nested posts name it twice."""
     facts = crawl.facts
-    keys = ["source_id", "page_seq", "url", "url_key"]
-    links = stage(discover(sources.select("source_id", "source"), facts).select(*keys), "links")
+    keys = ["source_id", "run", "page_seq", "url", "url_key"]
+    links = stage(discover(sources.select("source_id", "source", "run"), facts).select(*keys), "links")
     wanted = ("n_containers", "hub_links", "rendered_links", "page_title", "main")
     pages = fetch(links, facts, *wanted)
     has_links, has_posts = F.size("hub_links") > 0, F.col("n_containers") > 0
@@ -34,7 +34,7 @@ def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tupl
     # Hubs and pages with unlinked posts lead to further pages; the rest are articles.
     hop = F.when(has_links, F.col("hub_links")).otherwise(F.col("rendered_links"))
     onward = read.where(has_posts).select(
-        "source_id", "page_seq", has_links.alias("from_hub"), F.array_distinct(hop).alias("next")
+        "source_id", "run", "page_seq", has_links.alias("from_hub"), F.array_distinct(hop).alias("next")
         if dedup else hop.alias("next"),
     )
     onward = stage(explode_links(onward, "next"), "onward-links")
@@ -42,7 +42,7 @@ def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tupl
     hub = F.col("from_hub")
     found = articles.where(F.col("fetched"))
     usable = hub | (F.col("h1").isNotNull() & F.col("main").isNotNull())
-    place = ["source_id", "page_seq", "item_seq"]
+    place = ["source_id", "run", "page_seq", "item_seq"]
     linked_items = found.where(usable).select(
         *place,
         *item_columns(
@@ -55,6 +55,7 @@ def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tupl
     single = read.where(~has_posts)
     page_items = single.where(F.col("main").isNotNull()).select(
         "source_id",
+        "run",
         "page_seq",
         F.lit(0).alias("item_seq"),
         *item_columns(F.col("page_title"), F.col("main"), "blog", F.col("url")),

@@ -53,13 +53,23 @@ def item_columns(
     ]
 
 
+# What the tail of a run needs to know of the source. It travels with links and items as one
+# column, so that no item has to be joined back to its source.
+RUN_FIELDS = ("source", "is_file", "team_id", "force_content_type", "max_items")
+
+
+def with_run(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("run", F.struct(*RUN_FIELDS))
+
+
 def check_items(items: DataFrame) -> DataFrame:
-    """Positions and item fields in their fixed order and type; fails on a missing column."""
-    want = [*POSITION_FIELDS, *ITEM_FIELDS]
+    """Positions, run and item fields in fixed order and type; fails on a missing column."""
+    want = [*POSITION_FIELDS, "run", *ITEM_FIELDS]
     missing = [c for c in want if c not in items.columns]
     if missing:
         raise ValueError(f"items lack columns {missing}")
     return items.select(
         *[F.col(c).cast("long").alias(c) for c in POSITION_FIELDS],
+        "run",
         *[F.col(c).cast("string").alias(c) for c in ITEM_FIELDS],
     )
