@@ -16,13 +16,12 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread_scan(pages: DataFrame) -> DataFrame:
-    """More tasks for the parse where a small table would be read as one or two."""
-    spark = pages.sparkSession
-    tasks = spark.sparkContext.defaultParallelism
-    # A large crawl is split by file size already and is not shuffled for this.
-    size = int(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return pages.repartition(tasks) if size < tasks * split else pages
+    """More tasks for the parse where a table of few files would be read by few tasks.
+
+    A large crawl has more files than the cluster has cores and is not shuffled for this.
+    """
+    tasks = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(tasks) if len(pages.inputFiles()) < tasks else pages
 
 
 def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
