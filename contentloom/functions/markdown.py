@@ -117,7 +117,7 @@ def _shown(e: Column) -> Column:
 
 _OPEN = f"{BOLD}{ITALIC}"
 _SHUT = f"{BOLD_END}{ITALIC_END}"
-_BLANK = rf"\s{QUOTE}{INDENT}"
+_BLANK = rf"\s{QUOTE}{INDENT}{BREAK}"
 _ANY_SIGN = f"[{_OPEN}{_SHUT}]"
 
 # Each step runs only on text that shows its trigger: (trigger, ((pattern, put), ...)).
@@ -168,7 +168,7 @@ _TIDY = (
         BREAK,
         (
             # A line break at the end of a block shows nothing.
-            (rf" *{BREAK}([{_BLANK}{BREAK}]*)(?=\n[{QUOTE}{INDENT}]*\n|\z|{ITEM}|{ROW})", "$1"),
+            (rf" *{BREAK}(?=[{_BLANK}]*?\n[{QUOTE}{INDENT}]*\n|[{_BLANK}]*(?:\z|[{ITEM}{ROW}]))", ""),
             (rf" *{BREAK}", "  "),
         ),
     ),

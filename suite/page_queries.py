@@ -175,7 +175,7 @@ _Q_BODY = (
 @query(
     "quill_posts",
     f"""
-    SELECT c_custkey AS page_id, 0 AS item_seq, {item_sql(_Q_HEAD, _Q_BODY, 'blog', _A_URL)} FROM customer
+    SELECT c_custkey AS page_id, CAST(0 AS BIGINT) AS item_seq, {item_sql(_Q_HEAD, _Q_BODY, 'blog', _A_URL)} FROM customer
     UNION ALL SELECT c_custkey, 1, {item_sql("'Untitled'", "'second'", 'blog', _A_URL)} FROM customer""",
 )
 def quill_posts(spark, sf_dir):
