@@ -1,65 +1,55 @@
-"""Selections over the ``nodes`` column. An element is known by its opening event."""
+"""Selections over a column of document events. An element is known by its opening event.
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
+Tests are expressions over an event named ``e``.
+"""
 
+from contentloom.functions.sql import bind, q, q_list
 from contentloom.functions.text import strip
 from contentloom.operators.dom import HIDDEN
 
 
-def has_mark(event: Column, bit: int) -> Column:
-    return event["marks"].bitwiseAND(F.lit(bit)) != 0
+def marked(event: str, *bits: int) -> str:
+    """The event carries one of the marks."""
+    return f"({event}.marks & {sum(bits)} <> 0)"
 
 
-def is_text(event: Column) -> Column:
-    return event["tag"] == "#text"
+def has_tag(*tags: str) -> str:
+    return f"e.tag IN ({q_list(tags)})"
 
 
-def has_class(event: Column, *tokens: str) -> Column:
+def has_class(*tokens: str) -> str:
     """All the given class tokens are there, each as a whole token."""
-    test = F.lit(True)
-    padded = F.concat(F.lit(" "), F.coalesce(event["classes"], F.lit("")), F.lit(" "))
-    for token in tokens:
-        test = test & padded.contains(f" {token} ")
-    return test
+    return " AND ".join(f"contains(concat(' ', coalesce(e.classes, ''), ' '), {q(f' {t} ')})" for t in tokens)
 
 
-def select(nodes: Column, test: Callable[[Column], Column]) -> Column:
-    return F.filter(nodes, test)
+def class_holds(*parts: str) -> str:
+    """All the given parts come up in the class string, wherever."""
+    return " AND ".join(f"coalesce(contains(e.classes, {q(p)}), false)" for p in parts)
 
 
-def first(nodes: Column, test: Callable[[Column], Column]) -> Column:
-    """First match in document order, or NULL."""
-    return F.try_element_at(F.filter(nodes, test), F.lit(1))
+def select(test: str, nodes: str = "nodes") -> str:
+    return f"filter({nodes}, e -> {test})"
 
 
-def first_tag(nodes: Column, *tags: str) -> Column:
-    return first(nodes, lambda e: e["tag"].isin(*tags))
+def first(test: str, nodes: str = "nodes") -> str:
+    """First match in document order, or NULL."""
+    return f"try_element_at({select(test, nodes)}, 1)"
 
 
-def subtree(nodes: Column, element: Column) -> Column:
+def subtree(element: str, nodes: str = "nodes") -> str:
     """All events of an element, its own opening and closing included."""
-    return F.slice(nodes, element["pos"] + 1, element["end"] - element["pos"] + 1)
-
+    return bind(element, "d", f"slice({nodes}, d.pos + 1, d.end - d.pos + 1)")
 
-def within(event: Column, element: Column) -> Column:
-    return (event["pos"] > element["pos"]) & (event["pos"] < element["end"])
 
+def _texts(nodes: str) -> str:
+    return f"filter({nodes}, x -> x.tag = '#text' AND NOT {marked('x', HIDDEN)})"
 
-def _texts(nodes: Column) -> Column:
-    return F.filter(nodes, lambda e: is_text(e) & ~has_mark(e, HIDDEN))
 
-
-def packed_text(nodes: Column) -> Column:
+def packed_text(nodes: str) -> str:
     """Text of a slice: every piece stripped, joined with nothing between."""
-    return F.array_join(F.transform(_texts(nodes), lambda e: strip(e["text"])), "")
+    return f"array_join(transform({_texts(nodes)}, x -> {strip('x.text')}), '')"
 
 
-def plain_text(nodes: Column) -> Column:
+def plain_text(nodes: str) -> str:
     """Text of a slice as it stands."""
-    return F.array_join(F.transform(_texts(nodes), lambda e: e["text"]), "")
-
-
-def element_text(nodes: Column, element: Column) -> Column:
-    return packed_text(subtree(nodes, element))
+    return f"array_join(transform({_texts(nodes)}, x -> x.text), '')"

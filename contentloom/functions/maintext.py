@@ -1,51 +1,45 @@
 """Main text of a page as plain lines, as one expression over its events."""
 
-from pyspark.sql import Column, functions as F
-
-from contentloom.functions.elements import first, has_mark, is_text, subtree
+from contentloom.functions.elements import first, marked, subtree
+from contentloom.functions.sql import bind, q, q_list, replace_all
 from contentloom.operators.dom import BLOCK, CELL, CHROME, HIDDEN, LINE_BLOCKS, LINKED
 
 LINE, LINK, LINK_END, CELL_END = (chr(0xFDD0 + i) for i in range(4))
 
 _EDGES = [f"{side}{tag}" for tag in LINE_BLOCKS for side in ("", "/")]
 
-
-def _piece(e: Column) -> Column:
-    kept = has_mark(e, BLOCK) & ~has_mark(e, HIDDEN)
-    text = F.when(has_mark(e, LINKED), F.concat(F.lit(LINK), e["text"], F.lit(LINK_END))).otherwise(e["text"])
-    return (
-        F.when(has_mark(e, CHROME), F.lit(""))
-        .when(is_text(e), F.when(kept, text).otherwise(""))
-        .when(e["tag"].isin("/td", "/th"), F.lit(CELL_END))
-        # A block within a table cell does not end the row's line.
-        .when(e["tag"].isin(*_EDGES), F.when(has_mark(e, CELL), F.lit(" ")).otherwise(LINE))
-        .when(e["tag"] == "br", F.lit(" "))
-        .otherwise("")
-    )
-
-
-def _tidy(line: Column) -> Column:
-    text = F.regexp_replace(line, rf"[{LINK}{LINK_END}]", "")
-    text = F.regexp_replace(text, r"(?U)\s+", " ")
-    text = F.regexp_replace(text, rf" ?{CELL_END} ?", CELL_END)
-    text = F.regexp_replace(text, rf"^[ {CELL_END}]+|[ {CELL_END}]+\z", "")
-    return F.replace(text, F.lit(CELL_END), F.lit(" | "))
-
-
-def _mostly_links(line: Column) -> Column:
-    bare = F.regexp_replace(line, rf"[{CELL_END}\s]+", "")
-    size = F.length(F.regexp_replace(bare, rf"[{LINK}{LINK_END}]", ""))
-    rest = F.length(F.regexp_replace(bare, rf"{LINK}[^{LINK_END}]*{LINK_END}", ""))
-    return (size - rest) * 2 > size
-
-
-def main_text(nodes: Column) -> Column:
+# A block within a table cell does not end the row's line.
+_PIECE = f"""CASE
+  WHEN {marked('e', CHROME)} THEN ''
+  WHEN e.tag = '#text' THEN CASE
+    WHEN {marked('e', HIDDEN)} OR NOT {marked('e', BLOCK)} THEN ''
+    WHEN {marked('e', LINKED)} THEN concat({q(LINK)}, e.text, {q(LINK_END)}) ELSE e.text END
+  WHEN e.tag IN ('/td', '/th') THEN {q(CELL_END)}
+  WHEN e.tag IN ({q_list(_EDGES)}) THEN CASE WHEN {marked('e', CELL)} THEN ' ' ELSE {q(LINE)} END
+  WHEN e.tag = 'br' THEN ' '
+  ELSE '' END"""
+
+_SHOWN = replace_all(
+    "x",
+    (rf"[{LINK}{LINK_END}]", ""),
+    (r"(?U)\s+", " "),
+    (rf" ?{CELL_END} ?", CELL_END),
+    (rf"^[ {CELL_END}]+|[ {CELL_END}]+\z", ""),
+    (CELL_END, " | "),
+)
+
+
+def _mostly_links(line: str) -> str:
+    bare = replace_all(line, (rf"[{CELL_END}\s]+", ""))
+    size = f"length({replace_all('b', (f'[{LINK}{LINK_END}]', ''))})"
+    rest = f"length({replace_all('b', (f'{LINK}[^{LINK_END}]*{LINK_END}', ''))})"
+    return f"contains({line}, {q(LINK)}) AND {bind(bare, 'b', f'({size} - {rest}) * 2 > {size}')}"
+
+
+def main_text(nodes: str = "nodes") -> str:
     """One line per paragraph, heading, list item, quote or table row; NULL if nothing is left."""
-    def kept_first(tag: str) -> Column:
-        return first(nodes, lambda e: (e["tag"] == tag) & ~has_mark(e, CHROME))
-
-    region = F.coalesce(*[kept_first(tag) for tag in ("article", "main", "body")])
-    events = F.when(region.isNull(), nodes).otherwise(subtree(nodes, region))
-    lines = F.split(F.array_join(F.transform(events, _piece), ""), LINE)
-    kept = F.transform(F.filter(lines, lambda x: ~_mostly_links(x)), _tidy)
-    return F.nullif(F.array_join(F.filter(kept, lambda x: x != ""), "\n"), F.lit(""))
+    regions = [first(f"e.tag = '{tag}' AND NOT {marked('e', CHROME)}", nodes) for tag in ("article", "main", "body")]
+    events = f"coalesce({subtree(f'coalesce({", ".join(regions)})', nodes)}, {nodes})"
+    lines = f"split(array_join(transform({events}, e -> {_PIECE}), ''), {q(LINE)})"
+    shown = f"transform(filter({lines}, x -> NOT ({_mostly_links('x')})), x -> {_SHOWN})"
+    return f"nullif(array_join(filter({shown}, x -> x <> ''), '\\n'), '')"

@@ -7,9 +7,8 @@ which no text carries, and replaced at the end. The work is linear in the page a
 in the JVM.
 """
 
-from pyspark.sql import Column, functions as F
-
-from contentloom.functions.elements import has_mark, is_text
+from contentloom.functions.elements import marked
+from contentloom.functions.sql import bind, q, q_list, replace_all
 from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, PRE
 
 (
@@ -23,97 +22,78 @@ BLOCK_TAGS = (
 )
 
 
-def _cat(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _closing(*tags: str) -> tuple[str, ...]:
+    return tuple(f"/{t}" for t in tags)
 
 
-def _closing(*tags: str) -> list[str]:
-    return [f"/{t}" for t in tags]
+def _in(*tags: str) -> str:
+    return f"e.tag IN ({q_list(tags)})"
 
 
-def escape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("*"), F.lit(ESC + "*")), F.lit("_"), F.lit(ESC + "_"))
+def _cat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def _collapse(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\s*[\r\n]\s*", "\n"), r"[ \t\x0B\f]+", " ")
+def escape(text: str) -> str:
+    return f"replace(replace({text}, '*', {q(ESC + '*')}), '_', {q(ESC + '_')})"
 
 
-def _piece(e: Column) -> Column:
-    tag = e["tag"]
-    flat = has_mark(e, CELL) | has_mark(e, HEADING)
-    lists = e["bullets"] + e["numbers"]
-    line = _cat("\n", F.repeat(F.lit(QUOTE), e["quotes"]), F.repeat(F.lit(INDENT), lists * 4))
-    apart = _cat(line, line)
-    gap = F.when(flat, F.lit(" ")).otherwise(apart)
-    heading_gap = F.when(has_mark(e, CELL), F.lit(" ")).otherwise(apart)
-    text = (
-        F.when(has_mark(e, HIDDEN), F.lit(""))
-        .when(
-            has_mark(e, PRE),
-            F.regexp_replace(
-                F.translate(F.regexp_replace(e["text"], "\r\n?", "\n"), " \t\n", SPACE + TAB + NEWLINE),
-                NEWLINE,
-                _cat(NEWLINE, F.repeat(F.lit(QUOTE), e["quotes"])),
-            ),
-        )
-        .otherwise(
-            F.when(flat | (lists > 0), F.regexp_replace(_shown(e), "\n", " ")).otherwise(
-                F.regexp_replace(_shown(e), "\n", line)
-            )
-        )
-    )
-    emphasis = ("b", "strong"), ("i", "em")
-    level = F.substring(tag, -1, 1).try_cast("int")
-    bullet = F.when(
-        e["parent_tag"] == "ol", _cat(e["ord"].cast("string"), ".")
-    ).otherwise(F.substring(F.lit("*+-"), F.pmod(F.greatest(e["bullets"], F.lit(1)) - 1, F.lit(3)) + 1, F.lit(1)))
-    return (
-        F.when(is_text(e), text)
-        .when(tag.isin(*BLOCK_TAGS, *_closing(*BLOCK_TAGS)), gap)
-        .when(tag.isin(*emphasis[0]), F.lit(BOLD))
-        .when(tag.isin(*_closing(*emphasis[0])), F.lit(BOLD_END))
-        .when(tag.isin(*emphasis[1]), F.lit(ITALIC))
-        .when(tag.isin(*_closing(*emphasis[1])), F.lit(ITALIC_END))
-        .when((tag == "a") & (e["href"] != ""), F.lit(LINK))
-        .when((tag == "/a") & (e["href"] != ""), _cat(LINK_MID, escape(e["href"]), LINK_END))
-        .when(tag == "li", _cat(
-            ITEM, F.repeat(F.lit(QUOTE), e["quotes"]),
-            F.repeat(F.lit(INDENT), F.greatest(lists - 1, F.lit(0)) * 4), bullet, BULLET,
-        ))
-        .when(tag.isin("ul", "ol"), F.when(lists == 0, _cat(gap, GROUP)).otherwise(""))
-        .when(tag.isin("/ul", "/ol"), F.when(lists == 0, gap).otherwise(line))
-        .when(tag == "br", F.when(flat, F.lit(" ")).otherwise(_cat(BREAK, line)))
-        .when(tag.isin(*HEADINGS), _cat(heading_gap, F.repeat(F.lit("#"), level), " "))
-        .when(tag.isin("title", "/title", *_closing(*HEADINGS)), heading_gap)
-        .when(tag == "img", _cat(
-            "![", F.regexp_replace(F.coalesce(e["alt"], F.lit("")), r"\s+", " "),
-            "](", F.coalesce(e["src"], F.lit("")), ")",
-        ))
-        .when((tag == "code") & ~has_mark(e, PRE), F.lit("`"))
-        .when((tag == "/code") & ~has_mark(e, PRE), F.lit("`"))
-        .when(tag == "pre", _cat(gap, "```", NEWLINE, F.repeat(F.lit(QUOTE), e["quotes"])))
-        .when(tag == "/pre", _cat(FENCE_END, F.repeat(F.lit(QUOTE), e["quotes"]), "```", gap))
-        .when(tag == "blockquote", _cat(gap, F.when(flat, F.lit("")).otherwise(F.lit(QUOTE))))
-        .when(tag == "/blockquote", gap)
-        .when(tag == "hr", _cat(gap, "---", gap))
-        .when(tag == "table", _cat(gap, GROUP))
-        .when(tag == "/table", gap)
-        .when(tag == "tr", _cat(ROW, F.repeat(F.lit(QUOTE), e["quotes"]), "|"))
-        .when(tag == "/tr", F.when(
-            e["text_len"] == 1,
-            _cat(ROW, F.repeat(F.lit(QUOTE), e["quotes"]), "|", F.repeat(F.lit(" --- |"), e["ord"])),
-        ).otherwise(""))
-        .when(tag.isin("td", "th"), F.lit(" "))
-        .when(tag.isin("/td", "/th"), F.lit(" |"))
-        .otherwise("")
-    )
-
-
-def _shown(e: Column) -> Column:
-    collapsed = _collapse(e["text"])
-    return F.when(has_mark(e, CODE), collapsed).otherwise(escape(collapsed))
+def _collapse(text: str) -> str:
+    return replace_all(text, (r"\s*[\r\n]\s*", "\n"), (r"[ \t\x0B\f]+", " "))
+
 
+_LISTS = "(e.bullets + e.numbers)"
+_QUOTES = f"repeat({q(QUOTE)}, e.quotes)"
+_NEW_LINE = _cat(q("\n"), _QUOTES, f"repeat({q(INDENT)}, {_LISTS} * 4)")
+_APART = _cat(_NEW_LINE, _NEW_LINE)
+_FLAT = marked("e", CELL, HEADING)
+_GAP = f"CASE WHEN {_FLAT} THEN ' ' ELSE {_APART} END"
+_HEADING_GAP = f"CASE WHEN {marked('e', CELL)} THEN ' ' ELSE {_APART} END"
+
+_SHOWN = bind(
+    _collapse("e.text"), "c", f"CASE WHEN {marked('e', CODE)} THEN c ELSE {escape('c')} END"
+)
+_PRE_TEXT = (
+    f"regexp_replace(translate({replace_all('e.text', (chr(13) + chr(10) + '?', chr(10)))}, {q(' ' + chr(9) + chr(10))},"
+    f" {q(SPACE + TAB + NEWLINE)}), {q(NEWLINE)}, {_cat(q(NEWLINE), _QUOTES)})"
+)
+_TEXT = f"""CASE
+  WHEN {marked('e', HIDDEN)} THEN ''
+  WHEN {marked('e', PRE)} THEN {_PRE_TEXT}
+  ELSE replace({_SHOWN}, '\\n', CASE WHEN {_FLAT} OR {_LISTS} > 0 THEN ' ' ELSE {_NEW_LINE} END) END"""
+_BULLET = f"""CASE WHEN e.parent_tag = 'ol' THEN concat(CAST(e.ord AS STRING), '.')
+  ELSE substring('*+-', pmod(greatest(e.bullets, 1) - 1, 3) + 1, 1) END"""
+_LINKED = "e.href <> ''"
+
+_PIECE = f"""CASE
+  WHEN e.tag = '#text' THEN {_TEXT}
+  WHEN {_in(*BLOCK_TAGS, *_closing(*BLOCK_TAGS))} THEN {_GAP}
+  WHEN {_in('b', 'strong')} THEN {q(BOLD)}
+  WHEN {_in('/b', '/strong')} THEN {q(BOLD_END)}
+  WHEN {_in('i', 'em')} THEN {q(ITALIC)}
+  WHEN {_in('/i', '/em')} THEN {q(ITALIC_END)}
+  WHEN e.tag = 'a' AND {_LINKED} THEN {q(LINK)}
+  WHEN e.tag = '/a' AND {_LINKED} THEN {_cat(q(LINK_MID), escape('e.href'), q(LINK_END))}
+  WHEN e.tag = 'li' THEN {_cat(q(ITEM), _QUOTES, f"repeat({q(INDENT)}, greatest({_LISTS} - 1, 0) * 4)", _BULLET, q(BULLET))}
+  WHEN {_in('ul', 'ol')} THEN CASE WHEN {_LISTS} = 0 THEN {_cat(_GAP, q(GROUP))} ELSE '' END
+  WHEN {_in('/ul', '/ol')} THEN CASE WHEN {_LISTS} = 0 THEN {_GAP} ELSE {_NEW_LINE} END
+  WHEN e.tag = 'br' THEN CASE WHEN {_FLAT} THEN ' ' ELSE {_cat(q(BREAK), _NEW_LINE)} END
+  WHEN {_in(*HEADINGS)} THEN {_cat(_HEADING_GAP, "repeat('#', CAST(right(e.tag, 1) AS INT))", "' '")}
+  WHEN {_in('title', '/title', *_closing(*HEADINGS))} THEN {_HEADING_GAP}
+  WHEN e.tag = 'img' THEN {_cat("'!['", replace_all("coalesce(e.alt, '')", (chr(92) + 's+', ' ')), "']('", "coalesce(e.src, '')", "')'")}
+  WHEN {_in('code', '/code')} AND NOT {marked('e', PRE)} THEN '`'
+  WHEN e.tag = 'pre' THEN {_cat(_GAP, "'```'", q(NEWLINE), _QUOTES)}
+  WHEN e.tag = '/pre' THEN {_cat(q(FENCE_END), _QUOTES, "'```'", _GAP)}
+  WHEN e.tag = 'blockquote' THEN {_cat(_GAP, f"CASE WHEN {_FLAT} THEN '' ELSE {q(QUOTE)} END")}
+  WHEN e.tag = '/blockquote' THEN {_GAP}
+  WHEN e.tag = 'hr' THEN {_cat(_GAP, "'---'", _GAP)}
+  WHEN e.tag = 'table' THEN {_cat(_GAP, q(GROUP))}
+  WHEN e.tag = '/table' THEN {_GAP}
+  WHEN e.tag = 'tr' THEN {_cat(q(ROW), _QUOTES, "'|'")}
+  WHEN e.tag = '/tr' AND e.text_len = 1 THEN {_cat(q(ROW), _QUOTES, "'|'", "repeat(' --- |', e.ord)")}
+  WHEN {_in('td', 'th')} THEN ' '
+  WHEN {_in('/td', '/th')} THEN ' |'
+  ELSE '' END"""
 
 _OPEN = f"{BOLD}{ITALIC}"
 _SHUT = f"{BOLD_END}{ITALIC_END}"
@@ -196,33 +176,15 @@ _TIDY = (
 )
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _run(steps):
-    trigger, changes = steps
-
-    def use(text: Column) -> Column:
-        done = text
-        for pattern, put in changes:
-            done = F.regexp_replace(done, pattern, put)
-        return F.when(text.rlike(trigger), done).otherwise(text)
-
-    return use
-
-
-def markdown(nodes: Column) -> Column:
+def markdown(nodes: str = "nodes") -> str:
     """Markdown of a slice of document events, with ``#`` headings."""
-    text = F.array_join(F.transform(nodes, _piece), "")
-    for steps in _TIDY:
-        text = _bind(text, _run(steps))
+    text = f"array_join(transform({nodes}, e -> {_PIECE}), '')"
+    for trigger, changes in _TIDY:
+        text = bind(text, "t", f"CASE WHEN t RLIKE {q(trigger)} THEN {replace_all('t', *changes)} ELSE t END")
     signs = LINK + LINK_END + AUTO + AUTO_END + ESC + INDENT + SPACE + TAB + NEWLINE
-    return F.translate(text, signs, "[)<>\\  \t\n")
+    return f"translate({text}, {q(signs)}, {q('[)<>' + chr(92) + '  ' + chr(9) + chr(10))})"
 
 
-def plain_markdown(text: Column) -> Column:
+def plain_markdown(text: str) -> str:
     """Markdown of text that holds no markup: escapes, and collapses white space within lines."""
-    lines = F.regexp_replace(F.regexp_replace(text, r"\s*[\r\n]\s*", "\n"), r"[ \t\x0B\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(lines, r"([*_])", r"\\$1"), r"^\n|\n\z", "")
+    return replace_all(_collapse(text), (r"([*_])", r"\\$1"), (r"^\n|\n\z", ""))

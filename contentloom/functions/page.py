@@ -1,12 +1,14 @@
-"""What a page shows about itself: title, date, body, posts and links, from its events."""
+"""What a page shows about itself: title, date, body, posts and links.
 
-from pyspark.sql import Column, functions as F
+Expressions over the columns ``nodes`` and, for links, ``url`` or ``anchors``.
+"""
 
-from contentloom.functions import urls
 from contentloom.functions.elements import (
-    element_text, first, first_tag, has_class, is_text, packed_text, plain_text, select, subtree, within,
+    class_holds, first, has_class, has_tag, packed_text, plain_text, select, subtree,
 )
+from contentloom.functions.sql import any_of, bind, q
 from contentloom.functions.text import strip
+from contentloom.functions.urls import is_article_url, resolve_link
 
 # Labels of links to a full article.
 READ_MORE = ("Read more", "Read More", "Continue reading", "Read article", "View post")
@@ -14,129 +16,108 @@ READ_MORE_PATHS = ("/blog/", "/post/", "/article/", "/news/")
 UNTITLED = "Untitled"
 
 
-def _class_holds(e: Column, *parts: str) -> Column:
-    test = e["classes"].isNotNull()
-    for part in parts:
-        test = test & e["classes"].contains(part)
-    return test
-
-
-def page_title(nodes: Column) -> Column:
+def page_title() -> str:
     """First of each kind of heading in turn; only texts over 5 characters count."""
-    picks = (
-        first_tag(nodes, "h1"),
-        first_tag(nodes, "title"),
-        first(nodes, lambda e: _class_holds(e, "title")),
-        first(nodes, lambda e: _class_holds(e, "heading")),
-        first_tag(nodes, "h2"),
-        first_tag(nodes, "h3"),
-    )
-    texts = [element_text(nodes, p) for p in picks]
-    return F.coalesce(*[F.when(F.length(t) > 5, t) for t in texts], F.lit(UNTITLED))
-
-
-def article_title(nodes: Column) -> Column:
+    tests = (
+        has_tag("h1"), has_tag("title"),
+        class_holds("title"), class_holds("heading"),
+        has_tag("h2"), has_tag("h3"),
+    )
+    texts = [
+        bind(packed_text(subtree(first(test))), "t", "CASE WHEN length(t) > 5 THEN t END") for test in tests
+    ]
+    return f"coalesce({', '.join(texts)}, {q(UNTITLED)})"
+
+
+def article_title() -> str:
     """First h1 or h2; NULL only if there is none."""
-    return element_text(nodes, first_tag(nodes, "h1", "h2"))
+    return packed_text(subtree(first(has_tag("h1", "h2"))))
 
 
-def h1_text(nodes: Column) -> Column:
-    return element_text(nodes, first_tag(nodes, "h1"))
+def h1_text() -> str:
+    return packed_text(subtree(first(has_tag("h1"))))
 
 
-def document_title(nodes: Column) -> Column:
+def document_title() -> str:
     """Stripped text of the title element; NULL if there is none."""
-    return strip(plain_text(subtree(nodes, first_tag(nodes, "title"))))
+    return strip(plain_text(subtree(first(has_tag("title")))))
 
 
-def page_date(nodes: Column) -> Column:
+def page_date() -> str:
     """Text of the date element, empty if there is none. Never parsed."""
-    time = first_tag(nodes, "time")
-    label = first(nodes, lambda e: e["tag"].isin("h4", "span") & _class_holds(e, "text-slate-500", "text-sm"))
-    return F.coalesce(element_text(nodes, F.coalesce(time, label)), F.lit(""))
+    label = f"{has_tag('h4', 'span')} AND {class_holds('text-slate-500', 'text-sm')}"
+    element = f"coalesce({first(has_tag('time'))}, {first(label)})"
+    return f"coalesce({packed_text(subtree(element))}, '')"
 
 
-def largest_div(nodes: Column) -> Column:
+def largest_div() -> str:
     """The div with the longest unstripped text; the first one on a tie."""
-    divs = select(nodes, lambda e: e["tag"] == "div")
-    best = F.array_max(
-        F.transform(divs, lambda d: F.struct(d["text_len"].alias("n"), (-d["pos"]).alias("at")))
-    )
-    return F.try_element_at(nodes, 1 - best["at"])
+    sizes = f"transform({select(has_tag('div'))}, e -> struct(e.text_len AS n, -e.pos AS at))"
+    return f"try_element_at(nodes, 1 - array_max({sizes}).at)"
 
 
-def article_body(nodes: Column) -> Column:
+def article_body() -> str:
     """Events of main, else article, else the largest div, else the whole page."""
-    body = F.coalesce(first_tag(nodes, "main"), first_tag(nodes, "article"), largest_div(nodes))
-    return F.when(body.isNull(), nodes).otherwise(subtree(nodes, body))
-
-
-def post_containers(nodes: Column) -> Column:
-    return select(
-        nodes,
-        lambda e: (e["tag"] == "div")
-        & (
-            has_class(e, "bg-white", "p-[30px]")
-            | has_class(e, "blog-post")
-            | has_class(e, "post")
-            | has_class(e, "article")
-        ),
-    )
+    body = f"coalesce({first(has_tag('main'))}, {first(has_tag('article'))}, {largest_div()})"
+    return f"coalesce({subtree(body)}, nodes)"
+
 
+def post_containers() -> str:
+    kinds = (("bg-white", "p-[30px]"), ("blog-post",), ("post",), ("article",))
+    return select(f"e.tag = 'div' AND ({' OR '.join(f'({has_class(*k)})' for k in kinds)})")
 
-def _anchors(nodes: Column) -> Column:
-    return select(nodes, lambda e: (e["tag"] == "a") & e["href"].isNotNull())
 
+def anchors() -> str:
+    """Links of a page with their place, their address as written and resolved."""
+    found = select("e.tag = 'a' AND e.href IS NOT NULL")
+    return (
+        f"transform({found}, a -> struct(a.pos AS pos, a.end AS end, a.href AS href,"
+        f" {resolve_link('url', 'a.href')} AS url))"
+    )
 
-def hub_links(nodes: Column, url: Column) -> Column:
-    """One resolved link per post container: its first anchor, if that is not empty. A list."""
-    anchors = _anchors(nodes)
-    hrefs = F.transform(post_containers(nodes), lambda d: first(anchors, lambda a: within(a, d))["href"])
-    return F.transform(F.filter(hrefs, lambda h: h.isNotNull() & (h != "")), lambda h: urls.resolve_link(url, h))
 
+def article_links() -> str:
+    """All article links of a page as a set, in the order first met. Reads ``anchors``."""
+    return f"array_distinct(filter(transform(anchors, a -> a.url), u -> {is_article_url('u')}))"
 
-def article_links(nodes: Column, url: Column) -> Column:
-    """All resolved article links of a page as a set, in the order first met."""
-    links = F.transform(_anchors(nodes), lambda a: urls.resolve_link(url, a["href"]))
-    return F.array_distinct(F.filter(links, urls.is_article_url))
 
+def hub_links() -> str:
+    """One link per post container: its first anchor, if that is not empty. A list. Reads ``anchors``."""
+    inner = "try_element_at(filter(anchors, a -> a.pos > d.pos AND a.pos < d.end), 1)"
+    firsts = f"transform({post_containers()}, d -> {inner})"
+    return f"transform(filter({firsts}, a -> a.href <> ''), a -> a.url)"
 
-def read_more_links(nodes: Column, url: Column) -> Column:
-    """Links around a "read more" label and all article links of a rendered page, as a set."""
-    anchors = select(
-        nodes, lambda e: (e["tag"] == "a") & e["href"].isNotNull() & urls.contains_any(e["href"], READ_MORE_PATHS)
-    )
-    # The label must stand in the first piece of text directly within its element.
+
+def read_more_links() -> str:
+    """Links around a "read more" label and all article links of a rendered page, as a set.
+
+    The label must stand in the first piece of text directly within its element, and the
+    link must be an ancestor of that element.
+    """
     labels = select(
-        nodes, lambda e: is_text(e) & (e["ord"] == 1) & e["parent"].isNotNull() & urls.contains_any(e["text"], READ_MORE)
+        f"e.tag = '#text' AND e.ord = 1 AND e.parent IS NOT NULL AND {any_of('e.text', READ_MORE)}"
     )
-    around = F.transform(
-        labels,
-        lambda t: first(anchors, lambda a: (a["pos"] < t["parent"]) & (a["end"] > t["pos"]))["href"],
-    )
-    found = F.transform(F.filter(around, lambda h: h.isNotNull()), lambda h: urls.resolve_link(url, h))
-    return F.array_distinct(F.concat(found, article_links(nodes, url)))
+    wanted = f"filter(anchors, a -> {any_of('a.href', READ_MORE_PATHS)})"
+    around = f"transform({labels}, t -> try_element_at(filter(w, a -> a.pos < t.parent AND a.end > t.pos), 1).url)"
+    found = bind(wanted, "w", f"filter({around}, u -> u IS NOT NULL)")
+    return f"array_distinct(concat({found}, {article_links()}))"
 
 
-def break_words_post(nodes: Column) -> Column:
+def break_words_post() -> str:
     """Events of the first div with class token break-words, or NULL."""
-    return subtree(nodes, first(nodes, lambda e: (e["tag"] == "div") & has_class(e, "break-words")))
+    return subtree(first(f"e.tag = 'div' AND {has_class('break-words')}"))
 
 
-def quill_posts(nodes: Column) -> Column:
+def quill_posts() -> str:
     """``ARRAY<STRUCT<title, body>>``: one entry per quill container, body as events."""
 
-    def holds(e: Column, part: str) -> Column:
-        return (e["tag"] == "div") & F.lower(F.coalesce(e["classes"], F.lit(""))).contains(part)
-
-    contents = select(nodes, lambda e: holds(e, "content"))
-    heads = select(nodes, lambda e: e["tag"].isin("h1", "h2", "h3"))
-    return F.transform(
-        select(nodes, lambda e: holds(e, "quill")),
-        lambda c: F.struct(
-            F.coalesce(
-                packed_text(subtree(nodes, first(heads, lambda h: within(h, c)))), F.lit(UNTITLED)
-            ).alias("title"),
-            subtree(nodes, F.coalesce(first(contents, lambda d: within(d, c)), c)).alias("body"),
-        ),
-    )
+    def divs(part: str) -> str:
+        return select(f"e.tag = 'div' AND contains(lower(coalesce(e.classes, '')), {q(part)})")
+
+    def inner(name: str) -> str:
+        return f"try_element_at(filter({name}, x -> x.pos > c.pos AND x.pos < c.end), 1)"
+
+    title = f"coalesce({packed_text(subtree(inner('heads')))}, {q(UNTITLED)})"
+    body = subtree(f"coalesce({inner('contents')}, c)")
+    posts = f"transform({divs('quill')}, c -> struct({title} AS title, {body} AS body))"
+    return bind(divs("content"), "contents", bind(select(has_tag("h1", "h2", "h3")), "heads", posts))

@@ -1,91 +1,74 @@
-"""Plain-text rules as column expressions."""
+"""Plain-text rules."""
 
-from pyspark.sql import Column, functions as F
+from contentloom.functions.sql import bind, group, q, replace_all
 
 # Unicode white space plus U+001C to U+001F, written out so that no regex flag is needed.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+def strip(text: str) -> str:
+    return replace_all(text, (rf"^[{WS}]+|[{WS}]+\z", ""))
 
 
-def unix_newlines(text: Column) -> Column:
+def unix_newlines(text: str) -> str:
     """Line ends as a text-mode file read gives them."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return replace_all(text, ("\r\n?", "\n"))
 
 
-def text_lines(text: Column) -> Column:
+def text_lines(text: str) -> str:
     """Stripped lines, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    return f"filter(transform(split({text}, '\\n'), t -> {strip('t')}), t -> t <> '')"
 
 
-def _title_words(line: Column) -> Column:
+def _title_words(line: str) -> str:
     # Pieces start at a letter that follows white space, so each piece is one word.
-    words = F.split(line, rf"(?<=[{WS}])(?=[A-Z])")
-    return F.array_join(
-        F.transform(words, lambda w: F.concat(w.substr(1, 1), F.lower(F.substring(w, 2, 2**31 - 1)))), ""
-    )
+    words = f"split({line}, {q(rf'(?<=[{WS}])(?=[A-Z])')})"
+    return f"array_join(transform({words}, w -> concat(left(w, 1), lower(substring(w, 2)))), '')"
+
 
+_CHAPTER = rf"(?is)^chapter[{WS}]+(\p{{Nd}}+)(.*)\z"
 
-def _markdown_line(line: Column) -> Column:
-    chapter = rf"(?is)^chapter[{WS}]+(\p{{Nd}}+)(.*)\z"
-    rest = strip(F.regexp_extract(line, chapter, 2))
+
+def _markdown_line(line: str) -> str:
+    rest = bind(strip(group(line, _CHAPTER, 2)), "r", "CASE WHEN r <> '' THEN concat(': ', r) ELSE '' END")
     return (
-        F.when(
-            line.rlike(chapter),
-            F.concat(
-                F.lit("# Chapter "),
-                F.regexp_extract(line, chapter, 1),
-                F.when(rest != "", F.concat(F.lit(": "), rest)).otherwise(""),
-            ),
-        )
-        .when(line.rlike(rf"^\p{{Nd}}+\.[{WS}]+"), line)
-        .when(
-            line.rlike(rf"^[A-Z][A-Z{WS}]+\z") & (F.length(line) > 3),
-            F.concat(F.lit("## "), _title_words(line)),
-        )
-        .when(line.endswith(":") & (F.length(line) < 100), F.concat(F.lit("### "), line))
-        .otherwise(line)
+        f"CASE WHEN {line} RLIKE {q(_CHAPTER)} THEN concat('# Chapter ', {group(line, _CHAPTER)}, {rest})"
+        f" WHEN {line} RLIKE {q(rf'^\p{{Nd}}+[.][{WS}]+')} THEN {line}"
+        f" WHEN {line} RLIKE {q(rf'^[A-Z][A-Z{WS}]+\z')} AND length({line}) > 3 THEN concat('## ', {_title_words(line)})"
+        f" WHEN endswith({line}, ':') AND length({line}) < 100 THEN concat('### ', {line})"
+        f" ELSE {line} END"
     )
 
 
-def text_to_markdown(text: Column) -> Column:
+def text_to_markdown(text: str) -> str:
     """Chapter, all-caps and colon lines become headings; lines are parted by a blank line."""
-    return F.coalesce(F.array_join(F.transform(text_lines(text), _markdown_line), "\n\n"), F.lit(""))
+    return f"coalesce(array_join(transform({text_lines(text)}, x -> {_markdown_line('x')}), '\\n\\n'), '')"
 
 
-def chapters(text: Column) -> Column:
+def chapters(text: str) -> str:
     """``ARRAY<STRUCT<title, content>>``; one entry named Document if there is no chapter."""
-    rule = rf"(?is)(chapter[{WS}]+\p{{Nd}}+[^\n]*)\n(.*?)(?=chapter[{WS}]+\p{{Nd}}+|\z)"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(rule), F.lit(1)).alias("title"),
-        F.regexp_extract_all(text, F.lit(rule), F.lit(2)).alias("content"),
-    )
-    found = F.filter(
-        F.transform(
-            pairs,
-            lambda p: F.struct(strip(p["title"]).alias("title"), strip(p["content"]).alias("content")),
-        ),
-        lambda p: p["content"] != "",
+    rule = q(rf"(?is)(chapter[{WS}]+\p{{Nd}}+[^\n]*)\n(.*?)(?=chapter[{WS}]+\p{{Nd}}+|\z)")
+    pairs = (
+        f"zip_with(regexp_extract_all({text}, {rule}, 1), regexp_extract_all({text}, {rule}, 2),"
+        f" (h, b) -> struct({strip('h')} AS title, {strip('b')} AS content))"
     )
-    whole = F.array(F.struct(F.lit("Document").alias("title"), strip(text).alias("content")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    whole = f"array(struct('Document' AS title, {strip(text)} AS content))"
+    return bind(f"filter({pairs}, p -> p.content <> '')", "found", f"CASE WHEN size(found) > 0 THEN found ELSE {whole} END")
 
 
 # The entities that stored bodies carry. The ampersand comes last.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 )
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: str) -> str:
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = f"replace({text}, {q(name)}, {q(char)})"
     return text
 
 
-def file_title(path: Column) -> Column:
+def file_title(path: str) -> str:
     """Base name with every ``.pdf`` taken out."""
-    return F.replace(F.substring_index(path, "/", -1), F.lit(".pdf"), F.lit(""))
+    return f"replace(substring_index({path}, '/', -1), '.pdf', '')"

@@ -1,8 +1,6 @@
-"""URL rules as column expressions."""
+"""URL rules."""
 
-from functools import reduce
-
-from pyspark.sql import Column, functions as F
+from contentloom.functions.sql import any_of, bind, group, q, replace_all
 
 # Substrings that rule a URL out, then in, as an article.
 SKIP_PARTS = (
@@ -21,105 +19,88 @@ ARTICLE_PARTS = (
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 _HOST = rf"^(?:{_SCHEME}:)?//([^/?#]*)"
 _PATH = rf"^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
-_QUERY = r"^[^?#]*\?([^#]*)"
-_FRAGMENT = r"^[^#]*#(.*)$"
-
-
-def contains_any(text: Column, parts) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+_QUERY = r"^[^?#]*(\?[^#]+)"
+_FRAGMENT = r"^[^#]*(#.+)$"
+_DOTS = r"(?:^|/)\.\.?(?:/|\z)"
 
 
-def url_key(url: Column) -> Column:
+def url_key(url: str) -> str:
     """The URL a request carries: everything but the fragment."""
-    return F.substring_index(url, "#", 1)
+    return f"substring_index({url}, '#', 1)"
 
 
-def url_host(url: Column) -> Column:
+def url_host(url: str) -> str:
     """Lower-cased network location, with port and user info; empty if there is none."""
-    return F.lower(F.regexp_extract(url, _HOST, 1))
+    return f"lower({group(url, _HOST)})"
 
 
-def url_path(url: Column) -> Column:
+def url_path(url: str) -> str:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_replace(F.regexp_extract(url, _PATH, 1), ";[^/]*$", "")
+    return replace_all(group(url, _PATH), (";[^/]*$", ""))
 
 
-def is_article_url(url: Column) -> Column:
+def is_article_url(url: str) -> str:
     """Skip list first, then article list, then a slug: two last path parts over 3 characters."""
-    low = F.lower(url)
-    slug = F.regexp_replace(url_path(url), "^/+|/+$", "").rlike("(?:^|/)[^/]{4,}/[^/]{4,}$")
+    low = f"lower({url})"
+    slug = f"{replace_all(url_path(url), ('^/+|/+$', ''))} RLIKE {q('(?:^|/)[^/]{4,}/[^/]{4,}$')}"
     return (
-        F.when(url.isNull() | (url == ""), False)
-        .when(contains_any(low, SKIP_PARTS), False)
-        .when(contains_any(low, ARTICLE_PARTS), True)
-        .otherwise(slug)
+        f"CASE WHEN {url} IS NULL OR {url} = '' THEN false WHEN {any_of(low, SKIP_PARTS)} THEN false"
+        f" WHEN {any_of(low, ARTICLE_PARTS)} THEN true ELSE {slug} END"
     )
 
 
-def _fold_dots(path: Column) -> Column:
+def _fold_dots(path: str) -> str:
     """Drop ``.`` segments and let ``..`` take the segment before it along."""
-    parts = F.split(path, "/")
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(x == ".", acc)
-        .otherwise(F.concat(acc, F.array(x))),
+    kept = (
+        f"aggregate(split({path}, '/'), CAST(array() AS ARRAY<STRING>), (acc, x) -> CASE"
+        " WHEN x = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0))"
+        " WHEN x = '.' THEN acc ELSE concat(acc, array(x)) END)"
     )
-    tail = F.when(path.rlike(r"(?:^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    joined = F.array_join(tail, "/")
-    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), joined).otherwise(path)
+    tail = f"CASE WHEN {path} RLIKE {q(r'(?:^|/)[.][.]?$')} THEN array('') ELSE CAST(array() AS ARRAY<STRING>) END"
+    return f"CASE WHEN {path} RLIKE {q(_DOTS)} THEN array_join(concat({kept}, {tail}), '/') ELSE {path} END"
 
 
-def resolve_link(base: Column, link: Column) -> Column:
+def resolve_link(base: str, link: str) -> str:
     """Absolute form of a link found on the page ``base`` (an http or https URL)."""
-    ref = F.regexp_replace(F.regexp_replace(link, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    base_scheme = F.lower(F.regexp_extract(base, rf"^({_SCHEME}):", 1))
-    ref_scheme = F.lower(F.regexp_extract(ref, rf"^({_SCHEME}):", 1))
-    ref_path = F.regexp_extract(ref, _PATH, 1)
-    base_path = F.regexp_extract(base, _PATH, 1)
-    has_host = ref.rlike(rf"^(?:{_SCHEME}:)?//[^/?#]")
-
-    def mark(sign: str, part: Column) -> Column:
-        return F.when(part != "", F.concat(F.lit(sign), part)).otherwise("")
-
-    ref_query = F.regexp_extract(ref, _QUERY, 1)
-    base_query = F.regexp_extract(base, _QUERY, 1)
-    fragment = mark("#", F.regexp_extract(ref, _FRAGMENT, 1))
-
-    def build(host: Column, path: Column, query: Column) -> Column:
-        rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
-        return F.concat(base_scheme, F.lit("://"), host, rooted, mark("?", query), fragment)
-
-    base_host = F.regexp_extract(base, _HOST, 1)
-    merged = F.regexp_replace(
-        F.concat(F.regexp_replace(base_path, "[^/]*$", ""), ref_path), "/{2,}", "/"
+    ref_path = group("ref", _PATH)
+    ref_query = group("ref", _QUERY)
+    base_path = group(base, _PATH)
+    fragment = group("ref", _FRAGMENT)
+    scheme = f"lower({group(base, f'^({_SCHEME}):')})"
+    ref_scheme = f"lower({group('ref', f'^({_SCHEME}):')})"
+    host = group(base, _HOST)
+    merged = replace_all(f"concat({replace_all(base_path, ('[^/]*$', ''))}, {ref_path})", ("/{2,}", "/"))
+
+    def build(at: str, path: str, query: str) -> str:
+        rooted = bind(path, "p", "CASE WHEN p = '' OR startswith(p, '/') THEN p ELSE concat('/', p) END")
+        return f"concat({scheme}, '://', {at}, {rooted}, {query}, {fragment})"
+
+    folded = bind(
+        f"CASE WHEN startswith({ref_path}, '/') THEN {ref_path} ELSE {merged} END",
+        "m",
+        f"coalesce(nullif({_fold_dots('m')}, ''), '/')",
     )
-    full = F.when(ref_path.startswith("/"), _fold_dots(ref_path)).otherwise(_fold_dots(merged))
-    full = F.when(full == "", F.lit("/")).otherwise(full)
-    return (
-        F.when(base.isNull() | (base == ""), link)
-        .when(link == "", base)
-        .when((ref_scheme != "") & (ref_scheme != base_scheme), link)
-        .when(has_host, build(F.regexp_extract(ref, _HOST, 1), ref_path, ref_query))
-        .when(
-            ref_path == "",
-            build(base_host, base_path, F.when(ref_query != "", ref_query).otherwise(base_query)),
-        )
-        .otherwise(build(base_host, full, ref_query))
+    same_page = build(host, base_path, f"coalesce(nullif({ref_query}, ''), {group(base, _QUERY)})")
+    has_host = q(rf"^(?:{_SCHEME}:)?//[^/?#]")
+    chosen = (
+        f"CASE WHEN {base} IS NULL OR {base} = '' THEN {link} WHEN {link} = '' THEN {base}"
+        f" WHEN {ref_scheme} NOT IN ('', {scheme}) THEN {link}"
+        f" WHEN ref RLIKE {has_host} THEN {build(group('ref', _HOST), ref_path, ref_query)}"
+        f" WHEN {ref_path} = '' THEN {same_page}"
+        f" ELSE {build(host, folded, ref_query)} END"
     )
+    return bind(replace_all(link, (r"^[\x00-\x20]+", ""), (r"[\t\r\n]", "")), "ref", chosen)
 
 
-def reddit_json_url(url: Column) -> Column:
+def reddit_json_url(url: str) -> str:
     """Address of the JSON form of a thread. A query string is left where it stands."""
-    return F.when(url.endswith(".json"), url).otherwise(
-        F.concat(F.regexp_replace(url, r"/\z", ""), F.lit(".json"))
-    )
+    cut = replace_all(url, (r"/\z", ""))
+    return f"CASE WHEN endswith({url}, '.json') THEN {url} ELSE concat({cut}, '.json') END"
 
 
-def drive_download_url(file_id: Column) -> Column:
-    return F.concat(F.lit("https://drive.google.com/uc?export=download&id="), file_id)
+def drive_download_url(file_id: str) -> str:
+    return f"concat('https://drive.google.com/uc?export=download&id=', {file_id})"
 
 
-def base_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+def base_name(path: str) -> str:
+    return f"substring_index({path}, '/', -1)"

@@ -12,11 +12,11 @@ def discover(sources: DataFrame, facts: DataFrame) -> DataFrame:
     An article stands for itself and is not looked up. Any other source gives the article
     links of its page, and itself if the page has none or is missing.
     """
-    own = is_article_url(F.col("source"))
+    own = F.expr(is_article_url("source"))
     itself = F.array("source")
     articles = sources.where(own).withColumn("found", itself)
     hubs = skew_join(
-        sources.where(~own).withColumn("url_key", url_key(F.col("source"))),
+        sources.where(~own).withColumn("url_key", F.expr(url_key("source"))),
         facts.select("url_key", "links"),
         "url_key",
         "left",
@@ -24,7 +24,7 @@ def discover(sources: DataFrame, facts: DataFrame) -> DataFrame:
     hubs = hubs.withColumn("found", F.when(F.size("links") > 0, F.col("links")).otherwise(itself))
     both = articles.unionByName(hubs.select(*articles.columns))
     return both.select(*sources.columns, F.posexplode("found").alias("page_seq", "url")).withColumn(
-        "url_key", url_key(F.col("url"))
+        "url_key", F.expr(url_key("url"))
     )
 
 
@@ -39,7 +39,7 @@ def explode_links(pages: DataFrame, links: str) -> DataFrame:
     """Second hop: one row per link of a fetched page, with ``item_seq``."""
     kept = [c for c in pages.columns if c not in ("url", "url_key", "fetched", links)]
     return pages.select(*kept, F.posexplode(links).alias("item_seq", "url")).withColumn(
-        "url_key", url_key(F.col("url"))
+        "url_key", F.expr(url_key("url"))
     )
 
 

@@ -32,9 +32,7 @@ def finish_items(items: DataFrame) -> DataFrame:
 def resolve_types(items: DataFrame) -> DataFrame:
     return items.withColumn(
         "content_type",
-        resolve_content_type(
-            F.col("force_content_type"), F.col("content_type"), F.col("source"), F.col("is_file")
-        ),
+        resolve_content_type("force_content_type", "content_type", "source", "is_file"),
     )
 
 

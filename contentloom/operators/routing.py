@@ -88,11 +88,12 @@ PLAIN_ENDINGS = ("txt", "bat", "c", "h", "ksh", "pl")
 PACKED_ENDINGS = ("gz", "Z", "bz2", "xz", "br")
 
 
-def infer_content_type(source: Column, exists: Column) -> Column:
+def infer_content_type(source: str, exists: str) -> Column:
+    """From the file ending of an existing file, else from the host. Takes column names."""
     name = F.regexp_replace(source, rf"\.(?:{'|'.join(PACKED_ENDINGS)})\z", "")
     ending = F.lower(F.regexp_extract(name, r"[^/.][^/]*\.([^./]*)\z", 1))
-    file = F.coalesce(exists, F.lit(False))
-    host = url_host(source)
+    file = F.coalesce(F.col(exists), F.lit(False))
+    host = F.expr(url_host(source))
     return (
         F.when(file & (ending == "pdf"), "book")
         .when(file & ending.isin(*PLAIN_ENDINGS), "call_transcript")
@@ -102,8 +103,8 @@ def infer_content_type(source: Column, exists: Column) -> Column:
     )
 
 
-def resolve_content_type(forced: Column, own: Column, source: Column, exists: Column) -> Column:
-    """The forced type, else the item's own, else one told from the source."""
+def resolve_content_type(forced: str, own: str, source: str, exists: str) -> Column:
+    """The forced type, else the item's own, else one told from the source. Takes column names."""
     return F.coalesce(
-        F.nullif(forced, F.lit("")), F.nullif(own, F.lit("")), infer_content_type(source, exists)
+        F.expr(f"nullif({forced}, '')"), F.expr(f"nullif({own}, '')"), infer_content_type(source, exists)
     )

@@ -47,7 +47,7 @@ def _file_items(sources: DataFrame, texts: DataFrame, make, key: str) -> DataFra
 
 
 def _drive(sources: DataFrame, store: Store) -> DataFrame:
-    own = sources.select("source_id", "run", url_key(F.col("source")).alias("url_key"))
+    own = sources.select("source_id", "run", F.expr(url_key("source")).alias("url_key"))
     listings = page_nodes(one_per_key(store.pages.join(own, "url_key", "left_semi")), "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
     links = first_names(listing_links(listings), ["url_key"])

@@ -8,7 +8,7 @@ from contentloom.schemas import item_columns
 
 
 def _own_pages(sources: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
-    own = sources.select("source_id", "run", F.col("source").alias("url"), url_key(F.col("source")).alias("url_key"))
+    own = sources.select("source_id", "run", F.col("source").alias("url"), F.expr(url_key("source")).alias("url_key"))
     return fetch(own, facts, *columns).where("fetched")
 
 

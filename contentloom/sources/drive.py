@@ -1,8 +1,9 @@
 """Drive folder listings and the books they name."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from contentloom.functions.elements import plain_text, subtree
+from contentloom.functions.elements import plain_text, select, subtree
+from contentloom.functions.sql import group, q
 from contentloom.functions.text import WS, file_title, strip, text_to_markdown
 from contentloom.functions.urls import drive_download_url
 from contentloom.operators.skew import skew_join
@@ -15,52 +16,38 @@ SCRIPT_FILE = (
 )
 
 
-def script_links(script: Column) -> Column:
+def script_links(script: str) -> str:
     """``ARRAY<STRUCT<file_id, name>>`` of one script's text."""
-    return F.arrays_zip(
-        F.regexp_extract_all(script, F.lit(SCRIPT_FILE), F.lit(1)).alias("file_id"),
-        F.regexp_extract_all(script, F.lit(SCRIPT_FILE), F.lit(2)).alias("name"),
+    rule = q(SCRIPT_FILE)
+    return (
+        f"zip_with(regexp_extract_all({script}, {rule}, 1), regexp_extract_all({script}, {rule}, 2),"
+        " (i, n) -> struct(i AS file_id, n AS name))"
     )
 
 
-def _script_links(nodes: Column) -> Column:
-    texts = F.filter(
-        nodes,
-        lambda e: (e["tag"] == "#text") & (e["parent_tag"] == "script") & e["text"].contains("application/pdf"),
-    )
-    return F.flatten(F.transform(texts, lambda e: script_links(e["text"])))
+def _all_script_links() -> str:
+    texts = select("e.tag = '#text' AND e.parent_tag = 'script' AND contains(e.text, 'application/pdf')")
+    return f"flatten(transform({texts}, e -> {script_links('e.text')}))"
 
 
-def anchor_links(nodes: Column) -> Column:
-    """``ARRAY<STRUCT<file_id, name>>`` of the links to PDF files."""
-    anchors = F.filter(nodes, lambda e: (e["tag"] == "a") & e["href"].rlike("/file/d/.+/view"))
-    texts = F.transform(
-        anchors, lambda a: F.struct(a["href"].alias("href"), plain_text(subtree(nodes, a)).alias("text"))
-    )
-    books = F.filter(
-        texts,
-        lambda a: F.lower(a["text"]).contains(".pdf") | F.lower(a["href"]).contains(".pdf"),
+def anchor_links() -> str:
+    """``ARRAY<STRUCT<file_id, name>>`` of the links to PDF files of a page's ``nodes``."""
+    anchors = select("e.tag = 'a' AND e.href RLIKE '/file/d/.+/view'")
+    texts = f"transform({anchors}, a -> struct(a.href AS href, {plain_text(subtree('a'))} AS text))"
+    books = f"filter({texts}, a -> contains(lower(a.text), '.pdf') OR contains(lower(a.href), '.pdf'))"
+    from_address = "concat(element_at(split(a.href, '/'), -2), '.pdf')"
+    named = (
+        f"transform({books}, a -> struct({group('a.href', '/file/d/([^/]+)')} AS file_id,"
+        f" coalesce(nullif({strip('a.text')}, ''), {from_address}) AS name))"
     )
-    named = F.transform(
-        books,
-        lambda a: F.struct(
-            F.regexp_extract(a["href"], "/file/d/([^/]+)", 1).alias("file_id"),
-            F.coalesce(
-                F.nullif(strip(a["text"]), F.lit("")),
-                F.concat(F.element_at(F.split(a["href"], "/"), -2), F.lit(".pdf")),
-            ).alias("name"),
-        ),
-    )
-    return F.filter(named, lambda a: a["file_id"] != "")
+    return f"filter({named}, a -> a.file_id <> '')"
 
 
 def listing_links(listings: DataFrame) -> DataFrame:
     """``nodes`` to one row per named file: links in scripts first, then anchors; repeats stay."""
-    links = F.concat(_script_links(F.col("nodes")), anchor_links(F.col("nodes")))
     kept = [c for c in listings.columns if c != "nodes"]
-    return listings.select(*kept, F.posexplode(links).alias("pos", "link")).select(
-        *kept, "pos", drive_download_url(F.col("link.file_id")).alias("url"), F.col("link.name").alias("name")
-    )
+    links = listings.selectExpr(*kept, f"posexplode(concat({_all_script_links()}, {anchor_links()})) AS (pos, link)")
+    return links.selectExpr(*kept, "pos", f"{drive_download_url('link.file_id')} AS url", "link.name AS name")
 
 
 def first_names(links: DataFrame, group: list[str]) -> DataFrame:
@@ -75,13 +62,13 @@ def drive_items(links: DataFrame, page_texts: DataFrame) -> DataFrame:
     """
     books = book_texts(page_texts, "url")
     # Rules run once per book, not once per link to it.
-    books = books.select("url", text_to_markdown(F.col("text")).alias("text"))
-    local = F.concat(F.lit("_gdrive_"), F.translate("name", " ", "_"))
+    books = books.selectExpr("url", f"{text_to_markdown('text')} AS text")
+    local = "concat('_gdrive_', translate(name, ' ', '_'))"
     found = skew_join(links.where(~F.col("name").contains("/")), books, "url")
     kept = [c for c in links.columns if c not in ("url", "name", "pos")]
     return found.select(
         *kept,
         F.lit(0).alias("page_seq"),
         F.col("pos").alias("item_seq"),
-        *item_columns(file_title(local), F.col("text"), "book", F.col("url")),
+        *item_columns(F.expr(file_title(local)), F.col("text"), "book", F.col("url")),
     )

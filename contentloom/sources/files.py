@@ -12,14 +12,14 @@ def scan_text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths)
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
-    return files.select("path", F.when(valid, unix_newlines(text)).alias("text"), valid.alias("valid"))
+    return files.select("path", F.when(valid, F.expr(unix_newlines("CAST(content AS STRING)"))).alias("text"), valid.alias("valid"))
 
 
 def text_items(files: DataFrame, content_type: str) -> DataFrame:
     """One item per readable file, named after it. Other columns are kept."""
     return files.where(F.col("text").isNotNull()).select(
         *[c for c in files.columns if c not in ("text", "valid")],
-        *item_columns(base_name(F.col("path")), text_to_markdown(F.col("text")), content_type),
+        *item_columns(F.expr(base_name("path")), F.expr(text_to_markdown("text")), content_type),
     )
 
 
@@ -58,5 +58,5 @@ def book_texts(page_texts: DataFrame, key: str = "file") -> DataFrame:
 def book_items(page_texts: DataFrame) -> DataFrame:
     """One item per book, named after its file without ``.pdf``."""
     return book_texts(page_texts).select(
-        "file", *item_columns(file_title(F.col("file")), text_to_markdown(F.col("text")), "book")
+        "file", *item_columns(F.expr(file_title("file")), F.expr(text_to_markdown("text")), "book")
     )

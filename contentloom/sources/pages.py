@@ -12,7 +12,7 @@ from contentloom.operators.dom import dom_nodes
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Crawled pages with the key that a request would use."""
     pages = spark.read.parquet(path)
-    return pages.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "html")
+    return pages.selectExpr("page_id", "url", f"{url_key('url')} AS url_key", "html")
 
 
 def spread_scan(pages: DataFrame) -> DataFrame:
@@ -35,26 +35,33 @@ def page_facts(pages: DataFrame) -> DataFrame:
     ``readable`` is false for a page the parser gives up on. Staged as a table, it lets each
     hop of a crawl join the few columns it needs instead of HTML.
     """
-    n, url = F.col("nodes"), F.col("url")
-    date, body = P.page_date(n), markdown(P.article_body(n))
-    return page_nodes(pages, "page_id", "url", "url_key").select(
+    # What several columns are made of comes first, so that it is worked out once.
+    shared = page_nodes(pages, "page_id", "url", "url_key").selectExpr(
+        "*", f"{P.anchors()} AS anchors", f"{P.page_date()} AS date"
+    )
+    return shared.selectExpr(
         "page_id",
         "url_key",
-        n.isNotNull().alias("readable"),
-        P.article_links(n, url).alias("links"),
-        F.size(P.post_containers(n)).alias("n_containers"),
-        P.hub_links(n, url).alias("hub_links"),
-        P.read_more_links(n, url).alias("rendered_links"),
-        P.page_title(n).alias("page_title"),
-        P.article_title(n).alias("article_title"),
-        P.h1_text(n).alias("h1"),
-        P.document_title(n).alias("document_title"),
-        F.when(date != "", F.concat(F.lit("Date: "), date, F.lit("\n\n"), body)).otherwise(body).alias("article"),
-        plain_markdown(main_text(n)).alias("main"),
-        markdown(P.break_words_post(n)).alias("post"),
+        "nodes IS NOT NULL AS readable",
+        f"{P.article_links()} AS links",
+        f"size({P.post_containers()}) AS n_containers",
+        f"{P.hub_links()} AS hub_links",
+        f"{P.read_more_links()} AS rendered_links",
+        f"{P.page_title()} AS page_title",
+        f"{P.article_title()} AS article_title",
+        f"{P.h1_text()} AS h1",
+        f"{P.document_title()} AS document_title",
+        f"{article_markdown('date')} AS article",
+        f"{plain_markdown(main_text())} AS main",
+        f"{markdown(P.break_words_post())} AS post",
     )
 
 
+def article_markdown(date: str) -> str:
+    """Body of an article, under its date if it has one."""
+    return f"concat(CASE WHEN {date} <> '' THEN concat('Date: ', {date}, '\\n\\n') ELSE '' END, {markdown(P.article_body())})"
+
+
 def one_per_key(rows: DataFrame, key: str = "url_key", row_id: str = "page_id") -> DataFrame:
     """The row with the lowest id of each key.
 

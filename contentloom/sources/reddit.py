@@ -44,19 +44,19 @@ def first_comments(threads: DataFrame) -> DataFrame:
 def comment_items(threads: DataFrame, url: str = "source", unescape: bool = True) -> DataFrame:
     """Items of threads ``(url, body)``. Listings escape their HTML; ``unescape`` undoes that."""
     comments = first_comments(threads)
-    body = decode_entities(F.col("body_html")) if unescape else F.col("body_html")
-    parsed = dom_nodes(comments.withColumn("body_html", body), "body_html")
+    body = decode_entities("body_html") if unescape else "body_html"
+    parsed = dom_nodes(comments.withColumn("body_html", F.expr(body)), "body_html")
     name = F.concat(F.lit("Reddit comment by "), F.coalesce(F.col("author"), F.lit("None")))
     kept = [c for c in parsed.columns if c not in ("nodes", "author", "user_id")]
     return parsed.where(F.col("nodes").isNotNull()).select(
         *kept,
-        *item_columns(name, markdown(F.col("nodes")), "reddit_comment", F.col(url), F.col("author"), F.col("user_id")),
+        *item_columns(name, F.expr(markdown()), "reddit_comment", F.col(url), F.col("author"), F.col("user_id")),
     )
 
 
 def reddit_items(sources: DataFrame, threads: DataFrame, unescape: bool = True) -> DataFrame:
     """Sources whose stored thread ``(json_url, body)`` is there; all else gives no item."""
-    wanted = sources.withColumn("json_url", reddit_json_url(F.col("source")))
+    wanted = sources.withColumn("json_url", F.expr(reddit_json_url("source")))
     fetched = skew_join(wanted, threads.select("json_url", "body"), "json_url")
     items = comment_items(fetched.drop("json_url"), "source", unescape)
     return items.withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))

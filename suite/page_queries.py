@@ -6,16 +6,12 @@ from contentloom.functions import page as P
 from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown
 from contentloom.schemas import item_columns
-from contentloom.sources.pages import page_nodes
+from contentloom.sources.pages import article_markdown, page_nodes
 from suite.base import (
     ARTICLE_MD_SQL, CLEAN_HTML, DOC_TITLE_SQL, MAIN_SQL, PAGE_TITLE_SQL, decode_sql, escape_sql, expr, query, table,
 )
 from suite.text_queries import item_sql
 
-def _n():
-    return F.col("nodes")
-
-
 def _real(spark, sf_dir, *keep):
     return page_nodes(table(spark, sf_dir, "pages"), "page_id", *keep)
 
@@ -29,24 +25,24 @@ def _real(spark, sf_dir, *keep):
     UNION ALL SELECT page_id, 'script', 1 FROM pages UNION ALL SELECT page_id, 'style', 1 FROM pages""",
 )
 def dom_nodes_query(spark, sf_dir):
-    opened = F.filter(_n(), lambda e: ~e["tag"].rlike("^[#/]"))
+    opened = expr("filter(nodes, e -> NOT e.tag RLIKE '^[#/]')")
     tags = _real(spark, sf_dir).select("page_id", F.explode(opened).alias("e"))
     return tags.groupBy("page_id", F.col("e.tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query("page_titles", f"SELECT page_id, {PAGE_TITLE_SQL} AS title FROM pages")
 def page_titles(spark, sf_dir):
-    return _real(spark, sf_dir).select("page_id", P.page_title(_n()).alias("title"))
+    return _real(spark, sf_dir).select("page_id", expr(P.page_title()).alias("title"))
 
 
 @query("doc_titles", f"SELECT page_id, {DOC_TITLE_SQL} AS title FROM pages")
 def doc_titles(spark, sf_dir):
-    return _real(spark, sf_dir).select("page_id", P.document_title(_n()).alias("title"))
+    return _real(spark, sf_dir).select("page_id", expr(P.document_title()).alias("title"))
 
 
 @query("main_text_pages", f"SELECT page_id, {MAIN_SQL} AS main FROM pages WHERE {MAIN_SQL} IS NOT NULL")
 def main_text_pages(spark, sf_dir):
-    lines = _real(spark, sf_dir).select("page_id", main_text(_n()).alias("main"))
+    lines = _real(spark, sf_dir).select("page_id", expr(main_text()).alias("main"))
     return lines.where(F.col("main").isNotNull())
 
 
@@ -71,12 +67,12 @@ _FOOTER = "regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>|$)', 1)"
       || chr(10) || chr(10) || footer AS markdown FROM p""",
 )
 def page_markdown(spark, sf_dir):
-    return _real(spark, sf_dir).select("page_id", markdown(_n()).alias("markdown"))
+    return _real(spark, sf_dir).select("page_id", expr(markdown()).alias("markdown"))
 
 
 @query("article_bodies", f"SELECT page_id, {ARTICLE_MD_SQL} AS body FROM pages")
 def article_bodies(spark, sf_dir):
-    return _real(spark, sf_dir).select("page_id", markdown(P.article_body(_n())).alias("body"))
+    return _real(spark, sf_dir).select("page_id", expr(markdown(P.article_body())).alias("body"))
 
 
 # Articles in five forms, one per customer.
@@ -119,12 +115,12 @@ _A_BODY = f"""CASE c_custkey % 5
 
 @query("article_titles", f"SELECT c_custkey AS page_id, {_A_TITLE} AS title FROM customer")
 def article_titles(spark, sf_dir):
-    return _articles(spark, sf_dir).select("page_id", F.coalesce(P.article_title(_n()), F.col("url")).alias("title"))
+    return _articles(spark, sf_dir).select("page_id", F.coalesce(expr(P.article_title()), F.col("url")).alias("title"))
 
 
 @query("page_dates", f"SELECT c_custkey AS page_id, {_A_DATE} AS date FROM customer")
 def page_dates(spark, sf_dir):
-    return _articles(spark, sf_dir).select("page_id", P.page_date(_n()).alias("date"))
+    return _articles(spark, sf_dir).select("page_id", expr(P.page_date()).alias("date"))
 
 
 @query(
@@ -137,7 +133,7 @@ def page_dates(spark, sf_dir):
     FROM customer WHERE c_custkey % 5 IN (1, 2, 4)""",
 )
 def largest_div(spark, sf_dir):
-    best = _articles(spark, sf_dir).select("page_id", P.largest_div(_n()).alias("d")).where(F.col("d").isNotNull())
+    best = _articles(spark, sf_dir).select("page_id", expr(P.largest_div()).alias("d")).where(F.col("d").isNotNull())
     return best.select(
         "page_id",
         F.coalesce("d.classes", F.lit("")).alias("classes"),
@@ -153,11 +149,10 @@ _DATED = f"CASE WHEN {_A_DATE} <> '' THEN 'Date: ' || {_A_DATE} || chr(10) || ch
     f"SELECT c_custkey AS page_id, {item_sql(_A_TITLE, _DATED, 'blog', _A_URL)} FROM customer",
 )
 def article_items(spark, sf_dir):
-    date, body = P.page_date(_n()), markdown(P.article_body(_n()))
-    content = F.when(date != "", F.concat(F.lit("Date: "), date, F.lit("\n\n"), body)).otherwise(body)
-    return _articles(spark, sf_dir).select(
+    content = expr(article_markdown("date"))
+    return _articles(spark, sf_dir).withColumn("date", expr(P.page_date())).select(
         "page_id",
-        *item_columns(F.coalesce(P.article_title(_n()), F.col("url")), content, "blog", F.col("url")),
+        *item_columns(F.coalesce(expr(P.article_title()), F.col("url")), content, "blog", F.col("url")),
     )
 
 
@@ -185,12 +180,12 @@ def quill_posts(spark, sf_dir):
         expr(QUILL_HTML).alias("html"),
     )
     posts = page_nodes(pages, "page_id", "url").select(
-        "page_id", "url", F.posexplode(P.quill_posts(_n())).alias("item_seq", "post")
+        "page_id", "url", F.posexplode(expr(P.quill_posts())).alias("item_seq", "post")
     )
     return posts.select(
         "page_id",
         F.col("item_seq").cast("long").alias("item_seq"),
-        *item_columns(F.col("post.title"), markdown(F.col("post.body")), "blog", F.col("url")),
+        *item_columns(F.col("post.title"), expr(markdown("post.body")), "blog", F.col("url")),
     )
 
 
@@ -210,5 +205,5 @@ def _posts(spark, sf_dir):
 
 @query("linkedin_posts", f"SELECT c_custkey AS page_id, {_P_BODY} AS post FROM customer WHERE c_custkey % 3 <> 0")
 def linkedin_posts(spark, sf_dir):
-    posts = page_nodes(_posts(spark, sf_dir), "page_id").select("page_id", markdown(P.break_words_post(_n())).alias("post"))
+    posts = page_nodes(_posts(spark, sf_dir), "page_id").select("page_id", expr(markdown(P.break_words_post())).alias("post"))
     return posts.where(F.col("post").isNotNull())

@@ -46,7 +46,7 @@ def text_markdown(spark, sf_dir):
     talks = _conversations(spark, sf_dir, LINE, "\n").select(
         F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "text"
     )
-    return documents.unionByName(talks).select("kind", "id", T.text_to_markdown(F.col("text")).alias("markdown"))
+    return documents.unionByName(talks).select("kind", "id", expr(T.text_to_markdown("text")).alias("markdown"))
 
 
 @query(
@@ -69,11 +69,11 @@ def transcript_items(spark, sf_dir):
 )
 def generic_items(spark, sf_dir):
     # Line ends as another system would have written them.
-    raw = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
+    raw = "replace(text, '\\n', '\\r\\n')"
     files = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("/notes/doc_"), "doc_id", F.lit(".md")).alias("path"),
-        T.unix_newlines(raw).alias("text"),
+        expr(T.unix_newlines(raw)).alias("text"),
     )
     return S.generic_items(files).select("doc_id", *ITEM_FIELDS)
 
@@ -116,14 +116,14 @@ CHAPTER = "concat(CASE WHEN conv_id % 9 = 8 THEN 'Part ' ELSE 'Chapter ' END, ca
 )
 def chapters(spark, sf_dir):
     books = _conversations(spark, sf_dir, CHAPTER, "\n")
-    return books.select("conv_id", F.posexplode(T.chapters(F.col("text"))).alias("pos", "c")).select(
+    return books.select("conv_id", F.posexplode(expr(T.chapters("text"))).alias("pos", "c")).select(
         "conv_id", F.col("pos").cast("long").alias("pos"), "c.title", "c.content"
     )
 
 
 @query("decode_entities", f"SELECT page_id, {decode_sql('html')} AS text FROM pages")
 def decode_entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.decode_entities(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", expr(T.decode_entities("html")).alias("text"))
 
 
 # Threads: every seventh has no comment, every eleventh no author, every thirteenth is not JSON.
@@ -175,7 +175,7 @@ _URL = "'https://drive.google.com/uc?export=download&id='"
 )
 def drive_script_links(spark, sf_dir):
     scripts = table(spark, sf_dir, "part").select("p_partkey", expr(SCRIPT_ROW).alias("script"))
-    return scripts.select("p_partkey", F.inline(D.script_links(F.col("script")))).select("p_partkey", "file_id", "name")
+    return scripts.select("p_partkey", F.inline(expr(D.script_links("script")))).select("p_partkey", "file_id", "name")
 
 
 # A third of the anchors has no text but .pdf in its address, a third is no PDF at all.
@@ -192,7 +192,7 @@ _ANCHOR_NAME = f"CASE p_partkey % 3 WHEN 0 THEN p_brand || ' & ' || {FILE_NAME}
 )
 def drive_anchor_links(spark, sf_dir):
     pages = table(spark, sf_dir, "part").select("p_partkey", expr(ANCHOR).alias("html"))
-    return dom_nodes(pages).select("p_partkey", F.inline(D.anchor_links(F.col("nodes"))))
+    return dom_nodes(pages).select("p_partkey", F.inline(expr(D.anchor_links())))
 
 
 def _listings(spark, sf_dir):

@@ -24,13 +24,12 @@ def scan_pages_query(spark, sf_dir):
     FROM pages""",
 )
 def url_parts(spark, sf_dir):
-    url = F.col("url")
     return table(spark, sf_dir, "pages").select(
         "page_id",
         "url",
-        urls.url_host(url).alias("host"),
-        urls.url_path(url).alias("path"),
-        urls.url_key(url).alias("url_key"),
+        expr(urls.url_host("url")).alias("host"),
+        expr(urls.url_path("url")).alias("path"),
+        expr(urls.url_key("url")).alias("url_key"),
     )
 
 
@@ -53,7 +52,7 @@ def article_urls(spark, sf_dir):
     both = table(spark, sf_dir, "pages").select("url").unionByName(
         table(spark, sf_dir, "customer").select(expr(CUSTOMER_URL).alias("url"))
     )
-    return both.select("url", urls.is_article_url(F.col("url")).alias("is_article"))
+    return both.select("url", expr(urls.is_article_url("url")).alias("is_article"))
 
 
 LINK_FORMS = (
@@ -90,7 +89,7 @@ def resolve_links(spark, sf_dir):
     return (
         table(spark, sf_dir, "pages")
         .select("page_id", "url", forms)
-        .select("page_id", "link", urls.resolve_link(F.col("url"), F.col("link")).alias("resolved"))
+        .select("page_id", "link", expr(urls.resolve_link("url", "link")).alias("resolved"))
     )
 
 
@@ -109,7 +108,7 @@ THREAD_URL = (
 )
 def reddit_json_urls(spark, sf_dir):
     threads = table(spark, sf_dir, "customer").select(expr(THREAD_URL).alias("url"))
-    return threads.select("url", urls.reddit_json_url(F.col("url")).alias("json_url"))
+    return threads.select("url", expr(urls.reddit_json_url("url")).alias("json_url"))
 
 
 MANIFEST_COLUMNS = {
@@ -165,9 +164,7 @@ def content_types(spark, sf_dir):
     typed = manifest(spark, sf_dir).withColumn("own", expr(_OWN))
     return typed.select(
         "source_id",
-        resolve_content_type(
-            F.col("force_content_type"), F.col("own"), F.col("source"), F.col("is_file")
-        ).alias("content_type"),
+        resolve_content_type("force_content_type", "own", "source", "is_file").alias("content_type"),
     )
 
 
