@@ -1,6 +1,7 @@
 """Selections over a column of document events. An element is known by its opening event.
 
-Tests are expressions over an event named ``e``.
+Tests are expressions over an event named ``e``. The columns read are ``nodes``, all events,
+and ``elements``, the openings among them.
 """
 
 from contentloom.functions.sql import bind, q, q_list
@@ -27,13 +28,17 @@ def class_holds(*parts: str) -> str:
     return " AND ".join(f"coalesce(contains(e.classes, {q(p)}), false)" for p in parts)
 
 
-def select(test: str, nodes: str = "nodes") -> str:
-    return f"filter({nodes}, e -> {test})"
+# Looking for an element passes over texts and closings once, not once per search.
+ELEMENTS = "filter(nodes, e -> NOT e.tag RLIKE '^[#/]')"
 
 
-def first(test: str, nodes: str = "nodes") -> str:
+def select(test: str, events: str = "elements") -> str:
+    return f"filter({events}, e -> {test})"
+
+
+def first(test: str, events: str = "elements") -> str:
     """First match in document order, or NULL."""
-    return f"try_element_at({select(test, nodes)}, 1)"
+    return f"try_element_at({select(test, events)}, 1)"
 
 
 def subtree(element: str, nodes: str = "nodes") -> str:

@@ -22,7 +22,7 @@ _PIECE = f"""CASE
 _SHOWN = replace_all(
     "x",
     (rf"[{LINK}{LINK_END}]", ""),
-    (r"(?U)\s+", " "),
+    (r"(?U)\s{2,}|[^\S ]", " "),
     (rf" ?{CELL_END} ?", CELL_END),
     (rf"^[ {CELL_END}]+|[ {CELL_END}]+\z", ""),
     (CELL_END, " | "),
@@ -36,10 +36,10 @@ def _mostly_links(line: str) -> str:
     return f"contains({line}, {q(LINK)}) AND {bind(bare, 'b', f'({size} - {rest}) * 2 > {size}')}"
 
 
-def main_text(nodes: str = "nodes") -> str:
+def main_text() -> str:
     """One line per paragraph, heading, list item, quote or table row; NULL if nothing is left."""
-    regions = [first(f"e.tag = '{tag}' AND NOT {marked('e', CHROME)}", nodes) for tag in ("article", "main", "body")]
-    events = f"coalesce({subtree(f'coalesce({", ".join(regions)})', nodes)}, {nodes})"
+    regions = [first(f"e.tag = '{tag}' AND NOT {marked('e', CHROME)}") for tag in ("article", "main", "body")]
+    events = f"coalesce({subtree(f'coalesce({", ".join(regions)})')}, nodes)"
     lines = f"split(array_join(transform({events}, e -> {_PIECE}), ''), {q(LINE)})"
     shown = f"transform(filter({lines}, x -> NOT ({_mostly_links('x')})), x -> {_SHOWN})"
     return f"nullif(array_join(filter({shown}, x -> x <> ''), '\\n'), '')"

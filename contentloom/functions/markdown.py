@@ -39,7 +39,8 @@ def escape(text: str) -> str:
 
 
 def _collapse(text: str) -> str:
-    return replace_all(text, (r"\s*[\r\n]\s*", "\n"), (r"[ \t\x0B\f]+", " "))
+    one_line = replace_all(text, (r" {2,}|[ \t\x0B\f]*[\t\x0B\f][ \t\x0B\f]*", " "))
+    return f"CASE WHEN {text} RLIKE '[\\\\r\\\\n]' THEN {replace_all(one_line, (r' ?[\r\n]\s*', chr(10)))} ELSE {one_line} END"
 
 
 _LISTS = "(e.bullets + e.numbers)"
@@ -98,36 +99,51 @@ _PIECE = f"""CASE
 _OPEN = f"{BOLD}{ITALIC}"
 _SHUT = f"{BOLD_END}{ITALIC_END}"
 _BLANK = rf"\s{QUOTE}{INDENT}{BREAK}"
-_ANY_SIGN = f"[{_OPEN}{_SHUT}]"
 
-# Each step runs only on text that shows its trigger: (trigger, ((pattern, put), ...)).
+def _holds(*signs: str) -> str:
+    return " OR ".join(f"contains(t, {q(s)})" for s in signs)
+
+
+def _matches(pattern: str) -> str:
+    return f"t RLIKE {q(pattern)}"
+
+
 _LINK_TIDY = (
     (rf"{LINK}([{_BLANK}]+)", rf"$1{LINK}"),
     (rf"([{_BLANK}]+)({LINK_MID}[^{LINK_END}]*{LINK_END})", "$2$1"),
 )
+
+
+def _outward(signs: str, run: str, blanks_first: bool):
+    """Blanks move out of emphasis: each run of signs and blanks is doubled, then one copy
+    keeps the blanks and the other the signs."""
+    drop_signs, drop_blanks = (COPY, COPY_END) if blanks_first else (COPY_END, COPY)
+    return (
+        (run, f"$1{COPY}$1{COPY_END}"),
+        (rf"[{signs}]+(?=[{signs}{_BLANK}]*{drop_signs})", ""),
+        (rf"[{_BLANK}]+(?=[{signs}{_BLANK}]*{drop_blanks})", ""),
+        (rf"[{COPY}{COPY_END}]", ""),
+    )
+
+
+# Each step runs only on text that shows its trigger: (trigger, ((pattern, put), ...)).
 _TIDY = (
-    (LINK, _LINK_TIDY),
+    (_holds(LINK), _LINK_TIDY),
     (
-        _ANY_SIGN,
-        (
-            # White space moves out of emphasis: each run of signs and blanks is doubled, then
-            # one copy keeps the blanks and the other the signs.
-            (rf"((?:[{_OPEN}]+[{_BLANK}]+)+[{_OPEN}]*)", f"$1{COPY}$1{COPY_END}"),
-            (rf"[{_OPEN}]+(?=[{_OPEN}{_BLANK}]*{COPY})", ""),
-            (rf"[{_BLANK}]+(?=[{_OPEN}{_BLANK}]*{COPY_END})", ""),
-            (rf"[{COPY}{COPY_END}]", ""),
-            (rf"([{_SHUT}]*(?:[{_BLANK}]+[{_SHUT}]+)+)", f"$1{COPY}$1{COPY_END}"),
-            (rf"[{_BLANK}]+(?=[{_SHUT}{_BLANK}]*{COPY})", ""),
-            (rf"[{_SHUT}]+(?=[{_SHUT}{_BLANK}]*{COPY_END})", ""),
-            (rf"[{COPY}{COPY_END}]", ""),
-            # Emphasis around nothing goes.
-            (rf"{BOLD}{BOLD_END}", ""),
-            (rf"{ITALIC}{ITALIC_END}", ""),
-            (rf"{BOLD}{BOLD_END}", ""),
-        ),
+        _matches(rf"[{_OPEN}][{_BLANK}]"),
+        _outward(_OPEN, rf"((?:[{_OPEN}]+[{_BLANK}]+)+[{_OPEN}]*)", True),
+    ),
+    (
+        _matches(rf"[{_BLANK}][{_SHUT}]"),
+        _outward(_SHUT, rf"([{_SHUT}]*(?:[{_BLANK}]+[{_SHUT}]+)+)", False),
+    ),
+    # Emphasis around nothing goes.
+    (
+        _matches(rf"[{_OPEN}][{_SHUT}]"),
+        ((rf"{BOLD}(?:{ITALIC}{ITALIC_END})*{BOLD_END}|{ITALIC}(?:{BOLD}{BOLD_END})*{ITALIC_END}", ""),),
     ),
     (
-        LINK,
+        _holds(LINK),
         (
             *_LINK_TIDY,
             (rf"{LINK}{LINK_MID}[^{LINK_END}]*{LINK_END}", ""),
@@ -142,10 +158,10 @@ _TIDY = (
             ),
         ),
     ),
-    (r"[ ]\n|\n[ ]|  ", ((r" *\n *", "\n"), (r" {2,}", " "))),
-    (f"[{QUOTE}{INDENT}]", ((rf"([{QUOTE}{INDENT}]) +", "$1"),)),
+    (_holds(" \n", "\n ", "  "), ((r" +\n *|\n +", "\n"), (r" {2,}", " "))),
+    (_holds(QUOTE, INDENT), ((rf"([{QUOTE}{INDENT}]) +", "$1"),)),
     (
-        BREAK,
+        _holds(BREAK),
         (
             # A line break at the end of a block shows nothing.
             (rf" *{BREAK}(?=[{_BLANK}]*?\n[{QUOTE}{INDENT}]*\n|[{_BLANK}]*(?:\z|[{ITEM}{ROW}]))", ""),
@@ -153,7 +169,7 @@ _TIDY = (
         ),
     ),
     (
-        GROUP,
+        _holds(GROUP),
         (
             (rf"[{_BLANK}]+(?=[{ITEM}{ROW}])", ""),
             (rf"{BULLET}[{_BLANK}]*", " "),
@@ -162,17 +178,18 @@ _TIDY = (
         ),
     ),
     # An item or row outside a list or table.
-    (f"[{ITEM}{BULLET}{ROW}]", ((f"[{ITEM}{ROW}]", "\n"), (rf"{BULLET}[{_BLANK}]*", " "))),
-    # Blank quoted lines before a line outside the quote.
-    (QUOTE, ((rf"\n({QUOTE}+)(?=(?:\n[{QUOTE}{INDENT}]*+)*\n(?!\1))(?=\n)", ""),)),
-    # Runs of blank lines.
-    (r"\n", ((rf"(\n[{QUOTE}{INDENT}]*+)(?:\n[{QUOTE}{INDENT}]*+)*(\n[{QUOTE}{INDENT}]*+)", "$1$2"),)),
-    (INDENT, ((rf"{INDENT}+(?=\n|\z)", ""),)),
-    (FENCE_END, ((rf"(?:{NEWLINE}{QUOTE}*)*{FENCE_END}", NEWLINE),)),
-    (rf"^[\s{INDENT}]|[{_BLANK}]\z", ((rf"^[\s{INDENT}]+|[{_BLANK}]+\z", ""),)),
-    (QUOTE, ((rf"{QUOTE}(?=\n)", ">"), (QUOTE, "> "))),
-    (_ANY_SIGN, ((f"[{BOLD}{BOLD_END}]", "**"), (f"[{ITALIC}{ITALIC_END}]", "*"))),
-    (LINK_MID, ((LINK_MID, "]("),)),
+    (_holds(ITEM, BULLET, ROW), ((f"[{ITEM}{ROW}]", "\n"), (rf"{BULLET}[{_BLANK}]*", " "))),
+    # Blank quoted lines before a line outside the quote, then runs of blank lines.
+    (_holds(QUOTE), ((rf"\n({QUOTE}+)(?=(?:\n[{QUOTE}{INDENT}]*+)*\n(?!\1))(?=\n)", ""),)),
+    (
+        _holds(QUOTE, INDENT),
+        (
+            (rf"(\n[{QUOTE}{INDENT}]*+)(?:\n[{QUOTE}{INDENT}]*+)*(\n[{QUOTE}{INDENT}]*+)", "$1$2"),
+            (rf"{INDENT}+(?=\n|\z)", ""),
+        ),
+    ),
+    (_holds("\n\n\n"), ((r"\n{3,}", "\n\n"),)),
+    (_holds(FENCE_END), ((rf"(?:{NEWLINE}{QUOTE}*)*{FENCE_END}", NEWLINE),)),
 )
 
 
@@ -180,11 +197,15 @@ def markdown(nodes: str = "nodes") -> str:
     """Markdown of a slice of document events, with ``#`` headings."""
     text = f"array_join(transform({nodes}, e -> {_PIECE}), '')"
     for trigger, changes in _TIDY:
-        text = bind(text, "t", f"CASE WHEN t RLIKE {q(trigger)} THEN {replace_all('t', *changes)} ELSE t END")
-    signs = LINK + LINK_END + AUTO + AUTO_END + ESC + INDENT + SPACE + TAB + NEWLINE
-    return f"translate({text}, {q(signs)}, {q('[)<>' + chr(92) + '  ' + chr(9) + chr(10))})"
+        text = bind(text, "t", f"CASE WHEN {trigger} THEN {replace_all('t', *changes)} ELSE t END")
+    blank = " \t\n\x0b\x0c\r" + INDENT
+    text = f"trim(TRAILING {q(blank + QUOTE)} FROM trim(LEADING {q(blank)} FROM {text}))"
+    for sign, shown in ((QUOTE + "\n", ">\n"), (QUOTE, "> "), (BOLD, "**"), (BOLD_END, "**"), (LINK_MID, "](")):
+        text = f"replace({text}, {q(sign)}, {q(shown)})"
+    signs = ITALIC + ITALIC_END + LINK + LINK_END + AUTO + AUTO_END + ESC + INDENT + SPACE + TAB + NEWLINE
+    return f"translate({text}, {q(signs)}, {q('**[)<>' + chr(92) + '  ' + chr(9) + chr(10))})"
 
 
 def plain_markdown(text: str) -> str:
     """Markdown of text that holds no markup: escapes, and collapses white space within lines."""
-    return replace_all(_collapse(text), (r"([*_])", r"\\$1"), (r"^\n|\n\z", ""))
+    return replace_all(bind(text, "m", _collapse("m")), (r"([*_])", r"\\$1"), (r"^\n|\n\z", ""))

@@ -1,6 +1,6 @@
 """What a page shows about itself: title, date, body, posts and links.
 
-Expressions over the columns ``nodes`` and, for links, ``url`` or ``anchors``.
+Expressions over the columns ``nodes`` and ``elements`` and, for links, ``url`` or ``anchors``.
 """
 
 from contentloom.functions.elements import (
@@ -95,7 +95,8 @@ def read_more_links() -> str:
     link must be an ancestor of that element.
     """
     labels = select(
-        f"e.tag = '#text' AND e.ord = 1 AND e.parent IS NOT NULL AND {any_of('e.text', READ_MORE)}"
+        f"e.tag = '#text' AND e.ord = 1 AND e.parent IS NOT NULL AND {any_of('e.text', READ_MORE)}",
+        "nodes",
     )
     wanted = f"filter(anchors, a -> {any_of('a.href', READ_MORE_PATHS)})"
     around = f"transform({labels}, t -> try_element_at(filter(w, a -> a.pos < t.parent AND a.end > t.pos), 1).url)"

@@ -6,8 +6,12 @@ from contentloom.functions.sql import bind, group, q, replace_all
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+# The same characters one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: str) -> str:
-    return replace_all(text, (rf"^[{WS}]+|[{WS}]+\z", ""))
+    return f"trim(BOTH {q(WS_CHARS)} FROM {text})"
 
 
 def unix_newlines(text: str) -> str:

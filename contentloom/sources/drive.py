@@ -26,7 +26,7 @@ def script_links(script: str) -> str:
 
 
 def _all_script_links() -> str:
-    texts = select("e.tag = '#text' AND e.parent_tag = 'script' AND contains(e.text, 'application/pdf')")
+    texts = select("e.tag = '#text' AND e.parent_tag = 'script' AND contains(e.text, 'application/pdf')", "nodes")
     return f"flatten(transform({texts}, e -> {script_links('e.text')}))"
 
 
@@ -45,7 +45,7 @@ def anchor_links() -> str:
 
 def listing_links(listings: DataFrame) -> DataFrame:
     """``nodes`` to one row per named file: links in scripts first, then anchors; repeats stay."""
-    kept = [c for c in listings.columns if c != "nodes"]
+    kept = [c for c in listings.columns if c not in ("nodes", "elements")]
     links = listings.selectExpr(*kept, f"posexplode(concat({_all_script_links()}, {anchor_links()})) AS (pos, link)")
     return links.selectExpr(*kept, "pos", f"{drive_download_url('link.file_id')} AS url", "link.name AS name")
 

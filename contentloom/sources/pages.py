@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.functions import page as P
+from contentloom.functions.elements import ELEMENTS
 from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown, plain_markdown
 from contentloom.functions.urls import url_key
@@ -25,8 +26,8 @@ def spread_scan(pages: DataFrame) -> DataFrame:
 
 
 def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
-    """Events of each page beside the columns ``keep``."""
-    return dom_nodes(spread_scan(pages.select(*keep, "html")))
+    """Events of each page, and its elements, beside the columns ``keep``."""
+    return dom_nodes(spread_scan(pages.select(*keep, "html"))).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

@@ -25,8 +25,7 @@ def _real(spark, sf_dir, *keep):
     UNION ALL SELECT page_id, 'script', 1 FROM pages UNION ALL SELECT page_id, 'style', 1 FROM pages""",
 )
 def dom_nodes_query(spark, sf_dir):
-    opened = expr("filter(nodes, e -> NOT e.tag RLIKE '^[#/]')")
-    tags = _real(spark, sf_dir).select("page_id", F.explode(opened).alias("e"))
+    tags = _real(spark, sf_dir).select("page_id", F.explode("elements").alias("e"))
     return tags.groupBy("page_id", F.col("e.tag").alias("tag")).agg(F.count("*").alias("n"))
 
 

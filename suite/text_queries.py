@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from contentloom.functions import text as T
-from contentloom.operators.dom import dom_nodes
 from contentloom.schemas import ITEM_FIELDS
 from contentloom.sources import drive as D
 from contentloom.sources import files as S
+from contentloom.sources.pages import page_nodes
 from contentloom.sources.reddit import comment_items
 from suite.base import decode_sql, expr, md_lines_sql, query, table
 
@@ -192,7 +192,7 @@ _ANCHOR_NAME = f"CASE p_partkey % 3 WHEN 0 THEN p_brand || ' & ' || {FILE_NAME}
 )
 def drive_anchor_links(spark, sf_dir):
     pages = table(spark, sf_dir, "part").select("p_partkey", expr(ANCHOR).alias("html"))
-    return dom_nodes(pages).select("p_partkey", F.inline(expr(D.anchor_links())))
+    return page_nodes(pages, "p_partkey").select("p_partkey", F.inline(expr(D.anchor_links())))
 
 
 def _listings(spark, sf_dir):
@@ -216,7 +216,7 @@ FIRST_SQL = f"""SELECT listing, url, arg_min(name, pos) AS name, any_value(file_
 
 
 def _first_links(spark, sf_dir):
-    links = D.listing_links(dom_nodes(_listings(spark, sf_dir)))
+    links = D.listing_links(page_nodes(_listings(spark, sf_dir), "listing"))
     return D.first_names(links, ["listing"])
 
 
