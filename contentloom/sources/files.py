@@ -8,7 +8,10 @@ from contentloom.schemas import item_columns
 
 
 def scan_text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Whole files as ``(path, text, valid)``; text is NULL where the bytes are not UTF-8."""
+    """Whole files as ``(path, text, valid)``; text is NULL where the bytes are not UTF-8.
+
+    Spark does not list files of no bytes; the empty-content filter would drop their items.
+    """
     files = spark.read.format("binaryFile").load(paths)
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
