@@ -13,12 +13,16 @@ def within_limit(rank: Column, size: Column, max_items: Column) -> Column:
     return (n == 0) | ((n > 0) & (rank <= n)) | ((n < 0) & (rank <= size + n))
 
 
+def apply_limit(items: DataFrame) -> DataFrame:
+    """Rank the items of each source and keep what its limit allows."""
+    ranked = group_rank(items, ["source_id"], ["page_seq", "item_seq"])
+    return ranked.where(within_limit(F.col("rank"), F.col("size"), F.col("max_items"))).select(*items.columns)
+
+
 def limit_items(items: DataFrame) -> DataFrame:
     """Keep what each source's ``max_items`` allows. Sources without one are not shuffled."""
     n = F.coalesce(F.col("max_items"), F.lit(0))
-    ranked = group_rank(items.where(n != 0), ["source_id"], ["page_seq", "item_seq"])
-    kept = ranked.where(within_limit(F.col("rank"), F.col("size"), F.col("max_items")))
-    return items.where(n == 0).unionByName(kept.select(*items.columns))
+    return items.where(n == 0).unionByName(apply_limit(items.where(n != 0)))
 
 
 def finish_items(items: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from contentloom.operators.items import finish_items
+from contentloom.operators.items import apply_limit, has_content, resolve_types
 from contentloom.operators.routing import Routes
 from contentloom.plans.sites import linkedin_items, substack_items
 from contentloom.plans.website import Crawl, website_items
 from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items, with_run
+from contentloom.session import stage
 from contentloom.sources.drive import drive_items, first_names, listing_links
 from contentloom.sources.files import book_items, generic_items, transcript_items
 from contentloom.sources.pages import one_per_key, page_nodes
@@ -50,45 +51,79 @@ def _drive(sources: DataFrame, store: Store) -> DataFrame:
     own = sources.select("source_id", "run", F.expr(url_key("source")).alias("url_key"))
     listings = page_nodes(one_per_key(store.pages.join(own, "url_key", "left_semi")), "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
-    links = first_names(listing_links(listings), ["url_key"])
+    links = stage(first_names(listing_links(listings), ["url_key"]), "drive-links")
     books = drive_items(links, store.drive_pages)
     return skew_join(own, books, "url_key")
 
 
-def route_items(routed: DataFrame, store: Store, routes: Routes, unescape: bool = True) -> DataFrame:
-    """Items of all routes as one table, with their place of discovery."""
-    builders = {
-        "drive": (store.pages is not None and store.drive_pages is not None, lambda s: _drive(s, store)),
-        "website": (store.pages is not None, lambda s: website_items(s, store.crawl)),
-        "pdf": (store.book_pages is not None, lambda s: _file_items(s, store.book_pages, book_items, "file")),
-        "reddit": (store.threads is not None, lambda s: reddit_items(s, store.threads, unescape)),
-        "substack": (store.pages is not None, lambda s: substack_items(s, store.crawl.facts)),
-        "linkedin": (store.pages is not None, lambda s: linkedin_items(s, store.crawl.facts)),
-        "transcript": (store.files is not None, lambda s: _file_items(s, store.files, transcript_items, "path")),
-        "generic": (
-            store.files is not None,
-            lambda s: _file_items(s.where("is_file"), store.files, generic_items, "path"),
-        ),
+def _builders(store: Store, unescape: bool):
+    """Per built-in route: the tables it reads, and how it makes items of its sources."""
+    return {
+        "drive": ((store.pages, store.drive_pages), lambda s: _drive(s, store)),
+        "website": ((store.pages,), lambda s: website_items(s, store.crawl)),
+        "pdf": ((store.book_pages,), lambda s: _file_items(s, store.book_pages, book_items, "file")),
+        "reddit": ((store.threads,), lambda s: reddit_items(s, store.threads, unescape)),
+        "substack": ((store.pages,), lambda s: substack_items(s, store.crawl.facts)),
+        "linkedin": ((store.pages,), lambda s: linkedin_items(s, store.crawl.facts)),
+        "transcript": ((store.files,), lambda s: _file_items(s, store.files, transcript_items, "path")),
+        "generic": ((store.files,), lambda s: _file_items(s.where("is_file"), store.files, generic_items, "path")),
     }
+
+
+def route_items(routed: DataFrame, names: set[str], store: Store, routes: Routes, unescape: bool = True) -> DataFrame | None:
+    """Items of the named routes as one table, with their place of discovery.
+
+    A registered extractor gets its sources and hands on their ``source_id`` and ``run``.
+    """
+    builders = _builders(store, unescape)
     parts = []
     for route in routes.routes:
-        # A registered extractor gets its sources and hands on their source_id and run.
-        there, build = (True, route.extract) if route.extract else builders[route.name]
-        if there:
+        tables, build = ((), route.extract) if route.extract else builders[route.name]
+        if route.name in names and all(t is not None for t in tables):
             parts.append(check_items(build(routed.where(F.col("route") == route.name).drop("route"))))
     if not parts:
-        raise ValueError("the store holds no table that a route could read")
-    return reduce(DataFrame.unionByName, parts)
+        return None
+    items = reduce(DataFrame.unionByName, parts)
+    return items.select(*POSITION_FIELDS, "run.*", *ITEM_FIELDS)
+
+
+def _limited() -> Column:
+    return F.coalesce(F.col("max_items"), F.lit(0)) != 0
+
+
+def _present(routed: DataFrame) -> dict[bool, set[str]]:
+    """Routes that have sources, by whether those have a limit. At most two rows per route."""
+    rows = routed.groupBy("route", _limited().alias("limited")).count().collect()
+    return {flag: {r["route"] for r in rows if r["limited"] == flag} for flag in (False, True)}
+
+
+def _extract(sources: DataFrame, store: Store, routes: Routes | None, unescape: bool) -> dict[bool, DataFrame]:
+    """Items of the sources without a limit and of those with one.
+
+    The latter are staged, because their limit reads them twice.
+    """
+    routes = routes or Routes()
+    routed = routes.apply(with_run(sources))
+    parts = {}
+    for limited, names in _present(routed).items():
+        own = routed.where(_limited() if limited else ~_limited())
+        items = route_items(own, names, store, routes, unescape)
+        if items is not None:
+            parts[limited] = stage(items, "limited-items") if limited else items
+    if not parts:
+        raise ValueError("no source of the manifest can be read from the tables of the store")
+    return parts
 
 
 def extract(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:
     """All items found, before limit and filter, with the settings of their run."""
-    routes = routes or Routes()
-    items = route_items(routes.apply(with_run(sources)), store, routes, unescape)
-    return items.select(*POSITION_FIELDS, "run.*", *ITEM_FIELDS)
+    return reduce(DataFrame.unionByName, _extract(sources, store, routes, unescape).values())
 
 
 def run(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:
     """Finished items of a manifest: routed, extracted, limited, typed, non-empty."""
-    done = finish_items(extract(sources, store, routes, unescape))
+    parts = _extract(sources, store, routes, unescape)
+    if True in parts:
+        parts[True] = apply_limit(parts[True])
+    done = resolve_types(reduce(DataFrame.unionByName, parts.values())).where(has_content(F.col("content")))
     return done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.operators.skew import group_rank
 from contentloom.schemas import ITEM_FIELDS
+from contentloom.session import stage
 
 PART_ITEMS = 10_000
 
@@ -22,7 +23,8 @@ def envelopes(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """``{team_id, items}`` as JSON, one per run, its items in order.
 
     A run with more than ``part_items`` items gets several envelopes, numbered by ``part``,
-    so no cell or task has to hold an unbounded run.
+    so no cell or task has to hold an unbounded run. ``items`` are read twice: stage them if
+    they are costly.
     """
     ranked = group_rank(items, ["source_id"], ["page_seq", "item_seq"])
     placed = ranked.withColumn("part", F.floor((F.col("rank") - 1) / part_items).cast("long"))
@@ -39,6 +41,6 @@ def envelopes(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
 
 
 def write_envelopes(items: DataFrame, path: str, part_items: int = PART_ITEMS) -> None:
-    envelopes(items, part_items).select("source_id", "envelope").write.mode("overwrite").partitionBy("source_id").text(
+    envelopes(stage(items, "finished-items"), part_items).select("source_id", "envelope").write.mode("overwrite").partitionBy("source_id").text(
         path
     )

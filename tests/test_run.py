@@ -9,6 +9,7 @@ from contentloom.plans.sink import envelopes, write_envelopes, write_items
 from contentloom.plans.website import Crawl, website_parts
 from contentloom.schemas import ITEM_FIELDS, SOURCE, check_items, item_columns, with_run
 from contentloom.functions.urls import url_key
+from contentloom.session import stage
 from contentloom.sources.drive import drive_items
 from contentloom.sources.reddit import comment_items
 from contentloom.streaming.incremental import arriving_items
@@ -86,9 +87,13 @@ def sources(spark):
 
 
 @pytest.fixture(scope="module")
-def done(sources, store):
-    rows = run(sources, store).collect()
-    return sorted(rows, key=lambda r: (r.source_id, r.page_seq, r.item_seq))
+def items(sources, store):
+    return stage(run(sources, store), "items")
+
+
+@pytest.fixture(scope="module")
+def done(items):
+    return sorted(items.collect(), key=lambda r: (r.source_id, r.page_seq, r.item_seq))
 
 
 def _short(rows, *fields):
@@ -194,7 +199,7 @@ def test_limits_of_a_run(spark, sources, store):
         "https://x.io/hub": [("One",), ("One",)],
         "https://app.io/": [("R title",)],
     }
-    assert extract(sources, store).where("source_id = 1").count() == 3
+    assert extract(sources.where("source_id = 1"), store).count() == 3
 
 
 def test_threads(spark):
@@ -226,8 +231,7 @@ def test_drive_names_with_a_slash_give_no_item(spark):
     assert [r.title for r in drive_items(links, texts).collect()] == ["_gdrive_ok_x"]
 
 
-def test_item_sink_keeps_nulls_and_text(spark, sources, store, tmp_path):
-    items = run(sources, store)
+def test_item_sink_keeps_nulls_and_text(items, tmp_path):
     write_items(items, str(tmp_path / "out/deep"))
     write_items(items, str(tmp_path / "out/deep"))
     lines = [json.loads(x) for p in (tmp_path / "out/deep").rglob("*.json") for x in p.read_text("utf-8").splitlines()]
@@ -237,8 +241,7 @@ def test_item_sink_keeps_nulls_and_text(spark, sources, store, tmp_path):
     assert {p.name for p in (tmp_path / "out/deep").iterdir() if p.is_dir()} == {f"team_id=t{i}" for i in (1, 2, 3, 4)}
 
 
-def test_envelopes(spark, sources, store, tmp_path):
-    items = run(sources, store)
+def test_envelopes(items, tmp_path):
     rows = envelopes(items).collect()
     assert all(r.part == 0 for r in rows)
     by_source = {SOURCES[r.source_id][0]: json.loads(r.envelope) for r in rows}
