@@ -43,6 +43,12 @@ def document_title() -> str:
     return strip(plain_text(subtree(first(has_tag("title")))))
 
 
+def title_readable() -> str:
+    """False where the title element holds anything but one piece of text: it names nothing then."""
+    title = subtree(first(has_tag("title")))
+    return bind(title, "t", "coalesce(size(t) = 3 AND t[1].tag = '#text', true)")
+
+
 def page_date() -> str:
     """Text of the date element, empty if there is none. Never parsed."""
     label = f"{has_tag('h4', 'span')} AND {class_holds('text-slate-500', 'text-sm')}"

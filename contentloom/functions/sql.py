@@ -33,3 +33,11 @@ def group(text: str, pattern: str, n: int = 1) -> str:
 def bind(value: str, name: str, use: str) -> str:
     """``use`` with ``name`` standing for ``value``, which is computed once."""
     return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def present(value: str) -> str:
+    """Rows where the value is not NULL, as a generator.
+
+    A filter would be pushed below the projection and work the value out a second time.
+    """
+    return f"explode(filter(array({value}), v -> v IS NOT NULL))"

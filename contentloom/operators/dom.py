@@ -190,7 +190,13 @@ class _Events(HTMLParser):
     def handle_comment(self, data):
         self._flush()
 
-    handle_decl = handle_pi = unknown_decl = handle_comment
+    handle_decl = handle_pi = handle_comment
+
+    def unknown_decl(self, data):
+        self._flush()
+        if data.upper().startswith("CDATA["):
+            self.buffer.append(data[6:])
+            self._flush()
 
 
 def _nodes_array(pages):

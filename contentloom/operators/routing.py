@@ -27,8 +27,9 @@ def _holding(part: str) -> Predicate:
     return lambda source, is_file: source.contains(part)
 
 
+DRIVE_FOLDER = "drive.google.com/drive/folders/"
 DEFAULT_ROUTES = (
-    Route("drive", _holding("drive.google.com/drive/folders/")),
+    Route("drive", _holding(DRIVE_FOLDER)),
     Route("website", lambda source, is_file: source.startswith("http")),
     Route("pdf", _file_ending(".pdf")),
     Route("reddit", _holding("reddit.com")),

@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.operators.items import apply_limit, has_content, resolve_types
-from contentloom.operators.routing import Routes
+from contentloom.operators.routing import DRIVE_FOLDER, Routes
 from contentloom.plans.sites import linkedin_items, substack_items
 from contentloom.plans.website import Crawl, website_items
 from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items, with_run
@@ -49,7 +49,14 @@ def _file_items(sources: DataFrame, texts: DataFrame, make, key: str) -> DataFra
 
 def _drive(sources: DataFrame, store: Store) -> DataFrame:
     own = sources.select("source_id", "run", F.expr(url_key("source")).alias("url_key"))
-    listings = page_nodes(one_per_key(store.pages.join(own, "url_key", "left_semi")), "url_key")
+    # Only listings may meet the join: the rest of the crawl is left out by the scan.
+    named = F.col("url_key").contains(DRIVE_FOLDER)
+    wanted = store.pages.where(named).join(own, "url_key", "left_semi")
+    hidden = own.where(~named)
+    if not hidden.isEmpty():
+        # A source that names the folder in its fragment only.
+        wanted = wanted.unionByName(store.pages.where(~named).join(hidden, "url_key", "left_semi"))
+    listings = page_nodes(one_per_key(wanted), "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
     links = stage(first_names(listing_links(listings), ["url_key"]), "drive-links")
     books = drive_items(links, store.drive_pages)

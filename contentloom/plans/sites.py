@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from contentloom.functions.urls import url_key
-from contentloom.operators.crawl import fetch
+from contentloom.operators.crawl import fetch, rejects
 from contentloom.schemas import item_columns
 
 
@@ -14,7 +14,7 @@ def _own_pages(sources: DataFrame, facts: DataFrame, *columns: str) -> DataFrame
 
 def _one_item(pages: DataFrame, content: str, content_type: str) -> DataFrame:
     title = F.coalesce("document_title", "url")
-    return pages.where(F.col(content).isNotNull()).select(
+    return pages.where(F.col(content).isNotNull() & F.col("title_readable")).select(
         "source_id",
         "run",
         F.lit(0).alias("page_seq"),
@@ -25,9 +25,15 @@ def _one_item(pages: DataFrame, content: str, content_type: str) -> DataFrame:
 
 def substack_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
     """Main text of the page under its document title."""
-    return _one_item(_own_pages(sources, facts, "document_title", "main"), "main", "blog")
+    return _one_item(_own_pages(sources, facts, "document_title", "title_readable", "main"), "main", "blog")
 
 
 def linkedin_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
     """The post of the page under its document title."""
-    return _one_item(_own_pages(sources, facts, "document_title", "post"), "post", "linkedin_post")
+    return _one_item(_own_pages(sources, facts, "document_title", "title_readable", "post"), "post", "linkedin_post")
+
+
+def title_rejects(sources: DataFrame, facts: DataFrame, content: str) -> DataFrame:
+    """Pages with content but a title that cannot be read: no item, and no failed job."""
+    pages = _own_pages(sources, facts, "title_readable", content)
+    return rejects(pages.where(F.col(content).isNotNull() & ~F.col("title_readable")), "page", "unreadable title")

@@ -8,6 +8,7 @@ from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown, plain_markdown
 from contentloom.functions.urls import url_key
 from contentloom.operators.dom import dom_nodes
+from contentloom.session import stage
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +53,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         f"{P.article_title()} AS article_title",
         f"{P.h1_text()} AS h1",
         f"{P.document_title()} AS document_title",
+        f"{P.title_readable()} AS title_readable",
         f"{article_markdown('date')} AS article",
         f"{plain_markdown(main_text())} AS main",
         f"{markdown(P.break_words_post())} AS post",
@@ -63,12 +65,17 @@ def article_markdown(date: str) -> str:
     return f"concat(CASE WHEN {date} <> '' THEN concat('Date: ', {date}, '\\n\\n') ELSE '' END, {markdown(P.article_body())})"
 
 
+def repeated_ids(rows: DataFrame, key: str = "url_key", row_id: str = "page_id") -> DataFrame:
+    """Ids of all rows but the one with the lowest id of each key. Reads ids and keys only."""
+    first = rows.groupBy(key).agg(F.min(row_id).alias(row_id)).select(row_id)
+    return rows.select(row_id).join(first, row_id, "left_anti")
+
+
 def one_per_key(rows: DataFrame, key: str = "url_key", row_id: str = "page_id") -> DataFrame:
     """The row with the lowest id of each key.
 
-    Only ids are compared; the rows themselves meet the ids to drop, which are few in a
-    crawl, so that the join can turn into a broadcast when their size is known.
+    The ids to drop are few in a crawl: they are staged, so that their size is known and the
+    join with the wide rows can be a broadcast. ``rows`` is read twice more for its ids: it
+    should be a table, not a parse.
     """
-    first = rows.groupBy(key).agg(F.min(row_id).alias(row_id)).select(row_id)
-    later = rows.select(row_id).join(first, row_id, "left_anti")
-    return rows.join(later, row_id, "left_anti")
+    return rows.join(stage(repeated_ids(rows, key, row_id), "repeated-ids"), row_id, "left_anti")

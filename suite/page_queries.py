@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from contentloom.functions import page as P
 from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown
+from contentloom.functions.sql import present
 from contentloom.schemas import item_columns
 from contentloom.sources.pages import article_markdown, page_nodes
 from suite.base import (
@@ -41,8 +42,7 @@ def doc_titles(spark, sf_dir):
 
 @query("main_text_pages", f"SELECT page_id, {MAIN_SQL} AS main FROM pages WHERE {MAIN_SQL} IS NOT NULL")
 def main_text_pages(spark, sf_dir):
-    lines = _real(spark, sf_dir).select("page_id", expr(main_text()).alias("main"))
-    return lines.where(F.col("main").isNotNull())
+    return _real(spark, sf_dir).selectExpr("page_id", f"{present(main_text())} AS main")
 
 
 # Head title, nav list, ad, article, footer; the article's bold text is closed before the footer.
@@ -204,5 +204,5 @@ def _posts(spark, sf_dir):
 
 @query("linkedin_posts", f"SELECT c_custkey AS page_id, {_P_BODY} AS post FROM customer WHERE c_custkey % 3 <> 0")
 def linkedin_posts(spark, sf_dir):
-    posts = page_nodes(_posts(spark, sf_dir), "page_id").select("page_id", expr(markdown(P.break_words_post())).alias("post"))
-    return posts.where(F.col("post").isNotNull())
+    posts = page_nodes(_posts(spark, sf_dir), "page_id")
+    return posts.selectExpr("page_id", f"{present(markdown(P.break_words_post()))} AS post")

@@ -76,6 +76,12 @@ def test_article_parts(read):
     assert read(P.document_title(), "<title> a <!-- --> b </title>", "<p>x</p>", "<title></title>") == ["a  b", None, ""]
 
 
+def test_title_readable(read):
+    pages = ["<title>a</title>", "<p>none</p>", "<title></title>", "<title> </title>", "<title>a<b>c</b></title>"]
+    assert read(P.title_readable(), *pages) == [True, True, False, True, False]
+    assert read(P.page_title(), "<h1><![CDATA[wrapped]]></h1>") == ["wrapped"]
+
+
 def test_article_body(read):
     bodies = {
         "<article>a</article><main>m</main>": "m",

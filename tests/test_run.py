@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from contentloom.operators.routing import Routes
 from contentloom.plans.run import Store, extract, run
 from contentloom.plans.sink import envelopes, write_envelopes, write_items
+from contentloom.plans.sites import title_rejects
 from contentloom.plans.website import Crawl, website_parts
 from contentloom.schemas import ITEM_FIELDS, SOURCE, check_items, item_columns, with_run
 from contentloom.functions.urls import url_key
@@ -35,6 +36,7 @@ PAGES = {
     "www.substack.com/p/s": ARTICLE.format("sub"),
     "linkedin.com/posts/l": '<title> L </title><div class="break-words"><p>Hi <b>all</b></p></div>',
     "linkedin.com/posts/none": "<p>none</p>",
+    "linkedin.com/posts/untitled": '<title></title><div class="break-words">x</div>',
     "https://drive.google.com/drive/folders/f": f'<script>["{FILE_ID}",["p"],"My Book.pdf","application/pdf"]</script>'
     f'<a href="/file/d/{FILE_ID}/view">other name.pdf</a><a href="/file/d/{"B" * 28}/view">b.pdf</a>',
 }
@@ -50,6 +52,7 @@ SOURCES = [
     ("www.substack.com/p/s", False, "t2", None, None),
     ("linkedin.com/posts/l", False, "t2", None, None),
     ("linkedin.com/posts/none", False, "t2", None, None),
+    ("linkedin.com/posts/untitled", False, "t2", None, None),
     ("reddit.com/r/x/", False, "t3", None, None),
     ("https://drive.google.com/drive/folders/f", False, "t3", "book!", None),
     ("shelf/Own.pdf", True, "t3", None, None),
@@ -176,6 +179,12 @@ def test_rejects(sources, store):
     }
 
 
+def test_unreadable_titles(sources, store):
+    posts = with_run(Routes().apply(sources).where("route = 'linkedin'"))
+    (lost,) = title_rejects(posts, store.crawl.facts, "post").collect()
+    assert (lost.url, lost.reason) == ("linkedin.com/posts/untitled", "unreadable title")
+
+
 def test_registered_route_takes_part_in_a_run(spark, sources, store):
     def notes(df):
         return df.select(
@@ -252,7 +261,7 @@ def test_envelopes(items, tmp_path):
     parts = {(r.source_id, r.part): json.loads(r.envelope)["items"] for r in envelopes(items, 1).collect()}
     assert [parts[0, n][0]["title"] for n in (0, 1)] == ["Article a", "Article b"]
     write_envelopes(items, str(tmp_path / "env"))
-    assert json.loads(next((tmp_path / "env/source_id=13").glob("*.txt")).read_text("utf-8"))["items"][0]["content"] == "é note"
+    assert json.loads(next((tmp_path / "env/source_id=14").glob("*.txt")).read_text("utf-8"))["items"][0]["content"] == "é note"
 
 
 def test_files_as_they_arrive(spark, store, tmp_path):
