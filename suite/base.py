@@ -71,14 +71,14 @@ def escape_sql(text: str) -> str:
 
 # The table's pages have one title, one h1, one article, and bold text that is never closed.
 CLEAN_HTML = r"regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
-H1_SQL = "trim(" + decode_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ")"
-DOC_TITLE_SQL = "trim(" + decode_sql(
-    r"regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp$', '&')"
-) + ")"
+# A few titles are cut within an entity; HTML reads one without its semicolon all the same.
+HTML_SQL = "replace(html, '&amp<', '&amp;<')"
+H1_SQL = "trim(" + decode_sql(f"regexp_extract({HTML_SQL}, '(?s)<h1>(.*?)</h1>', 1)") + ")"
+DOC_TITLE_SQL = "trim(" + decode_sql(f"regexp_extract({HTML_SQL}, '(?s)<title>(.*?)</title>', 1)") + ")"
 PAGE_TITLE_SQL = (
     f"CASE WHEN length({H1_SQL}) > 5 THEN {H1_SQL} WHEN length({DOC_TITLE_SQL}) > 5 THEN {DOC_TITLE_SQL} ELSE 'Untitled' END"
 )
-ARTICLE_SQL = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+ARTICLE_SQL = f"regexp_extract({HTML_SQL}, '(?s)<article>(.*?)</article>', 1)"
 _LINES = (
     rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace({ARTICLE_SQL}, '</?(p|h1)>', chr(10), 'g'),"
     r" '<[^>]*>', ' ', 'g'), chr(10)), lambda t: trim(regexp_replace(" + decode_sql("t") + r", '\s+', ' ', 'g'))), lambda t: t <> '')"
