@@ -40,7 +40,7 @@ def envelopes(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     )
 
 
-def write_envelopes(items: DataFrame, path: str, part_items: int = PART_ITEMS) -> None:
-    envelopes(stage(items, "finished-items"), part_items).select("source_id", "envelope").write.mode("overwrite").partitionBy("source_id").text(
-        path
-    )
+def write_envelopes(items: DataFrame, path: str, part_items: int = PART_ITEMS, by: str = "team_id") -> None:
+    """One envelope per line in a folder per team, or per run with ``by="source_id"`` for few runs."""
+    whole = envelopes(stage(items, "finished-items"), part_items)
+    whole.select(by, "envelope").write.mode("overwrite").partitionBy(by).text(path)

@@ -13,6 +13,8 @@ def scan_text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     Spark does not list files of no bytes; the empty-content filter would drop their items.
     """
     files = spark.read.format("binaryFile").load(paths)
+    # Local paths as a manifest names them, without their scheme.
+    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
     return files.select("path", F.when(valid, F.expr(unix_newlines("CAST(content AS STRING)"))).alias("text"), valid.alias("valid"))

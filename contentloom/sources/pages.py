@@ -1,5 +1,7 @@
 """The crawl table and what is read off each of its pages."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.functions import page as P
@@ -17,13 +19,25 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.selectExpr("page_id", "url", f"{url_key('url')} AS url_key", "html")
 
 
+# Below this many bytes per core a scan is too few tasks for the parse.
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
 def spread_scan(pages: DataFrame) -> DataFrame:
-    """More tasks for the parse where a table of few files would be read by few tasks.
+    """More tasks for the parse of a small table; a large crawl is never shuffled for this.
 
-    A large crawl has more files than the cluster has cores and is not shuffled for this.
+    Only the sizes of at most as many files as there are cores are looked up.
     """
-    tasks = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(tasks) if len(pages.inputFiles()) < tasks else pages
+    spark = pages.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = [unquote(f) for f in pages.inputFiles()]
+    if len(files) >= cores:
+        return pages
+    if files:
+        size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+        if size >= cores * SPREAD_BYTES:
+            return pages
+    return pages.repartition(cores)
 
 
 def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:

@@ -260,8 +260,11 @@ def test_envelopes(items, tmp_path):
     assert list(own) == list(ITEM_FIELDS) and own["source_url"] is None
     parts = {(r.source_id, r.part): json.loads(r.envelope)["items"] for r in envelopes(items, 1).collect()}
     assert [parts[0, n][0]["title"] for n in (0, 1)] == ["Article a", "Article b"]
-    write_envelopes(items, str(tmp_path / "env"))
+    write_envelopes(items, str(tmp_path / "env"), by="source_id")
     assert json.loads(next((tmp_path / "env/source_id=14").glob("*.txt")).read_text("utf-8"))["items"][0]["content"] == "é note"
+    write_envelopes(items, str(tmp_path / "teams"))
+    lines = [x for p in (tmp_path / "teams/team_id=t3").glob("*.txt") for x in p.read_text("utf-8").splitlines()]
+    assert len(lines) == 5 and {json.loads(x)["team_id"] for x in lines} == {"t3"}
 
 
 def test_files_as_they_arrive(spark, store, tmp_path):

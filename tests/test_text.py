@@ -94,6 +94,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"bad \xff\xfe")
     (tmp_path / "c.txt").write_bytes(b" \n")
     files = scan_text_files(spark, [str(tmp_path)])
+    assert str(tmp_path / "a.txt") in {r.path for r in files.collect()}
     items = {r.title: r for r in transcript_items(files).collect()}
     assert items["a.txt"].content == "# Chapter 1\n\n### Hé:\n\nend"
     assert items["c.txt"].content == ""
