@@ -1,6 +1,6 @@
 """What a page shows about itself: title, date, body, posts and links.
 
-Expressions over the columns ``nodes`` and ``elements`` and, for links, ``url`` or ``anchors``.
+Expressions over the columns ``nodes`` and ``elements`` and, for links, ``url`` and ``anchors``.
 """
 
 from contentloom.functions.elements import (
@@ -74,39 +74,33 @@ def post_containers() -> str:
 
 
 def anchors() -> str:
-    """Links of a page with their place, their address as written and resolved."""
-    found = select("e.tag = 'a' AND e.href IS NOT NULL")
-    return (
-        f"transform({found}, a -> struct(a.pos AS pos, a.end AS end, a.href AS href,"
-        f" {resolve_link('url', 'a.href')} AS url))"
-    )
+    """Resolved addresses of all links of a page, in order."""
+    return f"transform({select("e.tag = 'a' AND e.href IS NOT NULL")}, a -> {resolve_link('url', 'a.href')})"
 
 
 def article_links() -> str:
     """All article links of a page as a set, in the order first met. Reads ``anchors``."""
-    return f"array_distinct(filter(transform(anchors, a -> a.url), u -> {is_article_url('u')}))"
+    return f"array_distinct(filter(anchors, u -> {is_article_url('u')}))"
 
 
 def hub_links() -> str:
-    """One link per post container: its first anchor, if that is not empty. A list. Reads ``anchors``."""
-    inner = "try_element_at(filter(anchors, a -> a.pos > d.pos AND a.pos < d.end), 1)"
-    firsts = f"transform({post_containers()}, d -> {inner})"
-    return f"transform(filter({firsts}, a -> a.href <> ''), a -> a.url)"
+    """One link per post container: its first anchor, if that is not empty. A list."""
+    firsts = f"transform({post_containers()}, d -> try_element_at(nodes, d.first_link + 1).href)"
+    return f"transform(filter({firsts}, h -> h <> ''), h -> {resolve_link('url', 'h')})"
 
 
 def read_more_links() -> str:
     """Links around a "read more" label and all article links of a rendered page, as a set.
 
     The label must stand in the first piece of text directly within its element, and the
-    link must be an ancestor of that element.
+    link must be an ancestor of that element. Links of a rendered page do not nest.
     """
     labels = select(
         f"e.tag = '#text' AND e.ord = 1 AND e.parent IS NOT NULL AND {any_of('e.text', READ_MORE)}",
         "nodes",
     )
-    wanted = f"filter(anchors, a -> {any_of('a.href', READ_MORE_PATHS)})"
-    around = f"transform({labels}, t -> try_element_at(filter(w, a -> a.pos < t.parent AND a.end > t.pos), 1).url)"
-    found = bind(wanted, "w", f"filter({around}, u -> u IS NOT NULL)")
+    around = f"transform({labels}, t -> try_element_at(nodes, try_element_at(nodes, t.parent + 1).link + 1).href)"
+    found = f"transform(filter({around}, h -> {any_of('h', READ_MORE_PATHS)}), h -> {resolve_link('url', 'h')})"
     return f"array_distinct(concat({found}, {article_links()}))"
 
 

@@ -70,7 +70,11 @@ _FIELDS = (
     ("quotes", pa.int32(), T.IntegerType()),
     ("bullets", pa.int32(), T.IntegerType()),
     ("numbers", pa.int32(), T.IntegerType()),
+    # Places of the nearest link around an event and of the first link within an element.
+    ("link", pa.int32(), T.IntegerType()),
+    ("first_link", pa.int32(), T.IntegerType()),
 )
+_END, _HREF, _TEXT_LEN, _FIRST_LINK = 1, 8, 12, 18
 NODE = T.StructType([T.StructField(n, s) for n, _, s in _FIELDS])
 NODES = T.ArrayType(NODE)
 _ARROW_NODE = pa.struct([(n, a) for n, a, _ in _FIELDS])
@@ -79,10 +83,10 @@ _ARROW_NODE = pa.struct([(n, a) for n, a, _ in _FIELDS])
 class _Frame:
     """An open element: its row, what it hands down, and how many children of a kind it has had."""
 
-    __slots__ = ("tag", "row", "marks", "depths", "seen")
+    __slots__ = ("tag", "row", "marks", "depths", "link", "seen")
 
-    def __init__(self, tag, row, marks, depths):
-        self.tag, self.row, self.marks, self.depths = tag, row, marks, depths
+    def __init__(self, tag, row, marks, depths, link):
+        self.tag, self.row, self.marks, self.depths, self.link = tag, row, marks, depths, link
         self.seen = {}
 
     def count(self, kind):
@@ -100,7 +104,7 @@ class _Events(HTMLParser):
         self.reset()
         self.rows, self.buffer = [], []
         self.seen_chars = 0
-        self.stack = [_Frame("", None, 0, (0, 0, 0))]
+        self.stack = [_Frame("", None, 0, (0, 0, 0), None)]
         self.open = {}
         self.feed(html)
         self.close()
@@ -114,7 +118,7 @@ class _Events(HTMLParser):
         parent = frame.row[0] if frame.row else None
         row = [
             pos, pos, parent, len(self.stack) - 1, ord_, tag, frame.tag, classes,
-            href, src, alt, text, n, marks, *frame.depths,
+            href, src, alt, text, n, marks, *frame.depths, frame.link, None,
         ]
         self.rows.append(row)
         return row
@@ -151,6 +155,13 @@ class _Events(HTMLParser):
             tag, top, owner.count(tag), marks, " ".join(tokens) if "class" in attrs else None,
             href, attrs.get("src"), attrs.get("alt"),
         )
+        is_link = tag == "a" and href is not None
+        if is_link:
+            # Elements further out than one that has a link already have theirs.
+            for frame in reversed(self.stack):
+                if frame.row is None or frame.row[_FIRST_LINK] is not None:
+                    break
+                frame.row[_FIRST_LINK] = row[0]
         if tag in ("td", "th"):
             top.count("cells")
         if tag in VOID_TAGS:
@@ -158,8 +169,8 @@ class _Events(HTMLParser):
         depths = top.depths
         if tag in DEPTH_TAGS:
             depths = tuple(d + (t == tag) for d, t in zip(depths, DEPTH_TAGS))
-        frame = _Frame(tag, row, marks, depths)
-        row[12] = -self.seen_chars
+        frame = _Frame(tag, row, marks, depths, row[0] if is_link else top.link)
+        row[_TEXT_LEN] = -self.seen_chars
         self.stack.append(frame)
         self.open[tag] = self.open.get(tag, 0) + 1
 
@@ -179,12 +190,12 @@ class _Events(HTMLParser):
         self.open[frame.tag] -= 1
         row = frame.row
         ord_ = frame.seen.get("cells", 0) if frame.tag == "tr" else row[4]
-        close = self._add("/" + frame.tag, self.stack[-1], ord_, frame.marks, href=row[8])
-        row[1] = close[0]
-        row[12] += self.seen_chars
+        close = self._add("/" + frame.tag, self.stack[-1], ord_, frame.marks, href=row[_HREF])
+        row[_END] = close[0]
+        row[_TEXT_LEN] += self.seen_chars
         # A row's opening and closing carry its number and its cells.
         if frame.tag == "tr":
-            close[12] = row[4]
+            close[_TEXT_LEN] = row[4]
         return frame.tag
 
     def handle_comment(self, data):

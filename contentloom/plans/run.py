@@ -65,6 +65,7 @@ def _drive(sources: DataFrame, store: Store) -> DataFrame:
 
 def _builders(store: Store, unescape: bool):
     """Per built-in route: the tables it reads, and how it makes items of its sources."""
+    is_text = F.lower("path").endswith(".txt")
     return {
         "drive": ((store.pages, store.drive_pages), lambda s: _drive(s, store)),
         "website": ((store.pages,), lambda s: website_items(s, store.crawl)),
@@ -72,8 +73,12 @@ def _builders(store: Store, unescape: bool):
         "reddit": ((store.threads,), lambda s: reddit_items(s, store.threads, unescape)),
         "substack": ((store.pages,), lambda s: substack_items(s, store.crawl.facts)),
         "linkedin": ((store.pages,), lambda s: linkedin_items(s, store.crawl.facts)),
-        "transcript": ((store.files,), lambda s: _file_items(s, store.files, transcript_items, "path")),
-        "generic": ((store.files,), lambda s: _file_items(s.where("is_file"), store.files, generic_items, "path")),
+        # The scan leaves out the files that the other of the two routes takes.
+        "transcript": ((store.files,), lambda s: _file_items(s, store.files.where(is_text), transcript_items, "path")),
+        "generic": (
+            (store.files,),
+            lambda s: _file_items(s.where("is_file"), store.files.where(~is_text), generic_items, "path"),
+        ),
     }
 
 
