@@ -1,7 +1,5 @@
 """Joins and ranks that hold when one key owns a large part of all rows."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_SHARE = 256
@@ -54,20 +52,23 @@ def group_rank(rows: DataFrame, group: list[str], order: list[str], width: int =
     stretches are sorted as one; the stretch sizes are summed up apart. ``rows`` is read
     twice, the first time for the group and the first order column only.
     """
-    stretch = F.floor(F.col(order[0]) / width)
-    sizes = rows.groupBy(*group, stretch.alias("stretch")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*group).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows without a place come first, as they do in the sort.
+    stretch = F.coalesce(F.expr(f"{order[0]} div {width}"), F.lit(-(2**63)))
+    # A struct is never NULL itself, so a NULL group meets its sizes by plain equality, and the
+    # join goes by the partitioning that the window has made.
+    keyed = rows.withColumn("group_key", F.struct(*group)).withColumn("stretch", stretch)
+    sizes = keyed.groupBy("group_key", "stretch").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("group_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *group,
+        "group_key",
         "stretch",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
-        F.sum("n").over(Window.partitionBy(*group)).alias("size"),
+        F.sum("n").over(Window.partitionBy("group_key")).alias("size"),
     )
-    local = Window.partitionBy(*group, "stretch").orderBy(*order)
-    ranked = rows.withColumn("stretch", stretch).withColumn("local", F.row_number().over(local))
-    match = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(offsets[c]) for c in [*group, "stretch"]])
-    return ranked.join(offsets, match).select(
-        *[ranked[c] for c in rows.columns],
+    local = F.row_number().over(Window.partitionBy("group_key", "stretch").orderBy(*order))
+    ranked = keyed.withColumn("local", local).join(offsets, ["group_key", "stretch"])
+    return ranked.select(
+        *rows.columns,
         (F.col("local") + F.col("rows_before")).cast("long").alias("rank"),
         F.col("size").cast("long").alias("size"),
     )

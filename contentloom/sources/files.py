@@ -50,7 +50,7 @@ def join_texts(rows: DataFrame, group: list[str], order: str, text: str, sep: st
         pairs = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), parts.alias("text"))))
         return F.array_join(F.transform(pairs, lambda p: p["text"]), sep)
 
-    stretch = F.floor(F.col(order) / width).alias("stretch")
+    stretch = F.expr(f"{order} div {width}").alias("stretch")
     part = rows.groupBy(*group, stretch).agg(joined(F.coalesce(F.col(text), F.lit("")), order).alias(text))
     return part.groupBy(*group).agg(joined(F.col(text), "stretch").alias(text))
 

@@ -74,6 +74,9 @@ def test_group_rank_of_one_stretch_and_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (7, 1)], "g int, a int")
     got = {(r.g, r.a): (r["rank"], r["size"]) for r in group_rank(df, ["g"], ["a"]).collect()}
     assert got == {(None, 1): (1, 2), (None, 2): (2, 2), (7, 1): (1, 1)}
+    big = spark.createDataFrame([(1, None), (1, 2**62), (1, 2**62 + 1), (1, -5)], "g int, a long")
+    got = {r.a: r["rank"] for r in group_rank(big, ["g"], ["a"], width=1).collect()}
+    assert got == {None: 1, -5: 2, 2**62: 3, 2**62 + 1: 4}
 
 
 def test_skew_join_equals_a_plain_join(spark):
