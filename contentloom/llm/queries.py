@@ -1,8 +1,11 @@
 """One registered query for each operator of this subpackage."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contentloom.llm import classifier
+from contentloom.llm import classifier, decontamination, secret_ledger, simhash
+from contentloom.session import stage_folder
 
 QUERIES = {}
 ORACLES = {}
@@ -17,6 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_ledger.Ledger(spark, fresh_folder(spark, "ledger"))
+    found = secret_ledger.scan(table(spark, sf_dir, "documents"), ledger)
+    base = [r.name for r in secret_ledger.BASE_RULES]
+
+    def count(rule: str):
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
+
+    base_spans = F.filter("spans", lambda s: s["rule"].isin(base))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(count(rule) for rule in base),
+        F.sha2(secret_ledger.spans_text(base_spans).cast("binary"), 256).alias("base_sha256"),
+        secret_ledger.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontamination.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
