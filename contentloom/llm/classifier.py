@@ -1,17 +1,17 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the bag of its words, of the character n-grams of each word and of its word
-pairs. Every feature is hashed to a learned vector; a document is the mean of the vectors of
-its features and a softmax over the classes is put on that mean. Vectors and output layer are
-trained together by plain stochastic gradient descent in numpy.
+A document is the bag of its words, of the character n-grams of each word (its ends marked) and
+of its word pairs. Every feature is hashed to a learned vector; a document is the mean of the
+vectors of its features and a softmax over the classes is put on that mean. Vectors and output
+layer are trained together by plain stochastic gradient descent in numpy.
 
 Training takes a bounded sample: for each class the ``per_class`` documents with the smallest
 hash of their id, among those of at most ``max_chars`` code points. Everything else reads all
 rows and whole texts.
 
 As the layers after the vectors are linear, the difference of the two outputs is a mean of one
-number for each feature. Scoring uses these numbers (a table of fixed size, sent to every
-task), and keeps the sums of words it has met.
+number for each feature. Scoring uses these numbers, a table of fixed size that is sent to every
+task, and adds them up over stretches of the text.
 
 Defined cases: a null text is the empty one, and an empty text has no features, so its score is
 that of the bias alone. Rows are scored one by one: repeated rows get equal scores, a null id
@@ -20,18 +20,20 @@ from. Without two classes to learn from, every score is the share of label 1 (0.
 label).
 """
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from contentloom.llm.texts import in_batches, narrow, utf8
+from contentloom.llm.texts import in_batches, narrow
 
 BUCKETS = 1 << 18
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 300_000
+#: Code points looked at at once, more if a word is longer.
+STRETCH = 500_000
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -39,36 +41,57 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
-def _word_features(word: bytes, sizes: tuple[int, ...]) -> list[int]:
-    """Buckets of a word and of its character n-grams, its ends marked."""
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [marked[i : i + n] for n in sizes for i in range(len(marked) - n + 1) if n < len(marked)]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in [marked, *grams]]
-
-
-def _pair_features(words: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words, by the words' hashes. A word that follows itself is one
-    and the same pair for all words."""
-    first, second = words[:-1], words[1:]
-    mixed = (first * _PAIR + second) * _PAIR
-    return np.where(first == second, 0, (mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-class _Words(dict):
-    """From a word to its place in tables that grow as words are met."""
-
-    def __init__(self, weights: np.ndarray, sizes: tuple[int, ...]):
-        super().__init__()
-        self.weights, self.sizes = weights, sizes
-        self.sums, self.counts, self.hashes = [], [], []
-
-    def __missing__(self, word: bytes) -> int:
-        features = _word_features(word, self.sizes)
-        self.sums.append(self.weights[features].sum())
-        self.counts.append(len(features))
-        self.hashes.append(zlib.crc32(word))
-        self[word] = place = len(self.sums) - 1
-        return place
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * _MIX
+    return (mixed >> np.uint64(46)).astype(np.int64)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors)
+
+
+def _stretch_features(points: np.ndarray, seen_first: bool) -> np.ndarray:
+    """Buckets of a stretch of whole words. If its first word was the last of the stretch before,
+    only its pair with the next word counts."""
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    padded = np.concatenate([[0], np.where(space, 0, points), [0]]).astype(np.uint64)
+    # One mark between words.
+    x = padded[np.append(True, (padded[1:] != 0) | (padded[:-1] != 0))]
+    if len(x) > 1 and x[-1] == 0 and x[-2] == 0:
+        x = x[:-1]
+    marks = np.flatnonzero(x == 0)
+    if len(marks) < 2:
+        return np.zeros(0, np.int64)
+    run = np.cumsum(x * _powers(_BASE, len(x)))
+    words = (run[marks[1:]] - run[marks[:-1]]) * _powers(_BACK, len(x))[marks[:-1]]
+    first = 1 if seen_first else 0
+    inner = x != 0
+    start = marks[first]
+    y, inside = x[start:], inner[start:]
+    threes = ((y[:-2] * _BASE + y[1:-1]) * _BASE + y[2:])[inside[1:-1]]
+    fours = (((y[:-3] * _BASE + y[1:-2]) * _BASE + y[2:-1]) * _BASE + y[3:])[inside[1:-2] & inside[2:-1]]
+    pairs = (words[:-1] * _BASE + words[1:]) * _BASE
+    # A word that follows itself is one and the same pair for all words.
+    pairs[words[:-1] == words[1:]] = 1
+    return _bucket(np.concatenate([words[first:], threes, fours, pairs]))
+
+
+def features(text: str):
+    """Buckets of a text's features, a stretch of the text at a time."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) <= STRETCH:
+        yield _stretch_features(points, False)
+        return
+    space = (points == 32) | ((points >= 9) & (points <= 13))
+    starts = np.append(np.flatnonzero(~space & np.append(True, space[:-1])), len(points))
+    at = 0
+    while at < len(starts) - 1:
+        # Up to a word's start; the next stretch repeats the last word, for its pair.
+        to = min(max(int(np.searchsorted(starts, starts[at] + STRETCH)), at + 2), len(starts) - 1)
+        yield _stretch_features(points[starts[at] : starts[to]], at > 0)
+        at = to if to == len(starts) - 1 else to - 1
 
 
 @dataclass
@@ -77,55 +100,24 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    sizes: tuple[int, ...]
-
-    def score(self, texts: list[bytes], words: _Words | None = None) -> np.ndarray:
-        """Probability of class 1 for each text."""
-        words = _Words(self.weights, self.sizes) if words is None else words
-        split = [t.split() for t in texts]
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(n)
-        places = np.fromiter((words[w] for s in split for w in s), np.int64, int(n.sum()))
-        sums, counts = np.array(words.sums), np.array(words.counts, np.int64)
-        hashes = np.array(words.hashes, np.uint64)
-
-        def totals(values: np.ndarray) -> np.ndarray:
-            run = np.concatenate([[0], np.cumsum(values)])
-            return run[ends] - run[ends - n]
-
-        total, features = totals(sums[places]), totals(counts[places])
-        if len(places) > 1:
-            pairs = np.append(self.weights[_pair_features(hashes[places])], 0.0)
-            pairs[ends[n > 0] - 1] = 0.0  # the last word of a text has no pair
-            total, features = total + totals(pairs), features + np.maximum(n - 1, 0)
-        return 1 / (1 + np.exp(-(total / np.maximum(features, 1) + self.bias)))
-
-
-def train(
-    texts: list[str],
-    labels: list[int],
-    dims: int = 16,
-    epochs: int = 5,
-    rate: float = 1.0,
-    sizes: tuple[int, ...] = (3, 4),
-    seed: int = 7,
-) -> Model:
+
+    def score(self, text: str) -> float:
+        """Probability of class 1."""
+        total, n = 0.0, 0
+        for found in features(text):
+            total, n = total + float(self.weights[found].sum()), n + len(found)
+        return float(1 / (1 + np.exp(-(total / max(n, 1) + self.bias))))
+
+
+def train(texts: list[str], labels: list[int], dims: int = 16, epochs: int = 5, rate: float = 1.0, seed: int = 7) -> Model:
     """Learn vectors and output layer by stochastic gradient descent, one document a step."""
     if len(set(labels)) < 2:
         share = min(max(sum(labels) / len(labels), 0.01), 0.99) if labels else 0.5
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))), sizes)
-    docs, seen = [], {}
+        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    docs = []
     for text in texts:
-        words = text.encode().split()
-        parts = []
-        for w in words:
-            if w not in seen:
-                seen[w] = _word_features(w, sizes)
-            parts += seen[w]
-        hashes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-        all_features = np.concatenate([np.array(parts, np.int64), _pair_features(hashes)])
-        ids, counts = np.unique(all_features, return_counts=True)
-        docs.append((ids, (counts / max(len(all_features), 1)).astype(np.float32)))
+        ids, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *features(text)]), return_counts=True)
+        docs.append((ids, (counts / max(counts.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
     out, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
@@ -145,7 +137,7 @@ def train(
             # A feature's share falls with the number of features; the step makes up for half of it.
             vectors[ids] -= now * np.sqrt(len(ids)) * np.outer(share, back)
             step += 1
-    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), sizes)
+    return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def training_sample(
@@ -186,13 +178,10 @@ def score(
 
     def scored(batches):
         model = shared.value
-        words = _Words(model.weights, model.sizes)
         for batch in batches:
             for part in in_batches(batch, 1):
-                if len(words) > KEPT_WORDS:
-                    words = _Words(model.weights, model.sizes)
-                values = model.score(utf8(part.column(1)), words)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], names=["id", "score"])
+                values = pa.array([model.score(text) for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), values], names=["id", "score"])
 
     rows = narrow(docs, id_col, text_col)
     return rows.mapInArrow(scored, f"id {dict(rows.dtypes)['id']}, score double")
