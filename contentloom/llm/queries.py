@@ -2,9 +2,10 @@
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contentloom.llm import classifier, decontamination, secret_ledger, simhash
+from contentloom.llm import classifier, decontamination, packing, secret_ledger, simhash
 from contentloom.session import stage_folder
 
 QUERIES = {}
@@ -42,6 +43,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Vocabulary file of the public tokenizer, of an installed library on every machine.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query
+def op5_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontamination.find_leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
