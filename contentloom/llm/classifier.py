@@ -185,3 +185,18 @@ def score(
 
     rows = narrow(docs, id_col, text_col)
     return rows.mapInArrow(scored, f"id {dict(rows.dtypes)['id']}, score double")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores ``least`` or more, with all their columns. Rows are judged one
+    by one, so nothing is joined or shuffled."""
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([model.score(t or "") >= least for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -5,11 +5,20 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contentloom.llm import classifier, decontamination, packing, secret_ledger, simhash
+from contentloom.llm import classifier, decontamination, packing, secret_ledger, simhash, warc
 from contentloom.session import stage_folder
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {
+    "op1_warc_archive": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d,
+                          strlen(coalesce(html, '')) AS n FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+        FROM f""",
+}
 
 
 def query(fn):
@@ -25,6 +34,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@query
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.Archive(spark, fresh_folder(spark, "warc"))
+    warc.write_archive(table(spark, sf_dir, "pages"), archive)
+    return warc.read_records(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secret_ledger.Ledger(spark, fresh_folder(spark, "ledger"))

@@ -152,6 +152,8 @@ def scan(
     )
 
 
+#: What takes the place of a secret.
+MARK = "[REDACTED]"
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,rule:string>>"
 
 
@@ -169,7 +171,7 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(one, ",")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
+def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
     """The text with each stretch of spans, overlapping ones as one, replaced by a mark."""
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("pieces"))
 
