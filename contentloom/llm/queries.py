@@ -5,7 +5,16 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from contentloom.llm import classifier, decontamination, packing, secret_ledger, simhash, warc
+from contentloom.llm import (
+    classifier,
+    decontamination,
+    length_histogram,
+    packing,
+    secret_ledger,
+    sharding,
+    simhash,
+    warc,
+)
 from contentloom.session import stage_folder
 
 QUERIES = {}
@@ -59,6 +68,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of text in a shard at most.
+SHARD_BYTES = 32 << 20
+
+
+@query
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("id", "doc_id")
+
+
 #: Vocabulary file of the public tokenizer, of an installed library on every machine.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -85,6 +103,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram.length_answers(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
