@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from contentloom.llm import (
     classifier,
     decontamination,
+    html_text,
     length_histogram,
     packing,
     secret_ledger,
@@ -77,6 +78,11 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 #: Vocabulary file of the public tokenizer, of an installed library on every machine.
 TOKENIZER = "word_bpe_49k.json"
 
