@@ -10,6 +10,7 @@ from contentloom.llm import (
     decontamination,
     html_text,
     length_histogram,
+    line_rules,
     packing,
     secret_ledger,
     sharding,
@@ -99,6 +100,14 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+@query
+def op7_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = line_rules.fit(docs, table(spark, sf_dir, "labels"))
+    ruled = line_rules.apply_rules(spark, docs, field)
+    return ruled.select(F.col("id").alias("doc_id"), *line_rules.NAMES, "base_failed", "kept", "content_share")
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
