@@ -193,8 +193,11 @@ def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
 def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with the findings of their texts masked. Texts without findings stay as they are."""
     update(docs, docs.select(digest_of(F.col(text_col)).alias("digest")), ledger, rules, text_col)
-    found = spans_by_blob(ledger, rules).select(F.col("digest").alias("blob_digest"), F.col("spans").alias("blob_spans"))
-    with_digest = docs.withColumn("blob_digest", digest_of(F.col(text_col)))
-    joined = skew_join(with_digest, found, "blob_digest", "left", spread=F.xxhash64(*docs.columns))
-    masked = F.when(F.col("blob_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("blob_spans")))
-    return joined.withColumn(text_col, masked).select(*docs.columns)
+    # The row travels as one column, so its names clash with none.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest_of(F.col(text_col)).alias("digest"))
+    joined = skew_join(rows, spans_by_blob(ledger, rules), "digest", "left")
+    text = F.col("row").getField(text_col)
+    masked = F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans")))
+    return joined.select(
+        *((masked if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns)
+    )
