@@ -228,7 +228,7 @@ AROUND = (
         f"<article>{ARTICLE}</article>",
         f"<main>{ARTICLE}</main>",
         f"<div><div class=content>{ARTICLE}</div></div>",
-        f"<article><header>{ARTICLE[:26]}</header><div class=text>{ARTICLE[26:]}</div><div class=ad>Buy</div></article>",
+        f"<article><header>{ARTICLE[:25]}</header><div class=text>{ARTICLE[25:]}</div><div class=ad>Buy</div></article>",
         f"<form>{'<div>'}<article>{ARTICLE}</article></div></form>",
     ],
 )
