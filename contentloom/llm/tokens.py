@@ -3,6 +3,9 @@
 Such a tokenizer gives a text the ids of its words one after the other. Texts are cut at spaces
 and line ends, each word is encoded once and its ids are kept, so a text costs a look-up for
 each word. What else a word holds (other white space, special tokens) is left to the tokenizer.
+
+For tokenizers that mark the last token of a word, words of letters are encoded many at a time
+and told apart by that mark; words that end in a comma or a full stop are their letters and it.
 """
 
 import os
@@ -25,20 +28,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size())
+        # Words met since the last turn, and those met before it. Words met again stay.
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.stops = {c: self._one_by_one([c])[0] for c in (",", ".")} if suffix else {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.kept) > KEPT_WORDS:
+            self.kept, self.older = {}, self.kept
         new = set().union(*split).difference(self.kept)
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set().union(*split)
-        new_words = list(new)
-        encoded = self.tokenizer.encode_batch_fast(new_words, add_special_tokens=False)
-        self.kept.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(new_words, encoded, strict=True))
+        again = new.intersection(self.older)
+        self.kept.update((w, self.older[w]) for w in again)
+        self._add(new - again)
         get = self.kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _add(self, words: set[str]) -> None:
+        """Encode words that are not there."""
+        others, rows = [], []
+        for word in words:
+            stop = self.stops.get(word[-1:], b"")
+            stem = word[:-1] if stop else word
+            if self.stops and stem.isalpha():
+                # Case is dropped, and the lower case of ASCII letters depends on nothing else.
+                rows.append((word, stem.lower() if stem.isascii() else stem, stop))
+            else:
+                others.append(word)
+        self.kept.update(zip(others, self._one_by_one(others), strict=True))
+        stems = list({stem for _, stem, _ in rows})
+        ids: dict[str, bytes] = {}
+        for at in range(0, len(stems), 4096):
+            chunk = stems[at : at + 4096]
+            ids.update(zip(chunk, self._joined(chunk), strict=True))
+        self.kept.update({word: ids[stem] + stop for word, stem, stop in rows})
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Words of letters, in one go. Each has at least one last token: with as many of these as
+        there are words, each word has one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._one_by_one(words)
+        whole, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        return [whole[i:j] for i, j in zip([0, *cuts], cuts)]
+
 
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
