@@ -8,7 +8,7 @@ in the JVM.
 """
 
 from contentloom.functions.elements import marked
-from contentloom.functions.sql import bind, q, q_list, replace_all
+from contentloom.functions.sql import bind, group, q, q_list, replace_all
 from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, PRE
 
 (
@@ -108,43 +108,79 @@ def _matches(pattern: str) -> str:
     return f"t RLIKE {q(pattern)}"
 
 
+def _each_run(run: str, change: str) -> str:
+    """Every match of ``run`` replaced by an expression of it (``x``) and of the text up to the
+    next match (``ahead``). The text is cut at the matches, so each is worked on once."""
+    cut = f"split({replace_all('t', (f'({run})', f'{COPY}$1{COPY_END}'))}, {q(f'[{COPY}{COPY_END}]')}, -1)"
+    ahead = change.replace("ahead", "r[i + 1]")
+    return bind(cut, "r", f"array_join(transform(r, (x, i) -> CASE WHEN i % 2 = 1 THEN {ahead} ELSE x END), '')")
+
+
+def _changed(*changes: tuple[str, str]) -> str:
+    return replace_all("t", *changes)
+
+
+# Patterns below repeat single characters of a class and never a group, which the engine would
+# match by recursion. Where a run may be long and lead to nothing, it is only tried from its start.
+_BLANKS = " \t\n\x0b\x0c\r" + QUOTE + INDENT + BREAK
+_FROM_START = rf"(?<![{_BLANK}])"
+
 _LINK_TIDY = (
     (rf"{LINK}([{_BLANK}]+)", rf"$1{LINK}"),
-    (rf"([{_BLANK}]+)({LINK_MID}[^{LINK_END}]*{LINK_END})", "$2$1"),
+    (rf"{_FROM_START}([{_BLANK}]++)({LINK_MID}[^{LINK_END}]*{LINK_END})", "$2$1"),
 )
 
 
-def _outward(signs: str, run: str, blanks_first: bool):
-    """Blanks move out of emphasis: each run of signs and blanks is doubled, then one copy
-    keeps the blanks and the other the signs."""
-    drop_signs, drop_blanks = (COPY, COPY_END) if blanks_first else (COPY_END, COPY)
+def _without(chars: str) -> str:
+    return f"translate(x, {q(chars)}, '')"
+
+
+def _breaks() -> str:
+    """Line breaks of a run of blanks: those with a blank line after them, or at the end of a
+    block, show nothing; the others are two spaces."""
+    shown, gone = ((rf" *{BREAK}", put) for put in ("  ", ""))
+    last_gap = rf"(?s)\A(.*)(\n[{QUOTE}{INDENT}]*\n.*)\z"
+    halves = f"concat({replace_all(group('x', last_gap), gone)}, {replace_all(group('x', last_gap, 2), shown)})"
+    at_end = f"(ahead = '' AND i + 2 = size(r)) OR ahead RLIKE {q(rf'^[{ITEM}{ROW}]')}"
     return (
-        (run, f"$1{COPY}$1{COPY_END}"),
-        (rf"[{signs}]+(?=[{signs}{_BLANK}]*{drop_signs})", ""),
-        (rf"[{_BLANK}]+(?=[{signs}{_BLANK}]*{drop_blanks})", ""),
-        (rf"[{COPY}{COPY_END}]", ""),
+        f"CASE WHEN {at_end} THEN {replace_all('x', gone)}"
+        f" WHEN x RLIKE {q(rf'\n[{QUOTE}{INDENT}]*+\n')} THEN {halves} ELSE {replace_all('x', shown)} END"
     )
 
 
-# Each step runs only on text that shows its trigger: (trigger, ((pattern, put), ...)).
+def _blank_lines() -> str:
+    """Of the line starts in a run, the first and the last stay. A blank quoted line does not
+    count as the first if a line of a lower quote follows in the run."""
+    quotes = f"length({group('l', f'^({QUOTE}*)')})"
+    blank = f"l RLIKE {q(f'^{QUOTE}+$')} AND a.least < {quotes}"
+    step = f"struct(least(a.least, {quotes}) AS least, CASE WHEN {blank} THEN a.kept ELSE l END AS kept)"
+    # From the last line back; the last one itself only says how deep it is.
+    deep = f"struct(length({group('element_at(s, -1)', f'^({QUOTE}*)')}) AS least, CAST(NULL AS STRING) AS kept)"
+    found = f"aggregate(reverse(slice(s, 2, size(s) - 2)), {deep}, (a, l) -> {step}, a -> a.kept)"
+    return bind("split(x, '\\n', -1)", "s", f"concat(coalesce(concat('\n', {found}), ''), '\n', element_at(s, -1))")
+
+
+_NOTHING = rf"{BOLD}(?:{ITALIC}{ITALIC_END})*+{BOLD_END}|{ITALIC}(?:{BOLD}{BOLD_END})*+{ITALIC_END}"
+
+# Each step runs only on text that shows its trigger.
 _TIDY = (
-    (_holds(LINK), _LINK_TIDY),
+    (_holds(LINK), _changed(*_LINK_TIDY)),
+    # Blanks move out of emphasis.
     (
         _matches(rf"[{_OPEN}][{_BLANK}]"),
-        _outward(_OPEN, rf"((?:[{_OPEN}]+[{_BLANK}]+)+[{_OPEN}]*)", True),
+        _each_run(rf"[{_OPEN}][{_OPEN}{_BLANK}]*+", f"concat({_without(_OPEN)}, {_without(_BLANKS)})"),
     ),
     (
         _matches(rf"[{_BLANK}][{_SHUT}]"),
-        _outward(_SHUT, rf"([{_SHUT}]*(?:[{_BLANK}]+[{_SHUT}]+)+)", False),
+        _each_run(
+            rf"(?<![{_SHUT}{_BLANK}])[{_SHUT}{_BLANK}]*[{_SHUT}]", f"concat({_without(_BLANKS)}, {_without(_SHUT)})"
+        ),
     ),
     # Emphasis around nothing goes.
-    (
-        _matches(rf"[{_OPEN}][{_SHUT}]"),
-        ((rf"{BOLD}(?:{ITALIC}{ITALIC_END})*{BOLD_END}|{ITALIC}(?:{BOLD}{BOLD_END})*{ITALIC_END}", ""),),
-    ),
+    (_matches(rf"[{_OPEN}][{_SHUT}]"), _changed((_NOTHING, ""))),
     (
         _holds(LINK),
-        (
+        _changed(
             *_LINK_TIDY,
             (rf"{LINK}{LINK_MID}[^{LINK_END}]*{LINK_END}", ""),
             # A link whose text is its address; then no escapes within addresses.
@@ -158,46 +194,42 @@ _TIDY = (
             ),
         ),
     ),
-    (_holds(" \n", "\n ", "  "), ((r" +\n *|\n +", "\n"), (r" {2,}", " "))),
-    (_holds(QUOTE, INDENT), ((rf"([{QUOTE}{INDENT}]) +", "$1"),)),
+    (_holds(" \n", "\n ", "  "), _changed((r" {2,}", " "), (r" \n ?|\n ", "\n"))),
+    (_holds(QUOTE, INDENT), _changed((rf"([{QUOTE}{INDENT}]) +", "$1"))),
     (
         _holds(BREAK),
-        (
-            # A line break at the end of a block shows nothing.
-            (rf" *{BREAK}(?=[{_BLANK}]*?\n[{QUOTE}{INDENT}]*\n|[{_BLANK}]*(?:\z|[{ITEM}{ROW}]))", ""),
-            (rf" *{BREAK}", "  "),
-        ),
+        _each_run(rf"{_FROM_START}[{_BLANK.replace(BREAK, '')}]*+{BREAK}[{_BLANK}]*+", _breaks()),
     ),
     (
         _holds(GROUP),
-        (
-            (rf"[{_BLANK}]+(?=[{ITEM}{ROW}])", ""),
-            (rf"{BULLET}[{_BLANK}]*", " "),
+        _changed(
+            (rf"{_FROM_START}[{_BLANK}]++(?=[{ITEM}{ROW}])", ""),
+            (rf"{BULLET}[{_BLANK}]*+", " "),
             (rf"[{ITEM}{ROW}]", "\n"),
-            (rf"[{QUOTE}{INDENT}]*{GROUP}\n?", ""),
+            (rf"(?<![{QUOTE}{INDENT}])[{QUOTE}{INDENT}]++{GROUP}\n?|{GROUP}\n?", ""),
         ),
     ),
     # An item or row outside a list or table.
-    (_holds(ITEM, BULLET, ROW), ((f"[{ITEM}{ROW}]", "\n"), (rf"{BULLET}[{_BLANK}]*", " "))),
-    # Blank quoted lines before a line outside the quote, then runs of blank lines.
-    (_holds(QUOTE), ((rf"\n({QUOTE}+)(?=(?:\n[{QUOTE}{INDENT}]*+)*\n(?!\1))(?=\n)", ""),)),
+    (_holds(ITEM, BULLET, ROW), _changed((f"[{ITEM}{ROW}]", "\n"), (rf"{BULLET}[{_BLANK}]*+", " "))),
+    # Runs of blank lines within quotes and lists, then elsewhere.
     (
         _holds(QUOTE, INDENT),
-        (
-            (rf"(\n[{QUOTE}{INDENT}]*+)(?:\n[{QUOTE}{INDENT}]*+)*(\n[{QUOTE}{INDENT}]*+)", "$1$2"),
-            (rf"{INDENT}+(?=\n|\z)", ""),
-        ),
+        _each_run(rf"\n[{QUOTE}{INDENT}]*+\n[\n{QUOTE}{INDENT}]*+", _blank_lines()),
+    ),
+    (_holds(INDENT), _changed((rf"(?<!{INDENT}){INDENT}++(?=\n|\z)", ""))),
+    (_holds("\n\n\n"), _changed((r"\n{3,}", "\n\n"))),
+    (
+        _holds(FENCE_END),
+        _changed((rf"(?<![{NEWLINE}{QUOTE}])({QUOTE}*+)(?:{NEWLINE}[{NEWLINE}{QUOTE}]*+)?{FENCE_END}", f"$1{NEWLINE}")),
     ),
-    (_holds("\n\n\n"), ((r"\n{3,}", "\n\n"),)),
-    (_holds(FENCE_END), ((rf"(?:{NEWLINE}{QUOTE}*)*{FENCE_END}", NEWLINE),)),
 )
 
 
 def markdown(nodes: str = "nodes") -> str:
     """Markdown of a slice of document events, with ``#`` headings."""
     text = f"array_join(transform({nodes}, e -> {_PIECE}), '')"
-    for trigger, changes in _TIDY:
-        text = bind(text, "t", f"CASE WHEN {trigger} THEN {replace_all('t', *changes)} ELSE t END")
+    for trigger, tidied in _TIDY:
+        text = bind(text, "t", f"CASE WHEN {trigger} THEN {tidied} ELSE t END")
     blank = " \t\n\x0b\x0c\r" + INDENT
     text = f"trim(TRAILING {q(blank + QUOTE)} FROM trim(LEADING {q(blank)} FROM {text}))"
     for sign, shown in ((QUOTE + "\n", ">\n"), (QUOTE, "> "), (BOLD, "**"), (BOLD_END, "**"), (LINK_MID, "](")):

@@ -12,7 +12,10 @@ from contentloom.functions.urls import is_article_url, resolve_link
 
 # Labels of links to a full article.
 READ_MORE = ("Read more", "Read More", "Continue reading", "Read article", "View post")
+# Parts of addresses that such links lead to.
 READ_MORE_PATHS = ("/blog/", "/post/", "/article/", "/news/")
+# Classes that a post container carries, all of one entry.
+POST_CLASSES = (("bg-white", "p-[30px]"), ("blog-post",), ("post",), ("article",))
 UNTITLED = "Untitled"
 
 
@@ -69,8 +72,7 @@ def article_body() -> str:
 
 
 def post_containers() -> str:
-    kinds = (("bg-white", "p-[30px]"), ("blog-post",), ("post",), ("article",))
-    return select(f"e.tag = 'div' AND ({' OR '.join(f'({has_class(*k)})' for k in kinds)})")
+    return select(f"e.tag = 'div' AND ({' OR '.join(f'({has_class(*k)})' for k in POST_CLASSES)})")
 
 
 def anchors() -> str:
@@ -112,13 +114,10 @@ def break_words_post() -> str:
 def quill_posts() -> str:
     """``ARRAY<STRUCT<title, body>>``: one entry per quill container, body as events."""
 
-    def divs(part: str) -> str:
-        return select(f"e.tag = 'div' AND contains(lower(coalesce(e.classes, '')), {q(part)})")
+    def inner(field: str) -> str:
+        return f"try_element_at(nodes, c.{field} + 1)"
 
-    def inner(name: str) -> str:
-        return f"try_element_at(filter({name}, x -> x.pos > c.pos AND x.pos < c.end), 1)"
-
-    title = f"coalesce({packed_text(subtree(inner('heads')))}, {q(UNTITLED)})"
-    body = subtree(f"coalesce({inner('contents')}, c)")
-    posts = f"transform({divs('quill')}, c -> struct({title} AS title, {body} AS body))"
-    return bind(divs("content"), "contents", bind(select(has_tag("h1", "h2", "h3")), "heads", posts))
+    containers = select("e.tag = 'div' AND contains(lower(coalesce(e.classes, '')), 'quill')")
+    title = f"coalesce({packed_text(subtree(inner('first_head')))}, {q(UNTITLED)})"
+    body = subtree(f"coalesce({inner('first_content')}, c)")
+    return f"transform({containers}, c -> struct({title} AS title, {body} AS body))"

@@ -51,6 +51,8 @@ def _tag_marks() -> dict[str, int]:
 
 TAG_MARKS = _tag_marks()
 DEPTH_TAGS = ("blockquote", "ul", "ol")
+# Quotes and lists count as nested up to here; each level is a prefix of every line within.
+MAX_DEPTH = 100
 
 _FIELDS = (
     ("pos", pa.int32(), T.IntegerType()),
@@ -73,8 +75,11 @@ _FIELDS = (
     # Places of the nearest link around an event and of the first link within an element.
     ("link", pa.int32(), T.IntegerType()),
     ("first_link", pa.int32(), T.IntegerType()),
+    # Likewise of the first h1 to h3 and the first div with "content" in its class.
+    ("first_head", pa.int32(), T.IntegerType()),
+    ("first_content", pa.int32(), T.IntegerType()),
 )
-_END, _HREF, _TEXT_LEN, _FIRST_LINK = 1, 8, 12, 18
+_END, _HREF, _TEXT_LEN, _FIRST_LINK, _FIRST_HEAD, _FIRST_CONTENT = 1, 8, 12, 18, 19, 20
 NODE = T.StructType([T.StructField(n, s) for n, _, s in _FIELDS])
 NODES = T.ArrayType(NODE)
 _ARROW_NODE = pa.struct([(n, a) for n, a, _ in _FIELDS])
@@ -83,10 +88,11 @@ _ARROW_NODE = pa.struct([(n, a) for n, a, _ in _FIELDS])
 class _Frame:
     """An open element: its row, what it hands down, and how many children of a kind it has had."""
 
-    __slots__ = ("tag", "row", "marks", "depths", "link", "seen")
+    __slots__ = ("tag", "row", "marks", "depths", "link", "table", "seen")
 
-    def __init__(self, tag, row, marks, depths, link):
+    def __init__(self, tag, row, marks, depths, link, table):
         self.tag, self.row, self.marks, self.depths, self.link = tag, row, marks, depths, link
+        self.table = self if tag == "table" else table
         self.seen = {}
 
     def count(self, kind):
@@ -104,7 +110,7 @@ class _Events(HTMLParser):
         self.reset()
         self.rows, self.buffer = [], []
         self.seen_chars = 0
-        self.stack = [_Frame("", None, 0, (0, 0, 0), None)]
+        self.stack = [_Frame("", None, 0, (0, 0, 0), None, None)]
         self.open = {}
         self.feed(html)
         self.close()
@@ -118,7 +124,7 @@ class _Events(HTMLParser):
         parent = frame.row[0] if frame.row else None
         row = [
             pos, pos, parent, len(self.stack) - 1, ord_, tag, frame.tag, classes,
-            href, src, alt, text, n, marks, *frame.depths, frame.link, None,
+            href, src, alt, text, n, marks, *frame.depths, frame.link, None, None, None,
         ]
         self.rows.append(row)
         return row
@@ -150,30 +156,37 @@ class _Events(HTMLParser):
         if not CHROME_TOKENS.isdisjoint(tokens) or not CHROME_TOKENS.isdisjoint((attrs.get("id") or "").split()):
             marks |= CHROME
         # Table rows are numbered over the whole table, all else among its siblings.
-        owner = next((f for f in reversed(self.stack) if f.tag == "table"), top) if tag == "tr" else top
+        owner = (top.table or top) if tag == "tr" else top
         row = self._add(
             tag, top, owner.count(tag), marks, " ".join(tokens) if "class" in attrs else None,
             href, attrs.get("src"), attrs.get("alt"),
         )
         is_link = tag == "a" and href is not None
         if is_link:
-            # Elements further out than one that has a link already have theirs.
-            for frame in reversed(self.stack):
-                if frame.row is None or frame.row[_FIRST_LINK] is not None:
-                    break
-                frame.row[_FIRST_LINK] = row[0]
+            self._first_within(_FIRST_LINK, row[0])
+        if tag in ("h1", "h2", "h3"):
+            self._first_within(_FIRST_HEAD, row[0])
+        if tag == "div" and "content" in (attrs.get("class") or "").lower():
+            self._first_within(_FIRST_CONTENT, row[0])
         if tag in ("td", "th"):
             top.count("cells")
         if tag in VOID_TAGS:
             return
         depths = top.depths
         if tag in DEPTH_TAGS:
-            depths = tuple(d + (t == tag) for d, t in zip(depths, DEPTH_TAGS))
-        frame = _Frame(tag, row, marks, depths, row[0] if is_link else top.link)
+            depths = tuple(min(d + (t == tag), MAX_DEPTH) for d, t in zip(depths, DEPTH_TAGS))
+        frame = _Frame(tag, row, marks, depths, row[0] if is_link else top.link, top.table)
         row[_TEXT_LEN] = -self.seen_chars
         self.stack.append(frame)
         self.open[tag] = self.open.get(tag, 0) + 1
 
+    def _first_within(self, field, pos):
+        """Note a place on all open elements; further out than one that has its own, all do."""
+        for frame in reversed(self.stack):
+            if frame.row is None or frame.row[field] is not None:
+                break
+            frame.row[field] = pos
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID_TAGS:

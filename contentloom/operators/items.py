@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.operators.routing import resolve_content_type
 from contentloom.operators.skew import group_rank
-from contentloom.schemas import POSITION_FIELDS
 
 
 def within_limit(rank: Column, size: Column, max_items: Column) -> Column:
@@ -67,7 +66,3 @@ def run_summary(items: DataFrame) -> DataFrame:
         "content_type",
     )
 
-
-def in_order(items: DataFrame) -> DataFrame:
-    """Discovery order, for a sink that needs one."""
-    return items.orderBy(*POSITION_FIELDS)

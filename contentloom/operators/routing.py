@@ -27,6 +27,7 @@ def _holding(part: str) -> Predicate:
     return lambda source, is_file: source.contains(part)
 
 
+# How the built-in routes are told apart, in their order.
 DRIVE_FOLDER = "drive.google.com/drive/folders/"
 DEFAULT_ROUTES = (
     Route("drive", _holding(DRIVE_FOLDER)),

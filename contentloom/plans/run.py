@@ -3,18 +3,19 @@
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from contentloom.operators.crawl import rejects
 from contentloom.operators.items import apply_limit, has_content, resolve_types
-from contentloom.operators.routing import DRIVE_FOLDER, Routes
-from contentloom.plans.sites import linkedin_items, substack_items
-from contentloom.plans.website import Crawl, website_items
+from contentloom.operators.routing import Routes
+from contentloom.plans.sites import linkedin_parts, substack_parts
+from contentloom.plans.website import Crawl, website_parts
 from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items, with_run
 from contentloom.session import stage
-from contentloom.sources.drive import drive_items, first_names, listing_links
+from contentloom.sources.drive import drive_items, exploded_links, first_names, listing_arrays
 from contentloom.sources.files import book_items, generic_items, transcript_items
 from contentloom.sources.pages import one_per_key, page_nodes
-from contentloom.sources.reddit import reddit_items
+from contentloom.sources.reddit import met_threads, thread_items
 from contentloom.functions.urls import url_key
 from contentloom.operators.skew import skew_join
 
@@ -23,7 +24,8 @@ from contentloom.operators.skew import skew_join
 class Store:
     """What a run reads instead of the network and the local disk. Any table may be left out.
 
-    ``pages(page_id, url, url_key, html)``, ``threads(json_url, body)``, ``files(path, text)``,
+    ``pages(page_id, url, url_key, html)``, ``threads(json_url, body)``, ``files(path, text)`` (a null
+    text could not be read),
     ``book_pages(file, page_no, text)`` for local books and ``drive_pages(url, page_no, text)``
     for downloads.
     """
@@ -42,61 +44,107 @@ class Store:
         return self._crawl
 
 
-def _file_items(sources: DataFrame, texts: DataFrame, make, key: str) -> DataFrame:
-    items = skew_join(sources.select("source_id", "run", F.col("source").alias(key)), make(texts), key)
-    return items.withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))
+#: Items and rejects of some sources.
+Parts = tuple[DataFrame, DataFrame]
 
 
-def _drive(sources: DataFrame, store: Store) -> DataFrame:
+def _no_item(rows: DataFrame, where: str, reason: str) -> DataFrame:
+    return rejects(rows.withColumn("url", F.col("run.source")), where, reason)
+
+
+def _file_parts(sources: DataFrame, texts: DataFrame, make, key: str) -> Parts:
+    """Texts that no source names are left out first; a path that is stored twice counts once."""
+    own = sources.select("source_id", "run", F.col("source").alias(key))
+    wanted = texts.join(own.select(key).distinct(), key, "left_semi")
+    if key == "path":
+        wanted = wanted.groupBy("path").agg(F.min("text").alias("text"))
+    stored = wanted.select(key).distinct().join(make(wanted).withColumn("made", F.lit(True)), key, "left")
+    met = skew_join(own, stage(stored.withColumn("made", F.coalesce("made", F.lit(False))), "texts"), key, "left")
+    items = met.where("made").withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))
+    lost = _no_item(met.where(F.col("made").isNull()), "file", "not stored").unionByName(
+        _no_item(met.where(~F.col("made")), "file", "not UTF-8")
+    )
+    return items, lost
+
+
+def _generic_parts(sources: DataFrame, texts: DataFrame) -> Parts:
+    is_file = F.coalesce("is_file", F.lit(False))
+    items, lost = _file_parts(sources.where(is_file), texts, generic_items, "path")
+    return items, lost.unionByName(_no_item(sources.where(~is_file), "file", "not a file"))
+
+
+def _reddit_parts(sources: DataFrame, threads: DataFrame, unescape: bool) -> Parts:
+    met = met_threads(sources, threads, unescape)
+    lost = _no_item(met.where(F.col("found").isNull()), "thread", "not stored").unionByName(
+        _no_item(met.where(~F.col("found")), "thread", "no comment")
+    )
+    return thread_items(met), lost
+
+
+def _drive_parts(sources: DataFrame, store: Store) -> Parts:
     own = sources.select("source_id", "run", F.expr(url_key("source")).alias("url_key"))
-    # Only listings may meet the join: the rest of the crawl is left out by the scan.
-    named = F.col("url_key").contains(DRIVE_FOLDER)
-    wanted = store.pages.where(named).join(own, "url_key", "left_semi")
-    hidden = own.where(~named)
-    if not hidden.isEmpty():
-        # A source that names the folder in its fragment only.
-        wanted = wanted.unionByName(store.pages.where(~named).join(hidden, "url_key", "left_semi"))
+    # A source may name the folder in its fragment only, so its key decides and not its address.
+    # Keys are narrow; of the crawl, only the listings themselves go through the join.
+    wanted = store.pages.join(own.select("url_key").distinct(), "url_key", "left_semi")
     listings = page_nodes(one_per_key(wanted), "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
-    links = stage(first_names(listing_links(listings), ["url_key"]), "drive-links")
-    books = drive_items(links, store.drive_pages)
-    return skew_join(own, books, "url_key")
+    read = stage(listings.select("url_key", F.expr(listing_arrays()).alias("links")), "listings")
+    links = stage(first_names(exploded_links(read), ["url_key"]), "drive-links")
+    named = links.where(~F.col("name").contains("/"))
+    books = stage(drive_items(named, store.drive_pages), "books")
+    items = skew_join(own, books, "url_key")
+    fetched = skew_join(own, read.select("url_key", F.size("links").alias("n")), "url_key", "left")
+    lost_links = links.join(books.select("url_key", F.col("source_url").alias("url")), ["url_key", "url"], "left_anti")
+    reason = F.when(F.col("name").contains("/"), "name with a slash").otherwise("not stored")
+    met_links = skew_join(own, links.withColumn("reason", reason).join(lost_links.select("url_key", "url"), ["url_key", "url"], "left_semi"), "url_key")
+    lost = (
+        _no_item(fetched.where(F.col("n").isNull()), "listing", "not fetched")
+        .unionByName(_no_item(fetched.where("n = 0"), "listing", "no files"))
+        .unionByName(met_links.select("source_id", "url", F.lit("download").alias("stage"), "reason"))
+    )
+    return items, lost
 
 
 def _builders(store: Store, unescape: bool):
-    """Per built-in route: the tables it reads, and how it makes items of its sources."""
+    """Per built-in route: the tables it reads, and how it makes items and rejects of its sources."""
     is_text = F.lower("path").endswith(".txt")
     return {
-        "drive": ((store.pages, store.drive_pages), lambda s: _drive(s, store)),
-        "website": ((store.pages,), lambda s: website_items(s, store.crawl)),
-        "pdf": ((store.book_pages,), lambda s: _file_items(s, store.book_pages, book_items, "file")),
-        "reddit": ((store.threads,), lambda s: reddit_items(s, store.threads, unescape)),
-        "substack": ((store.pages,), lambda s: substack_items(s, store.crawl.facts)),
-        "linkedin": ((store.pages,), lambda s: linkedin_items(s, store.crawl.facts)),
+        "drive": ((store.pages, store.drive_pages), lambda s: _drive_parts(s, store)),
+        "website": ((store.pages,), lambda s: website_parts(s, store.crawl)),
+        "pdf": ((store.book_pages,), lambda s: _file_parts(s, store.book_pages, book_items, "file")),
+        "reddit": ((store.threads,), lambda s: _reddit_parts(s, store.threads, unescape)),
+        "substack": ((store.pages,), lambda s: substack_parts(s, store.crawl.facts)),
+        "linkedin": ((store.pages,), lambda s: linkedin_parts(s, store.crawl.facts)),
         # The scan leaves out the files that the other of the two routes takes.
-        "transcript": ((store.files,), lambda s: _file_items(s, store.files.where(is_text), transcript_items, "path")),
-        "generic": (
-            (store.files,),
-            lambda s: _file_items(s.where("is_file"), store.files.where(~is_text), generic_items, "path"),
-        ),
+        "transcript": ((store.files,), lambda s: _file_parts(s, store.files.where(is_text), transcript_items, "path")),
+        "generic": ((store.files,), lambda s: _generic_parts(s, store.files.where(~is_text))),
     }
 
 
-def route_items(routed: DataFrame, names: set[str], store: Store, routes: Routes, unescape: bool = True) -> DataFrame | None:
-    """Items of the named routes as one table, with their place of discovery.
+def route_parts(
+    routed: DataFrame, names: set[str], store: Store, routes: Routes, unescape: bool = True
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Items of the named routes, with their place of discovery, and rejects.
 
-    A registered extractor gets its sources and hands on their ``source_id`` and ``run``.
+    A registered extractor gets its sources and hands on their ``source_id`` and ``run``. Sources
+    of a route whose tables the store lacks are rejects.
     """
     builders = _builders(store, unescape)
-    parts = []
+    items, lost = [], []
     for route in routes.routes:
-        tables, build = ((), route.extract) if route.extract else builders[route.name]
-        if route.name in names and all(t is not None for t in tables):
-            parts.append(check_items(build(routed.where(F.col("route") == route.name).drop("route"))))
-    if not parts:
-        return None
-    items = reduce(DataFrame.unionByName, parts)
-    return items.select(*POSITION_FIELDS, "run.*", *ITEM_FIELDS)
+        if route.name not in names:
+            continue
+        own = routed.where(F.col("route") == route.name).drop("route")
+        if route.extract:
+            found = route.extract(own)
+        elif all(t is not None for t in builders[route.name][0]):
+            found, missed = builders[route.name][1](own)
+            lost.append(missed)
+        else:
+            lost.append(_no_item(own, "store", f"no table for the route {route.name}"))
+            continue
+        items.append(check_items(found).select(*POSITION_FIELDS, "run.*", *ITEM_FIELDS))
+    return items, lost
 
 
 def _limited() -> Column:
@@ -109,33 +157,56 @@ def _present(routed: DataFrame) -> dict[bool, set[str]]:
     return {flag: {r["route"] for r in rows if r["limited"] == flag} for flag in (False, True)}
 
 
-def _extract(sources: DataFrame, store: Store, routes: Routes | None, unescape: bool) -> dict[bool, DataFrame]:
-    """Items of the sources without a limit and of those with one.
+def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+FOUND = "source_id long, page_seq long, item_seq long, source string, is_file boolean, team_id string, " + (
+    "force_content_type string, max_items int, " + ", ".join(f"{c} string" for c in ITEM_FIELDS)
+)
+REJECT = "source_id long, url string, stage string, reason string"
+
+
+@dataclass
+class Run:
+    """Finished items; rejects (source_id, url, stage, reason): what gave no item, and why; and
+    all items found before limit and filter, for ``run_summary``."""
+
+    items: DataFrame
+    rejects: DataFrame
+    found: DataFrame
+
+
+def run_all(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> Run:
+    """A manifest routed, extracted, limited, typed and without empty items.
 
-    The latter are staged, because their limit reads them twice.
+    Stage tables (the parsed crawl, links between hops, items with a limit) are written while the
+    plan is built; ``session.remove_stages`` deletes them once the results are.
     """
-    routes = routes or Routes()
+    spark, routes = sources.sparkSession, routes or Routes()
     routed = routes.apply(with_run(sources))
-    parts = {}
+    found, finished, lost = [], [], []
     for limited, names in _present(routed).items():
         own = routed.where(_limited() if limited else ~_limited())
-        items = route_items(own, names, store, routes, unescape)
-        if items is not None:
-            parts[limited] = stage(items, "limited-items") if limited else items
-    if not parts:
-        raise ValueError("no source of the manifest can be read from the tables of the store")
-    return parts
+        items, missed = route_parts(own, names, store, routes, unescape)
+        lost += missed
+        if items and limited:  # their limit reads them twice
+            items = [stage(_union(items, spark, FOUND), "limited-items")]
+            finished.append(apply_limit(items[0]))
+        else:
+            finished += items
+        found += items
+    done = resolve_types(_union(finished, spark, FOUND)).where(has_content(F.col("content")))
+    return Run(
+        done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS), _union(lost, spark, REJECT), _union(found, spark, FOUND)
+    )
 
 
 def extract(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:
     """All items found, before limit and filter, with the settings of their run."""
-    return reduce(DataFrame.unionByName, _extract(sources, store, routes, unescape).values())
+    return run_all(sources, store, routes, unescape).found
 
 
 def run(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:
-    """Finished items of a manifest: routed, extracted, limited, typed, non-empty."""
-    parts = _extract(sources, store, routes, unescape)
-    if True in parts:
-        parts[True] = apply_limit(parts[True])
-    done = resolve_types(reduce(DataFrame.unionByName, parts.values())).where(has_content(F.col("content")))
-    return done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS)
+    """Finished items of a manifest."""
+    return run_all(sources, store, routes, unescape).items

@@ -9,31 +9,45 @@ from contentloom.schemas import item_columns
 
 def _own_pages(sources: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     own = sources.select("source_id", "run", F.col("source").alias("url"), F.expr(url_key("source")).alias("url_key"))
-    return fetch(own, facts, *columns).where("fetched")
+    return fetch(own, facts, *columns)
 
 
-def _one_item(pages: DataFrame, content: str, content_type: str) -> DataFrame:
+def _one_item(pages: DataFrame, content: str, content_type: str, missing: str) -> tuple[DataFrame, DataFrame]:
+    """Items, and rejects: pages that are not there, lack what is asked for, or whose title cannot
+    be read."""
     title = F.coalesce("document_title", "url")
-    return pages.where(F.col(content).isNotNull() & F.col("title_readable")).select(
+    has, readable = F.col(content).isNotNull(), F.col("title_readable")
+    fetched = pages.where("fetched")
+    items = fetched.where(has & readable).select(
         "source_id",
         "run",
         F.lit(0).alias("page_seq"),
         F.lit(0).alias("item_seq"),
         *item_columns(title, F.col(content), content_type, F.col("url")),
     )
+    lost = (
+        rejects(pages.where(~F.col("fetched")), "page", "not fetched")
+        .unionByName(rejects(fetched.where(~has), "page", missing))
+        .unionByName(rejects(fetched.where(has & ~readable), "page", "unreadable title"))
+    )
+    return items, lost
+
+
+def substack_parts(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pages = _own_pages(sources, facts, "document_title", "title_readable", "main")
+    return _one_item(pages, "main", "blog", "no main text")
 
 
 def substack_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
     """Main text of the page under its document title."""
-    return _one_item(_own_pages(sources, facts, "document_title", "title_readable", "main"), "main", "blog")
+    return substack_parts(sources, facts)[0]
 
 
-def linkedin_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
-    """The post of the page under its document title."""
-    return _one_item(_own_pages(sources, facts, "document_title", "title_readable", "post"), "post", "linkedin_post")
+def linkedin_parts(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pages = _own_pages(sources, facts, "document_title", "title_readable", "post")
+    return _one_item(pages, "post", "linkedin_post", "no post")
 
 
-def title_rejects(sources: DataFrame, facts: DataFrame, content: str) -> DataFrame:
-    """Pages with content but a title that cannot be read: no item, and no failed job."""
-    pages = _own_pages(sources, facts, "title_readable", content)
-    return rejects(pages.where(F.col(content).isNotNull() & ~F.col("title_readable")), "page", "unreadable title")
+def linkedin_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """The post of the page under its document title."""
+    return linkedin_parts(sources, facts)[0]

@@ -17,6 +17,7 @@ def local_session(cores: str | int = "*", name: str = "contentloom") -> SparkSes
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        .config("spark.contentloom.parse.tasks", "8" if cores == "*" else str(cores))
         .getOrCreate()
     )
 
@@ -34,12 +35,25 @@ def stage_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once and read it back.
+    """Write a table once and read it back. This runs a job at once, while a plan is built.
 
     Cuts the lineage, so a lost executor costs a re-read and not a second parse of the
     crawl, and lets every later reader take only the columns it needs.
     """
     path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_stages(spark: SparkSession) -> int:
+    """Delete the stage tables of this process, once the results that read them are written."""
+    n = len(_STAGED)
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -43,11 +43,22 @@ def anchor_links() -> str:
     return f"filter({named}, a -> a.file_id <> '')"
 
 
+def listing_arrays() -> str:
+    """All files that a listing's ``nodes`` name: links in scripts first, then anchors; repeats stay."""
+    return f"concat({_all_script_links()}, {anchor_links()})"
+
+
+def exploded_links(listings: DataFrame, links: str = "links") -> DataFrame:
+    """One row per named file, in order."""
+    kept = [c for c in listings.columns if c != links]
+    each = listings.selectExpr(*kept, f"posexplode({links}) AS (pos, link)")
+    return each.selectExpr(*kept, "pos", f"{drive_download_url('link.file_id')} AS url", "link.name AS name")
+
+
 def listing_links(listings: DataFrame) -> DataFrame:
-    """``nodes`` to one row per named file: links in scripts first, then anchors; repeats stay."""
+    """``nodes`` to one row per named file."""
     kept = [c for c in listings.columns if c not in ("nodes", "elements")]
-    links = listings.selectExpr(*kept, f"posexplode(concat({_all_script_links()}, {anchor_links()})) AS (pos, link)")
-    return links.selectExpr(*kept, "pos", f"{drive_download_url('link.file_id')} AS url", "link.name AS name")
+    return exploded_links(listings.select(*kept, F.expr(listing_arrays()).alias("links")))
 
 
 def first_names(links: DataFrame, group: list[str]) -> DataFrame:
@@ -58,9 +69,12 @@ def first_names(links: DataFrame, group: list[str]) -> DataFrame:
 def drive_items(links: DataFrame, page_texts: DataFrame) -> DataFrame:
     """Books of deduplicated links ``(…, url, name, pos)`` whose page texts ``(url, page_no, text)`` are stored.
 
+    ``links`` is read more than once: stage it. Texts of other books are left out before they are gathered.
+
     A name with a slash could not be saved as a local file, so it gives no item.
     """
-    books = book_texts(page_texts, "url")
+    wanted = links.select("url").distinct()
+    books = book_texts(page_texts.join(wanted, "url", "left_semi"), "url")
     # Rules run once per book, not once per link to it.
     books = books.selectExpr("url", f"{text_to_markdown('text')} AS text")
     local = "concat('_gdrive_', translate(name, ' ', '_'))"

@@ -1,7 +1,5 @@
 """The crawl table and what is read off each of its pages."""
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.functions import page as P
@@ -19,30 +17,18 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.selectExpr("page_id", "url", f"{url_key('url')} AS url_key", "html")
 
 
-# Below this many bytes per core a scan is too few tasks for the parse.
-SPREAD_BYTES = 32 * 1024 * 1024
-
-
-def spread_scan(pages: DataFrame) -> DataFrame:
-    """More tasks for the parse of a small table; a large crawl is never shuffled for this.
-
-    Only the sizes of at most as many files as there are cores are looked up.
-    """
-    spark = pages.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = [unquote(f) for f in pages.inputFiles()]
-    if len(files) >= cores:
-        return pages
-    if files:
-        size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
-        if size >= cores * SPREAD_BYTES:
-            return pages
-    return pages.repartition(cores)
+#: Setting of the session: tasks of the parse. Unset, a scan is parsed as it is split, without a
+#: shuffle; spark.sql.files.maxPartitionBytes says how. Set it where a small table is one file.
+PARSE_TASKS = "spark.contentloom.parse.tasks"
 
 
 def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
     """Events of each page, and its elements, beside the columns ``keep``."""
-    return dom_nodes(spread_scan(pages.select(*keep, "html"))).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
+    rows = pages.select(*keep, "html")
+    tasks = pages.sparkSession.conf.get(PARSE_TASKS, None)
+    if tasks:
+        rows = rows.repartition(int(tasks))
+    return dom_nodes(rows).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
 
 
 def page_facts(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reddit threads in their JSON form."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.functions.markdown import markdown
 from contentloom.functions.text import decode_entities
@@ -8,6 +8,7 @@ from contentloom.functions.urls import reddit_json_url
 from contentloom.operators.dom import dom_nodes
 from contentloom.operators.skew import skew_join
 from contentloom.schemas import item_columns
+from contentloom.session import stage
 
 _COMMENT = "$[1].data.children[0].data"
 
@@ -41,22 +42,48 @@ def first_comments(threads: DataFrame) -> DataFrame:
     )
 
 
-def comment_items(threads: DataFrame, url: str = "source", unescape: bool = True) -> DataFrame:
-    """Items of threads ``(url, body)``. Listings escape their HTML; ``unescape`` undoes that."""
-    comments = first_comments(threads)
+def _rendered(comments: DataFrame, unescape: bool) -> DataFrame:
+    """Markdown of ``body_html`` as ``content``, beside the other columns."""
     body = decode_entities("body_html") if unescape else "body_html"
     parsed = dom_nodes(comments.withColumn("body_html", F.expr(body)), "body_html")
+    kept = [c for c in parsed.columns if c != "nodes"]
+    return parsed.where(F.col("nodes").isNotNull()).select(*kept, F.expr(markdown()).alias("content"))
+
+
+def _item(url: str) -> list[Column]:
     name = F.concat(F.lit("Reddit comment by "), F.coalesce(F.col("author"), F.lit("None")))
-    kept = [c for c in parsed.columns if c not in ("nodes", "author", "user_id")]
-    return parsed.where(F.col("nodes").isNotNull()).select(
-        *kept,
-        *item_columns(name, F.expr(markdown()), "reddit_comment", F.col(url), F.col("author"), F.col("user_id")),
-    )
+    return item_columns(name, F.col("content"), "reddit_comment", F.col(url), F.col("author"), F.col("user_id"))
+
+
+def comment_items(threads: DataFrame, url: str = "source", unescape: bool = True) -> DataFrame:
+    """Items of threads ``(url, body)``. Listings escape their HTML; ``unescape`` undoes that."""
+    kept = [c for c in threads.columns if c != "body"]
+    return _rendered(first_comments(threads), unescape).select(*kept, *_item(url))
+
+
+def met_threads(sources: DataFrame, threads: DataFrame, unescape: bool = True) -> DataFrame:
+    """Sources with their thread's comment; ``found`` is null where no thread is stored, false where
+    it has no comment.
+
+    Only the first comments of wanted threads are kept, each thread is rendered once, and what is
+    joined with the sources is that. A thread that is stored twice counts once: by the smallest of
+    its comments.
+    """
+    wanted = sources.withColumn("json_url", F.expr(reddit_json_url("source")))
+    met = threads.select("json_url", "body").join(wanted.select("json_url").distinct(), "json_url", "left_semi")
+    comment = F.min(F.struct("author", "user_id", "body_html")).alias("comment")
+    first = first_comments(met).groupBy("json_url").agg(comment).select("json_url", "comment.*")
+    rendered = _rendered(first, unescape).withColumn("found", F.lit(True))
+    stored = met.select("json_url").distinct().join(rendered, "json_url", "left")
+    stored = stored.withColumn("found", F.coalesce("found", F.lit(False)))
+    return skew_join(wanted, stage(stored, "threads"), "json_url", "left")
 
 
 def reddit_items(sources: DataFrame, threads: DataFrame, unescape: bool = True) -> DataFrame:
     """Sources whose stored thread ``(json_url, body)`` is there; all else gives no item."""
-    wanted = sources.withColumn("json_url", F.expr(reddit_json_url("source")))
-    fetched = skew_join(wanted, threads.select("json_url", "body"), "json_url")
-    items = comment_items(fetched.drop("json_url"), "source", unescape)
-    return items.withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))
+    return thread_items(met_threads(sources, threads, unescape))
+
+
+def thread_items(met: DataFrame) -> DataFrame:
+    place = (F.lit(0).alias("page_seq"), F.lit(0).alias("item_seq"))
+    return met.where("found").select("source_id", "run", *place, *_item("source"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from contentloom.functions import text as T
 from contentloom.schemas import ITEM_FIELDS
+from contentloom.session import stage
 from contentloom.sources import drive as D
 from contentloom.sources import files as S
 from contentloom.sources.pages import page_nodes
@@ -241,4 +242,4 @@ def drive_books(spark, sf_dir):
         F.col("turn").alias("page_no"),
         expr(PAGE_TEXT).alias("text"),
     )
-    return D.drive_items(_first_links(spark, sf_dir), texts).select("listing", *ITEM_FIELDS)
+    return D.drive_items(stage(_first_links(spark, sf_dir), "links"), texts).select("listing", *ITEM_FIELDS)

@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from contentloom.functions import page as P
 from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown, plain_markdown
+from contentloom.operators.dom import dom_nodes
 from contentloom.sources.pages import page_nodes
 
 
@@ -187,3 +189,23 @@ def test_second_pass(evaluate):
     texts = ["a * b_c\n\n d  e", None, "x\t y", "\nq\n", "<b>kept</b> &amp;"]
     want = ["a \\* b\\_c\nd e", None, "x y", "q", "<b>kept</b> &amp;"]
     assert evaluate(plain_markdown("t"), texts, "t string") == want
+
+
+@pytest.mark.parametrize(
+    "page, start, length",
+    [
+        ("<p>" + "<b> " * 100_000 + "x", "***", 400_001),
+        ("x" + "<br>" * 100_000 + "y", "x  \n", 300_002),
+        ("<blockquote>a" + "<p></p>" * 100_000 + "</blockquote>b", "> a\n\nb", 6),
+        ("<pre>" + "\n" * 100_000 + "x</pre>", "```\n", None),
+        ("<blockquote>" * 2_000 + "x", "> > ", 201),
+        ("<table>" + "<tr><td>x" * 5_000, "| x\n", None),
+    ],
+)
+def test_markdown_of_malformed_pages(spark, page, start, length):
+    """Such pages end in seconds and are whole."""
+    nodes = dom_nodes(spark.createDataFrame([(page,)], "html string"))
+    text = nodes.select(F.expr(markdown()).alias("m")).first()["m"]
+    assert text.startswith(start)
+    if length:
+        assert len(text) == length

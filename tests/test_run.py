@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from contentloom.operators.routing import Routes
-from contentloom.plans.run import Store, extract, run
+from contentloom.plans.run import Store, extract, run, run_all
 from contentloom.plans.sink import envelopes, write_envelopes, write_items
-from contentloom.plans.sites import title_rejects
+from contentloom.plans.sites import linkedin_parts
 from contentloom.plans.website import Crawl, website_parts
 from contentloom.schemas import ITEM_FIELDS, SOURCE, check_items, item_columns, with_run
 from contentloom.functions.urls import url_key
@@ -181,8 +181,37 @@ def test_rejects(sources, store):
 
 def test_unreadable_titles(sources, store):
     posts = with_run(Routes().apply(sources).where("route = 'linkedin'"))
-    (lost,) = title_rejects(posts, store.crawl.facts, "post").collect()
-    assert (lost.url, lost.reason) == ("linkedin.com/posts/untitled", "unreadable title")
+    lost = linkedin_parts(posts, store.crawl.facts)[1].collect()
+    assert sorted((r.url, r.reason) for r in lost) == [
+        ("linkedin.com/posts/none", "no post"), ("linkedin.com/posts/untitled", "unreadable title"),
+    ]
+
+
+def test_rejects_of_every_route(spark, sources, store):
+    more = [
+        (100, "reddit.com/r/none", False, "t", None, None), (101, "shelf/None.pdf", True, "t", None, 1),
+        (102, "https://drive.google.com/drive/folders/none", False, "t", None, None), (103, "calls/bad.txt", True, "t", None, None),
+        (104, "www.substack.com/p/none", False, "t", None, None), (105, "reddit.com/r/bad", False, "t", None, 2),
+    ]
+    whole = sources.unionByName(spark.createDataFrame(more, SOURCE))
+    files = store.files.unionByName(spark.createDataFrame([("calls/bad.txt", None), ("calls/c.txt", "CHAPTER 9")], "path string, text string"))
+    threads = store.threads.unionByName(store.threads).unionByName(spark.createDataFrame([("reddit.com/r/bad.json", "{")], store.threads.schema))
+    result = run_all(whole, Store(store.pages, threads, files, store.book_pages, store.drive_pages))
+    got = sorted((r.url, r.stage, r.reason) for r in result.rejects.collect())
+    assert got == sorted([
+        ("https://x.io/blog/gone", "page", "not fetched"), ("https://x.io/none", "article", "not fetched"),
+        ("https://empty.io/", "page", "no main text"), ("https://missing.io/", "page", "not fetched"),
+        ("linkedin.com/posts/none", "page", "no post"), ("linkedin.com/posts/untitled", "page", "unreadable title"),
+        ("notes/absent.md", "file", "not a file"), ("reddit.com/r/none", "thread", "not stored"), ("reddit.com/r/bad", "thread", "no comment"),
+        ("shelf/None.pdf", "file", "not stored"), ("https://drive.google.com/drive/folders/none", "listing", "not fetched"),
+        ("calls/bad.txt", "file", "not UTF-8"), ("www.substack.com/p/none", "page", "not fetched"),
+        (f"https://drive.google.com/uc?export=download&id={'B' * 28}", "download", "not stored"),
+    ])
+    # Threads and files that are stored twice count once.
+    assert result.items.groupBy("source_id", "page_seq", "item_seq").count().where("count > 1").count() == 0
+    only = run_all(whole.where("source_id < 12"), Store(files=store.files))
+    assert only.items.count() == 0 and only.rejects.count() == 12
+    assert {r.stage for r in only.rejects.collect()} == {"store"}
 
 
 def test_registered_route_takes_part_in_a_run(spark, sources, store):
