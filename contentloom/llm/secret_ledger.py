@@ -19,6 +19,8 @@ equal texts, get equal findings. A null path is a path. Only the path and text c
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -193,11 +195,15 @@ def redacted(text: Column, spans: Column, mark: str = MARK) -> Column:
 def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with the findings of their texts masked. Texts without findings stay as they are."""
     update(docs, docs.select(digest_of(F.col(text_col)).alias("digest")), ledger, rules, text_col)
+    # A text that no pattern matches has no findings and is not moved.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    may_match = reduce(or_, (F.rlike(text, F.lit(r.pattern)) for r in rules))
     # The row travels as one column, so its names clash with none.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), digest_of(F.col(text_col)).alias("digest"))
+    rows = docs.where(may_match).select(F.struct(*docs.columns).alias("row"), digest_of(F.col(text_col)).alias("digest"))
     joined = skew_join(rows, spans_by_blob(ledger, rules), "digest", "left")
     text = F.col("row").getField(text_col)
     masked = F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans")))
-    return joined.select(
+    changed = joined.select(
         *((masked if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns)
     )
+    return docs.where(~may_match).unionByName(changed)

@@ -208,7 +208,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
     def rows_of(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, docs[id_col] == ids["kept_id"], "left_semi")
+        # The ids grow with the documents, so they are never sent to all tasks, however few they are.
+        return docs.join(ids.hint("merge"), docs[id_col] == ids["kept_id"], "left_semi")
 
     others = [c for c in docs.columns if c != text_col]
     repeated = (
