@@ -1,10 +1,10 @@
 """Operators on small tables with odd rows: nulls, empty texts, ties, repeats, clashing columns."""
 
 import hashlib
-import re
 
 import public_tokenizers
 import pytest
+from plain_forms import masked, plain_spans
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -112,23 +112,6 @@ SECRETS = [
     (6, "AKIA" + "C" * 15 + " AKIAAKIA" + "D" * 20), (7, "0123456789abcdef" * 3 + "g" + "f" * 23),
     (8, "secret=token:abcdefgh"), (None, "secret=token:abcdefgh"), (8, "secret=token:abcdefgh"), (9, "secret: " * 300 + "abcdefg"),
 ]
-KINDS = (
-    ("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6),
-    ("access", re.compile("(AKIA[A-Z0-9]+)"), 20),
-    ("hex", re.compile("([0-9a-f]+)"), 24),
-)
-
-
-def plain_spans(text):
-    spans = [
-        (m.start(), n, m.end(), kind)
-        for n, (kind, pattern, least) in enumerate(KINDS)
-        for m in pattern.finditer(text or "")
-        if len(m[1]) >= least
-    ]
-    return sorted(spans)
-
-
 def test_secret_ledger(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in SECRETS], "doc_id long, text string, digest string")
     ledger = secret_ledger.Ledger(spark, fresh_folder(spark, "ledger"))
@@ -157,16 +140,6 @@ def test_redact(spark):
     got = secret_ledger.redact(df, secret_ledger.Ledger(spark, fresh_folder(spark, "ledger")), secret_ledger.BASE_RULES)
     assert got.columns == df.columns
 
-    def masked(text):
-        if text is None:
-            return None
-        out, at = [], 0
-        for start, _, end, _ in plain_spans(text):
-            if start >= at:
-                out += [text[at:start], secret_ledger.MARK]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
-
     assert rows_of(got) == sorted(((i, masked(t), "x") for i, t in SECRETS), key=repr)
 
 
