@@ -50,22 +50,24 @@ class Encoder:
 
     def _add(self, words: set[str]) -> None:
         """Encode words that are not there."""
-        others, rows = [], []
-        for word in words:
-            stop = self.stops.get(word[-1:], b"")
-            stem = word[:-1] if stop else word
-            if self.stops and stem.isalpha():
-                # Case is dropped, and the lower case of ASCII letters depends on nothing else.
-                rows.append((word, stem.lower() if stem.isascii() else stem, stop))
-            else:
-                others.append(word)
+        if not self.stops:
+            self.kept.update(zip(words, self._one_by_one(list(words)), strict=True))
+            return
+        plain = [w for w in words if w.isalpha()]
+        rest = words.difference(plain)
+        stopped = [w for w in rest if w[-1:] in self.stops and w[:-1].isalpha()]
+        others = list(rest.difference(stopped))
         self.kept.update(zip(others, self._one_by_one(others), strict=True))
-        stems = list({stem for _, stem, _ in rows})
+        # Case is dropped, and the lower case of ASCII letters depends on nothing else.
+        stems = [w.lower() if w.isascii() else w for w in plain]
+        stopped_stems = [w[:-1].lower() if w.isascii() else w[:-1] for w in stopped]
+        new = list(set(stems).union(stopped_stems))
         ids: dict[str, bytes] = {}
-        for at in range(0, len(stems), 4096):
-            chunk = stems[at : at + 4096]
+        for at in range(0, len(new), 4096):
+            chunk = new[at : at + 4096]
             ids.update(zip(chunk, self._joined(chunk), strict=True))
-        self.kept.update({word: ids[stem] + stop for word, stem, stop in rows})
+        self.kept.update(zip(plain, map(ids.__getitem__, stems), strict=True))
+        self.kept.update({w: ids[stem] + self.stops[w[-1]] for w, stem in zip(stopped, stopped_stems, strict=True)})
 
     def _one_by_one(self, words: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
