@@ -9,7 +9,7 @@ in the JVM.
 
 from contentloom.functions.elements import marked
 from contentloom.functions.sql import bind, group, q, q_list, replace_all
-from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, PRE
+from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, MAX_DEPTH, PRE
 
 (
     ESC, BOLD, BOLD_END, ITALIC, ITALIC_END, LINK, LINK_MID, LINK_END, BREAK, ITEM, BULLET, ROW,
@@ -85,7 +85,7 @@ _PIECE = f"""CASE
   WHEN {_in('code', '/code')} AND NOT {marked('e', PRE)} THEN '`'
   WHEN e.tag = 'pre' THEN {_cat(_GAP, "'```'", q(NEWLINE), _QUOTES)}
   WHEN e.tag = '/pre' THEN {_cat(q(FENCE_END), _QUOTES, "'```'", _GAP)}
-  WHEN e.tag = 'blockquote' THEN {_cat(_GAP, f"CASE WHEN {_FLAT} THEN '' ELSE {q(QUOTE)} END")}
+  WHEN e.tag = 'blockquote' THEN {_cat(_GAP, f"CASE WHEN {_FLAT} OR e.quotes >= {MAX_DEPTH} THEN '' ELSE {q(QUOTE)} END")}
   WHEN e.tag = '/blockquote' THEN {_GAP}
   WHEN e.tag = 'hr' THEN {_cat(_GAP, "'---'", _GAP)}
   WHEN e.tag = 'table' THEN {_cat(_GAP, q(GROUP))}
