@@ -109,8 +109,11 @@ class Model:
         return float(1 / (1 + np.exp(-(total / max(n, 1) + self.bias))))
 
 
-def train(texts: list[str], labels: list[int], dims: int = 16, epochs: int = 5, rate: float = 1.0, seed: int = 7) -> Model:
-    """Learn vectors and output layer by stochastic gradient descent, one document a step."""
+def train(
+    texts: list[str], labels: list[int], dims: int = 16, passes: int = 5, least_steps: int = 6000, rate: float = 1.0, seed: int = 7
+) -> Model:
+    """Learn vectors and output layer by stochastic gradient descent, one document a step, in
+    ``passes`` over the sample and ``least_steps`` steps at least."""
     if len(set(labels)) < 2:
         share = min(max(sum(labels) / len(labels), 0.01), 0.99) if labels else 0.5
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
@@ -121,8 +124,9 @@ def train(texts: list[str], labels: list[int], dims: int = 16, epochs: int = 5,
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (BUCKETS, dims)).astype(np.float32)
     out, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
-    step, steps = 0, epochs * len(docs)
-    for _ in range(epochs):
+    passes = max(passes, -(-least_steps // len(docs)))
+    step, steps = 0, passes * len(docs)
+    for _ in range(passes):
         for at in rng.permutation(len(docs)):
             ids, share = docs[at]
             mean = share @ vectors[ids]
