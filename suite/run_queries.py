@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from contentloom.functions import text as T
 from contentloom.functions.urls import url_key
-from contentloom.operators.items import run_summary
 from contentloom.plans.run import Store, run_all
 from contentloom.schemas import ITEM_FIELDS, SOURCE
 from contentloom.sources.pages import scan_pages
@@ -144,20 +143,6 @@ def manifest_run(spark, sf_dir):
     return _run(spark, sf_dir).items.select("source_id", "team_id", *ITEM_FIELDS)
 
 
-@query(
-    "manifest_summary",
-    f"""
-    WITH f AS (SELECT source_id, count(*) AS found FROM ({FOUND_SQL}) GROUP BY 1),
-    k AS (SELECT source_id, count(*) AS limited, count(*) FILTER (content <> '') AS written, count(*) FILTER (content = '') AS skipped,
-      arg_min(coalesce({FORCED}, content_type), (page_seq, item_seq)) FILTER (content <> '') AS content_type
-      FROM ({LIMITED_RUN_SQL}) GROUP BY source_id)
-    SELECT source_id, found, coalesce(limited, 0) AS limited, coalesce(written, 0) AS written, coalesce(skipped, 0) AS skipped,
-      content_type FROM f LEFT JOIN k USING (source_id)""",
-)
-def manifest_summary(spark, sf_dir):
-    return run_summary(_run(spark, sf_dir).found)
-
-
 @query(
     "run_rejects",
     f"""
