@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.llm.texts import in_batches, narrow
+from contentloom.session import stage
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -232,8 +233,49 @@ def _pass(spark: SparkSession, rows: DataFrame, index: Index, schema: str) -> Da
     return rows.mapInArrow(found, schema)
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that leak no item. Rows without an id are judged by their own text alone and
-    stay, as no leak can be told to be theirs."""
-    bad = find_leaks(spark, docs, benchmark, id_col=id_col, **options).select(F.col("id").alias("leaky_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["leaky_id"], "left_anti")
+def drop_leaks(
+    spark: SparkSession,
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = 0.8,
+    radius: int = 24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    words_at_once: int = 500_000,
+) -> DataFrame:
+    """The rows whose text leaks no item, with all their columns. Rows are judged one by one by
+    their own text, whatever their id. The first block of the benchmark filters the rows as they
+    are read; if there are more, what is left is written once with row numbers for the others."""
+    items = narrow(benchmark, item_col, "text").orderBy("id", "text")
+    blocks = (Index(block, threshold, radius) for block in _blocks(items, words_at_once))
+    first = next(blocks, None)
+    if first is None:
+        return docs
+    kept = _clean(spark, docs, first, text_col)
+    row, bad = "row", None
+    while row in docs.columns:
+        row += "_"
+    schema = f"id long, item {dict(items.dtypes)['id']}, start_word long, end_word long, similarity double"
+    for index in blocks:
+        if bad is None:
+            kept = stage(kept.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        more = _pass(spark, narrow(kept, row, text_col), index, schema).select(F.col("id").alias("leaky_row"))
+        bad = more if bad is None else bad.unionByName(more)
+    if bad is None:
+        return kept
+    return kept.join(bad.distinct(), kept[row] == F.col("leaky_row"), "left_anti").drop(row)
+
+
+def _clean(spark: SparkSession, docs: DataFrame, index: Index, text_col: str) -> DataFrame:
+    """Rows whose text leaks no item of the index."""
+    shared = spark.sparkContext.broadcast(index)
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        index = shared.value
+        for batch in batches:
+            clean = [not (text and index.leaks(text)) for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
