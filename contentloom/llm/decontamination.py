@@ -3,11 +3,12 @@
 Words are runs of letters and digits in lower case. An item of n words is compared with every
 window of n words of a document, by the shingles of five words that they hold, counted as often
 as they occur: similarity is the sum of the smaller counts over the sum of the larger ones
-(weighted Jaccard). A window leaks an item if the similarity is 0.8 or more.
+(weighted Jaccard). A window leaks an item if the similarity is 0.8 or more. A document shorter
+than the item is one window, whole, if it has the share of the item's shingles that 0.8 takes.
 
 A window of an item's size is fingerprinted if enough of its shingles are in the benchmark at
-all: less than ``2 t / (1 + t)`` of them, and no item can reach the threshold t. This loses
-nothing and leaves few windows. Fingerprints (64 bits, each shingle votes with its count) are
+all: less than ``t / (1 + t)`` of the window's and the item's shingles together, and no item can
+reach the threshold t. This loses nothing and leaves few windows. Fingerprints (64 bits, each shingle votes with its count) are
 looked up in a multi-index: eight blocks of eight bits, each looked up with all values within
 ``radius // 8`` bits, so all items within the radius are met. Those of the window's size are
 verified exactly. At a similarity of 0.8 two fingerprints differ in about ten bits, with a
@@ -134,30 +135,35 @@ class Index:
             at = at[known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes]
             indexes = [(n, ix) for n, ix in self.by_size.items() if min(n, SHINGLE) == size]
             reach = max(ix.shingles for _, ix in indexes)
-            for start, end in _stretches(at, reach, len(ids) - size + 1):
+            total = len(ids) - size + 1
+            for start, end in _stretches(at, reach, total):
                 is_known = np.zeros(end - start, bool)
                 is_known[at[np.searchsorted(at, start) : np.searchsorted(at, end)] - start] = True
-                self._search(_hash(ids, size, np.arange(start, end)), is_known, start, indexes, best)
+                whole = start == 0 and end == total
+                self._search(_hash(ids, size, np.arange(start, end)), is_known, start, indexes, best, whole)
         return [
-            (self.items[p][0], start, start + self.items[p][1], sim) for p, (sim, start) in sorted(best.items())
+            (self.items[p][0], start, min(start + self.items[p][1], len(words)), sim)
+            for p, (sim, start) in sorted(best.items())
         ]
 
-    def _search(self, hashes, is_known, offset: int, indexes, best: dict) -> None:
-        """Windows of every item size within a stretch of a text."""
+    def _search(self, hashes, is_known, offset: int, indexes, best: dict, whole: bool) -> None:
+        """Windows of every item size within a stretch of a text, or the whole text if it is shorter."""
         run = np.concatenate([[0], np.cumsum(is_known)])
         votes = None
         for _, index in indexes:
             k = index.shingles
-            if len(hashes) < k:
+            span = min(k, len(hashes))
+            if span < k and (not whole or span < self.threshold * k - 1e-9):
                 continue
-            starts = np.flatnonzero(run[k:] - run[:-k] >= 2 * self.threshold / (1 + self.threshold) * k - 1e-9)
+            least = self.threshold / (1 + self.threshold) * (span + k)
+            starts = np.flatnonzero(run[span:] - run[:-span] >= least - 1e-9)
             if not len(starts):
                 continue
             if votes is None:
                 votes = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
-            windows, items = index.candidates(simhash(votes[starts + k] - votes[starts], k))
+            windows, items = index.candidates(simhash(votes[starts + span] - votes[starts], span))
             for start, item in zip(starts[windows].tolist(), items.tolist(), strict=True):
-                sim = similarity(Counter(hashes[start : start + k].tolist()), index.counts[item])
+                sim = similarity(Counter(hashes[start : start + span].tolist()), index.counts[item])
                 place = index.places[item]
                 found = (-sim, start + offset)
                 if sim >= self.threshold and (place not in best or found < (-best[place][0], best[place][1])):
