@@ -1,8 +1,11 @@
 """Lexical retrieval packing: sequences filled with documents that share their rarer words.
 
 Documents become token ids once, in a staged table. A first pass over it counts in how many
-documents each token occurs, over all documents. The second pass packs: the rows of a task are
-its shards of the index, ``shard_docs`` documents at a time. Whole windows of a long document are
+documents each token occurs, over all documents. The second pass routes: documents are put in order
+of their two best tokens (by BM25 weight, of those that another document has as well), so documents
+of the same rarer words, wherever they stand in the files, come to lie beside each other. The order
+is cut into tasks by ranges; a token that leads many documents spans several. The third pass packs:
+the rows of a task are its shards of the index, ``shard_docs`` documents at a time. Whole windows of a long document are
 sequences of their own; what is left of each document goes into the shard's inverted index, with
 BM25 weights from the counts over all documents. The first unused document seeds a window; the
 index gives the unused neighbours of the seed, best first, and they fill the window. A neighbour
@@ -10,10 +13,10 @@ that is longer than the room is cut, and the rest of it seeds the next window. A
 shard leaves unfilled is the start of the next shard's first one. The last one of a task is cut
 into sequences whose sizes are powers of two, so no sequence is padded.
 
-Tokens in more than ``common`` of all documents weigh next to nothing and are not indexed.
+All tokens are indexed. A neighbour is looked for in the seed's shard only, so related documents
+whose best tokens differ may still not meet.
 
-Every task works on its own rows, without a shuffle; a task that is run again reads the same
-staged rows and gives the same sequences. What is sent to tasks is one number for each token of
+A task that is run again gets the same rows in the same order and gives the same sequences. What is sent to tasks is one number for each token of
 the vocabulary.
 
 Defined cases: a null or empty text has no ids but the end token. Repeated rows are packed one by
@@ -58,6 +61,18 @@ def document_counts(spark: SparkSession, tokens: DataFrame, vocabulary: int) ->
     return counts[:vocabulary], int(counts[vocabulary]), int(counts[vocabulary + 1])
 
 
+def best_tokens(ids: np.ndarray, idf: np.ndarray, found: np.ndarray, mean_length: float) -> tuple[int, int]:
+    """The two tokens of the largest BM25 weight that another document has as well; -1 for none."""
+    own = np.sort(ids, kind="stable")
+    firsts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    n, terms = np.diff(np.append(firsts, len(own))), own[firsts].astype(np.int64)
+    shared = found[terms] > 1
+    n, terms = n[shared], terms[shared]
+    weight = idf[terms] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean_length))
+    best = [*terms[np.argsort(-weight, kind="stable")[:2]].tolist(), -1, -1]
+    return best[0], best[1]
+
+
 class Shard:
     """BM25 inverted index over some documents, most of its work done in arrays."""
 
@@ -168,7 +183,6 @@ def pack(
     window: int = 4096,
     end: int = 2,
     shard_docs: int = 512,
-    common: float = 0.25,
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
@@ -182,13 +196,28 @@ def pack(
     tokens = stage(token_ids(docs, path, end, id_col, text_col), "token-ids")
     found, n_docs, n_tokens = document_counts(spark, tokens, vocabulary)
     idf = np.log(1 + (n_docs - found + 0.5) / (found + 0.5))
-    idf[found > common * n_docs] = 0
-    shared = spark.sparkContext.broadcast((idf, max(n_tokens / max(n_docs, 1), 1.0)))
+    shared = spark.sparkContext.broadcast((idf, found, max(n_tokens / max(n_docs, 1), 1.0)))
+    kind = dict(tokens.dtypes)["id"]
+
+    def routed(batches):
+        for batch in batches:
+            best = [best_tokens(np.frombuffer(ids, dtype), *shared.value) for ids in batch.column(1).to_pylist()]
+            routes = [pa.array([b[k] for b in best], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *routes], names=["id", "ids", "first", "second"])
+
+    # The hash parts the documents of one pair of tokens, so a range may end within them.
+    order = ["first", "second", F.xxhash64("ids"), "id"]
+    in_order = (
+        tokens.select("id", "ids")
+        .mapInArrow(routed, f"id {kind}, ids binary, first int, second int")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+    )
 
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def packed(batches):
-        idf, mean_length = shared.value
+        idf, _, mean_length = shared.value
         packer, base, made = Packer(window), TaskContext.get().partitionId() << 32, 0
         kept: dict[int, tuple] = {}  # documents with pieces that are not given out yet
         shard, first = [], 0
@@ -233,6 +262,5 @@ def pack(
             packer.close()
             yield out(made)[1]
 
-    kind = dict(tokens.dtypes)["id"]
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return tokens.select("id", "ids").mapInArrow(packed, schema + (", ids array<int>" if with_ids else ""))
+    return in_order.select("id", "ids").mapInArrow(packed, schema + (", ids array<int>" if with_ids else ""))
