@@ -7,7 +7,9 @@ tag, adjusted by how many characters and tags of it are links; the density sum o
 the sum of its children's densities. The element with the largest sum is the core of the article.
 The smallest density on the path from there to the body is the threshold: elements at least as
 dense give up the element of the largest sum within them, too, so articles in several parts are
-whole. Where the core lies in an ``article`` element, that element is the article.
+whole. Where parts lie in ``article`` elements, these are taken whole, with the articles beside them;
+where the core lies in a ``main`` element, its headings of the first level belong to the article.
+A class or id that sets an element aside does not, if that holds most of the page's text.
 
 Text is what stands in these elements: character references decoded, white space within a block
 one space, blocks trimmed, those without text left out, joined in page order by a line end.
@@ -35,6 +37,8 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+#: A class name with one of these says how a page is laid out, not what the element is.
+LAYOUT_WORDS = frozenset("with has no without layout page site main content wrapper container grid row col column".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -76,6 +80,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.ends, self.aside = ["#root"], [-1], [0], [False]
+        #: Set aside by class or id alone.
+        self.named = [False]
         #: Element, text, and in which block it stands.
         self.pieces: list[tuple[int, str, int]] = []
         self._read(source)
@@ -138,7 +144,9 @@ class Page:
             tags.append(name)
             self.parents.append(stack[-1])
             self.ends.append(node + 1)
-            self.aside.append(_is_aside(name, attributes))
+            aside = _is_aside(name, attributes)
+            self.aside.append(aside or _is_named_aside(name, attributes))
+            self.named.append(self.aside[-1] and not aside)
             if name in ("br", "td", "th", "img", "wbr"):
                 self.pieces.append((stack[-1], " " if name != "wbr" else "", block))
             if name in VOID:
@@ -159,8 +167,9 @@ class Page:
         close_to(0)
 
     def set_aside(self) -> list[bool]:
-        """Elements that no article text is taken from. One that holds an article, or a form that
-        holds most of the page's text, is no such element itself."""
+        """Elements that no article text is taken from. One that holds an article, or a form or an
+        element named so by class or id that holds most of the page's text, is no such element itself.
+        Beside an article, such a named element is set aside all the same."""
         n = len(self.tags)
         holds = [False] * n
         size = [0] * n
@@ -177,7 +186,8 @@ class Page:
             parent, tag = self.parents[node], self.tags[node]
             in_article[node] = in_article[parent] or tag in ("article", "main")
             own = self.aside[node] or (tag == "header" and not in_article[node])
-            if own and (holds[node] or (tag == "form" and 2 * size[node] > size[0])):
+            spared = tag == "form" or (self.named[node] and (in_article[node] or not holds[0]))
+            if own and (holds[node] or (spared and 2 * size[node] > size[0])):
                 own = False
             out[node] = out[parent] or own
         return out
@@ -244,28 +254,35 @@ class Page:
             if not out[node] and sums[best[node]] > sums[best[parent]]:
                 best[parent] = best[node]
         core = best[body]
-        threshold, node = density[core], core
+        #: The outermost article around each element.
+        article = [0] * n
+        for node in range(1, n):
+            article[node] = article[self.parents[node]] or (node if self.tags[node] == "article" else 0)
+        top, node = body, core
         while node > 0:
-            if self.tags[node] in ("article", "main") and not out[node]:
-                return [self._outermost_article(node)]
+            if self.tags[node] == "main":
+                top = node
+                break
+            node = self.parents[node]
+        if self.tags[top] == "main" and not article[core]:
+            return [top]
+        threshold, node = density[core], core
+        while node > top:
             node = self.parents[node]
-            threshold = min(threshold, density[node]) if node >= body else threshold
-        chosen, todo = [], [body]
+            threshold = min(threshold, density[node]) if node >= top else threshold
+        chosen, todo = [], [top]
         while todo:
             node = todo.pop()
             if not out[node] and density[node] >= threshold:
                 chosen.append(best[node])
                 todo += self._children(node)
-        return chosen
-
-    def _outermost_article(self, node: int) -> int:
-        """The article around an element, also where sections of it are articles themselves."""
-        found, parent = node, self.parents[node]
-        while parent > 0:
-            if self.tags[parent] == "article":
-                found = parent
-            parent = self.parents[parent]
-        return found
+        chosen = {article[node] or node for node in chosen}
+        parents = {self.parents[node] for node in chosen if self.tags[node] == "article"}
+        for node in range(top, self.ends[top]):
+            beside = self.tags[node] == "article" and self.parents[node] in parents
+            if not out[node] and (beside or (self.tags[top] == "main" and self.tags[node] == "h1")):
+                chosen.add(node)
+        return sorted(chosen)
 
     def _children(self, node: int) -> list[int]:
         children, at = [], node + 1
@@ -282,10 +299,7 @@ def _is_aside(tag: str, attributes: str) -> bool:
         return False
     for match in _ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
-        if name in ("class", "id"):
-            if not OUTSIDE_WORDS.isdisjoint(_WORD.findall(value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value in OUTSIDE_ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -295,6 +309,19 @@ def _is_aside(tag: str, attributes: str) -> bool:
     return False
 
 
+def _is_named_aside(tag: str, attributes: str) -> bool:
+    """Whether a class or id, taken as a whole name, is one of an element beside the article."""
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    for match in _ATTRIBUTE.finditer(attributes):
+        if match[1].lower() in ("class", "id"):
+            for whole in (match[2] or match[3] or match[4] or "").lower().split():
+                words = _WORD.findall(whole)
+                if not OUTSIDE_WORDS.isdisjoint(words) and LAYOUT_WORDS.isdisjoint(words):
+                    return True
+    return False
+
+
 def main_text(source: str | None) -> str:
     return Page(source).main_text() if source else ""
 
