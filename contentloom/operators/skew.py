@@ -2,73 +2,109 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOT_SHARE = 256
-SALTS = 64
+from contentloom.session import stage
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that own more than one ``share``-th of all rows.
+def _parts(rows: DataFrame) -> int:
+    """Pieces that rows are dealt in: two to a shuffle partition, so that a piece is never most of one."""
+    return 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    There are fewer than ``share`` such keys whatever the size of the data, so the result
+
+def hot_keys(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Keys that own more than one of ``parts`` equal pieces of all rows, with ``salts``, the pieces
+    that their rows make.
+
+    There are fewer than ``parts`` such keys whatever the size of the data, so the result
     may be broadcast.
     """
+    parts = parts or _parts(rows)
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return counts.where(F.col("n") * share > total.scalar()).select(F.col(key).alias("hot_key"))
+    piece = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar() / parts
+    hot = counts.where(F.col("n") > piece)
+    return hot.select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / piece).cast("int").alias("salts"))
 
 
 def skew_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", spread: Column | None = None
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", spread: Column | None = None, parts: int | None = None
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` that has each key once.
 
-    Rows of a hot key are spread over salts and only its lookup row is repeated. ``how`` is
-    ``inner`` or ``left``. ``rows`` is read twice, so it should be cheap to read or staged.
+    Rows of a hot key are spread over salts, as many as its share of all rows asks for, and only its
+    lookup row is repeated. ``how`` is ``inner`` or ``left``. ``rows`` is read twice, so it should be
+    cheap to read or staged.
     """
-    hot = F.broadcast(hot_keys(rows, key))
+    hot = F.broadcast(hot_keys(rows, key, parts))
     spread = F.xxhash64(*rows.columns) if spread is None else spread
     salted = (
         rows.join(hot, F.col(key) == F.col("hot_key"), "left")
-        .withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(spread, F.lit(SALTS))).cast("int"))
-        .drop("hot_key")
+        .withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(spread, F.col("salts"))).cast("int"))
+        .drop("hot_key", "salts")
     )
     spread_lookup = (
         lookup.join(hot, F.col(key) == F.col("hot_key"), "left")
         .withColumn(
             "salt",
             F.explode(
-                F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
             ),
         )
-        .drop("hot_key")
+        .drop("hot_key", "salts")
     )
     return salted.join(spread_lookup, [key, "salt"], how).drop("salt")
 
 
-def group_rank(rows: DataFrame, group: list[str], order: list[str], width: int = 4096) -> DataFrame:
-    """Add ``rank`` (from 1) and ``size`` of each row's group, in the order given.
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a stage table with the number of each, which every later read sees the same."""
+    return stage(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
 
-    A group is cut into stretches of its first order column, which is a whole number. Only
-    stretches are sorted as one; the stretch sizes are summed up apart. ``rows`` is read
-    twice, the first time for the group and the first order column only.
+def unused_name(rows: DataFrame, name: str = "row") -> str:
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
+def in_order(rows: DataFrame, *order: str | Column, at: str = "at") -> DataFrame:
+    """Rows as a stage table in order, each with its place ``at``: places rise with the order, and
+    follow each other within a stretch (``at >> 33``), a range of the order that one task sorted.
+
+    Rows that are equal in all of ``order`` share a range, so the order should end in a number of
+    the row where many may be.
     """
-    # Rows without a place come first, as they do in the sort.
-    stretch = F.coalesce(F.expr(f"{order[0]} div {width}"), F.lit(-(2**63)))
-    # A struct is never NULL itself, so a NULL group meets its sizes by plain equality, and the
-    # join goes by the partitioning that the window has made.
-    keyed = rows.withColumn("group_key", F.struct(*group)).withColumn("stretch", stretch)
-    sizes = keyed.groupBy("group_key", "stretch").agg(F.count("*").alias("n"))
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(sorted_rows.withColumn(at, F.monotonically_increasing_id()), "in-order")
+
+
+def place_ranks(placed: DataFrame, group: str, at: str = "at") -> DataFrame:
+    """Add ``rank`` (from 1) and ``size`` of the row's group to rows of ``in_order``, whose order has
+    the group first. A range has consecutive rows of a group, so its first place and the number of
+    rows in the ranges before give the rank; only these counts are put in order."""
+    stretch = F.shiftright(at, 33).alias("stretch")
+    sizes = placed.groupBy(F.struct(group).alias("group_key"), stretch).agg(F.count("*").alias("n"), F.min(at).alias("first"))
     before = Window.partitionBy("group_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "group_key",
         "stretch",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"),
         F.sum("n").over(Window.partitionBy("group_key")).alias("size"),
     )
-    local = F.row_number().over(Window.partitionBy("group_key", "stretch").orderBy(*order))
-    ranked = keyed.withColumn("local", local).join(offsets, ["group_key", "stretch"])
-    return ranked.select(
-        *rows.columns,
-        (F.col("local") + F.col("rows_before")).cast("long").alias("rank"),
-        F.col("size").cast("long").alias("size"),
-    )
+    # A struct is never NULL itself, so a NULL group meets its counts by plain equality.
+    keyed = placed.withColumn("group_key", F.struct(group)).withColumn("stretch", stretch)
+    met = keyed.join(offsets, ["group_key", "stretch"])
+    return met.select(*placed.columns, (F.col(at) + F.col("shift")).alias("rank"), F.col("size").cast("long").alias("size"))
+
+
+def group_rank(rows: DataFrame, group: list[str], order: list[str], row: str | None = None) -> DataFrame:
+    """Add ``rank`` (from 1) and ``size`` of each row's group, in the order given.
+
+    Group, order columns and a number of the row are put in ranges of all of them, so a group of any
+    size is cut wherever it takes, even where all its places are equal; ranks are then counted by
+    range and joined back by the row's number. ``row`` names the column that numbers the rows of a
+    table; without it they are numbered, and so written, first.
+    """
+    name = row or unused_name(rows)
+    table = rows if row else numbered(rows, name)
+    narrow = table.select(F.struct(*group).alias("g"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col(name).alias("r"))
+    places = in_order(narrow, "g", *(f"o{k}" for k in range(len(order))), "r").select("g", "r", "at")
+    ranks = place_ranks(places, "g").select(F.col("r").alias(name), "rank", "size")
+    return table.join(ranks, name).select(*rows.columns, "rank", "size")

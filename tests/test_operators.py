@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from contentloom.operators.items import finish_items, limit_items, run_summary, within_limit
-from contentloom.operators.skew import SALTS, group_rank, hot_keys, skew_join
+from contentloom.operators.skew import group_rank, hot_keys, in_order, skew_join
 from contentloom.sources.pages import one_per_key
 from suite.base import expr
 
@@ -56,11 +56,11 @@ def test_within_limit_without_setting(spark):
 
 
 def test_group_rank_of_a_hot_group(spark):
-    # Two thirds of all rows are in one group, which spans many stretches.
+    # Two thirds of all rows are in one group, which spans many ranges.
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("a"), (-F.col("id")).alias("b")
     )
-    got = group_rank(df, ["g"], ["a", "b"], width=64).collect()
+    got = group_rank(df, ["g"], ["a", "b"]).collect()
     groups = {}
     for r in sorted(got, key=lambda r: r.a):
         groups.setdefault(r.g, []).append(r)
@@ -70,13 +70,32 @@ def test_group_rank_of_a_hot_group(spark):
         assert {r["size"] for r in rows} == {len(rows)}
 
 
-def test_group_rank_of_one_stretch_and_null_group(spark):
+def test_group_rank_of_one_place_and_null_group(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (7, 1)], "g int, a int")
     got = {(r.g, r.a): (r["rank"], r["size"]) for r in group_rank(df, ["g"], ["a"]).collect()}
     assert got == {(None, 1): (1, 2), (None, 2): (2, 2), (7, 1): (1, 1)}
     big = spark.createDataFrame([(1, None), (1, 2**62), (1, 2**62 + 1), (1, -5)], "g int, a long")
-    got = {r.a: r["rank"] for r in group_rank(big, ["g"], ["a"], width=1).collect()}
+    got = {r.a: r["rank"] for r in group_rank(big, ["g"], ["a"]).collect()}
     assert got == {None: 1, -5: 2, 2**62: 3, 2**62 + 1: 4}
+    assert group_rank(df.limit(0), ["g"], ["a"]).count() == 0
+
+
+def test_a_group_of_one_place_is_spread_over_tasks(spark):
+    # A third of all rows belongs to one source, all on page 0 and of the same item number.
+    rows = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("g"), F.lit(0).alias("a"), F.lit(0).alias("row"), "id"
+    )
+    # Spark would put so few rows into one range.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = in_order(rows, "g", "a", "id").where("g = -1")
+        ranked = group_rank(rows, ["g"], ["a"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_range = [r["count"] for r in placed.groupBy(F.shiftright("at", 33)).count().collect()]
+    assert sum(by_range) == 3000 and len(by_range) >= 3 and max(by_range) < 1800
+    assert ranked.columns == ["g", "a", "row", "id", "rank", "size"]
+    assert sorted(r["rank"] for r in ranked.where("g = -1").collect()) == list(range(1, 3001))
 
 
 def test_skew_join_equals_a_plain_join(spark):
@@ -88,23 +107,28 @@ def test_skew_join_equals_a_plain_join(spark):
     )
     assert [r.hot_key for r in hot_keys(rows, "k").collect()] == ["hot"]
     for how in ("inner", "left"):
-        want = sorted(map(tuple, rows.join(lookup, "k", how).select("id", "k", "v").collect()), key=str)
-        got = sorted(map(tuple, skew_join(rows, lookup, "k", how).select("id", "k", "v").collect()), key=str)
-        assert got == want
+        for parts in (None, 1000):
+            want = sorted(map(tuple, rows.join(lookup, "k", how).select("id", "k", "v").collect()), key=str)
+            got = sorted(map(tuple, skew_join(rows, lookup, "k", how, parts=parts).select("id", "k", "v").collect()), key=str)
+            assert got == want
 
 
-def test_hot_rows_are_spread(spark):
-    rows = spark.range(2000).select("id", F.lit("hot").alias("k"))
-    joined = skew_join(rows, spark.createDataFrame([("hot", 1)], "k string, v int"), "k")
-    assert joined.count() == 2000
-    # Each salt takes its share of the one key.
-    salts = rows.select(F.pmod(F.xxhash64("id", "k"), F.lit(SALTS)).alias("s")).groupBy("s").count()
-    assert salts.count() == SALTS and salts.agg(F.max("count")).first()[0] < 2000 / SALTS * 3
+def test_salts_follow_a_key_s_share(spark):
+    # One key owns a third of all rows, ten own a three-hundredth, the others one row each.
+    share = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 30 < 2, -2 - F.col("id") % 300 % 10).otherwise(F.col("id"))
+    rows = spark.range(30_000).select(share.alias("k"))
+    counts = {r.k: r["count"] for r in rows.groupBy("k").count().collect()}
+    found = {r.hot_key: r.salts for r in hot_keys(rows, "k", parts=400).collect()}
+    assert found == {k: -(-n * 400 // 30_000) for k, n in counts.items() if n * 400 > 30_000}
+    assert found[-1] == 134 and all(n >= 2 for n in found.values()) and len(found) > 1
+    # No piece of a key is larger than a part, but for chance.
+    salted = rows.where("k = -1").select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(134)).alias("s"))
+    assert salted.groupBy("s").count().agg(F.max("count")).first()[0] < 3 * 30_000 / 400
 
 
 def test_hot_key_count_is_bounded(spark):
     rows = spark.range(10_000).select((F.col("id") % 10).alias("k"))
-    assert hot_keys(rows, "k", share=256).count() == 10
+    assert hot_keys(rows, "k", parts=256).count() == 10
     assert hot_keys(spark.range(10_000).select(F.col("id").alias("k")), "k").count() == 0
     assert hot_keys(rows.limit(0), "k").count() == 0
 
