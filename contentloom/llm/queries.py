@@ -11,6 +11,7 @@ from contentloom.llm import (
     html_text,
     length_histogram,
     line_rules,
+    link_trust,
     packing,
     secret_ledger,
     sharding,
@@ -29,6 +30,37 @@ ORACLES = {
                CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
         FROM f""",
+    "op12_link_trust": r"""
+        WITH RECURSIVE p AS (
+          SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        j AS (SELECT *, CASE
+            WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+            CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow'
+              WHEN 'org/fr/' THEN 'allow' END AS ruled FROM p),
+        s AS (SELECT host, CASE WHEN 2 * count(*) FILTER (ruled = 'allow') > count(*) THEN 'allow'
+            WHEN 2 * count(*) FILTER (ruled = 'block') > count(*) THEN 'block' END AS walk
+          FROM j WHERE host <> '' GROUP BY host),
+        l AS (SELECT host AS source, target, count(*) AS n FROM (
+            SELECT host, unnest(list_distinct(list_transform(regexp_extract_all(html,
+              '(?i)<a\s[^>]*?\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''>\s]+)', 1),
+              lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS target FROM p)
+          WHERE host <> '' AND host <> target GROUP BY ALL),
+        e AS (SELECT 'allow' AS walk, source AS host, target AS goal, n / sum(n) OVER (PARTITION BY source) AS share FROM l
+          UNION ALL SELECT 'block', target, source, n / sum(n) OVER (PARTITION BY target) FROM l),
+        m AS (SELECT 0 AS step, walk, host,
+            CAST(floor(150000000000000 / count(*) OVER (PARTITION BY walk)) AS BIGINT) AS mass FROM s WHERE walk IS NOT NULL
+          UNION ALL SELECT step + 1, walk, goal, CAST(sum(CAST(floor(mass * 0.85::DOUBLE * share) AS BIGINT)) AS BIGINT)
+          FROM m JOIN e USING (walk, host) WHERE step < 29 AND mass > 0 GROUP BY step, walk, goal),
+        t AS (SELECT host, coalesce(sum(mass) FILTER (walk = 'allow'), 0) AS trust,
+            coalesce(sum(mass) FILTER (walk = 'block'), 0) AS distrust FROM m GROUP BY host)
+        SELECT page_id, j.host, path, rule,
+          coalesce(ruled, CASE WHEN distrust > (trust + distrust) * 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM j LEFT JOIN t ON j.host = t.host""",
 }
 
 
@@ -134,3 +166,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+# The rules of the contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op12_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
