@@ -1,5 +1,7 @@
 """Joins and ranks that hold when one key owns a large part of all rows."""
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from contentloom.session import stage
@@ -33,24 +35,22 @@ def skew_join(
     lookup row is repeated. ``how`` is ``inner`` or ``left``. ``rows`` is read twice, so it should be
     cheap to read or staged.
     """
-    hot = F.broadcast(hot_keys(rows, key, parts))
+    taken = {*rows.columns, *lookup.columns}
+    hot_key, salts, salt = (unused_name(taken, n) for n in ("hot_key", "salts", "salt"))
+    hot = F.broadcast(hot_keys(rows, key, parts).toDF(hot_key, salts))
     spread = F.xxhash64(*rows.columns) if spread is None else spread
+    plain = F.col(hot_key).isNull()
     salted = (
-        rows.join(hot, F.col(key) == F.col("hot_key"), "left")
-        .withColumn("salt", F.when(F.col("hot_key").isNull(), 0).otherwise(F.pmod(spread, F.col("salts"))).cast("int"))
-        .drop("hot_key", "salts")
+        rows.join(hot, F.col(key) == F.col(hot_key), "left")
+        .withColumn(salt, F.when(plain, 0).otherwise(F.pmod(spread, F.col(salts))).cast("int"))
+        .drop(hot_key, salts)
     )
     spread_lookup = (
-        lookup.join(hot, F.col(key) == F.col("hot_key"), "left")
-        .withColumn(
-            "salt",
-            F.explode(
-                F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-            ),
-        )
-        .drop("hot_key", "salts")
+        lookup.join(hot, F.col(key) == F.col(hot_key), "left")
+        .withColumn(salt, F.explode(F.when(plain, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(salts) - 1))))
+        .drop(hot_key, salts)
     )
-    return salted.join(spread_lookup, [key, "salt"], how).drop("salt")
+    return salted.join(spread_lookup, [key, salt], how).drop(salt)
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -58,8 +58,8 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return stage(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def unused_name(rows: DataFrame, name: str = "row") -> str:
-    while name in rows.columns:
+def unused_name(taken: Collection[str], name: str = "row") -> str:
+    while name in taken:
         name += "_"
     return name
 
@@ -102,7 +102,7 @@ def group_rank(rows: DataFrame, group: list[str], order: list[str], row: str | N
     range and joined back by the row's number. ``row`` names the column that numbers the rows of a
     table; without it they are numbered, and so written, first.
     """
-    name = row or unused_name(rows)
+    name = row or unused_name(rows.columns)
     table = rows if row else numbered(rows, name)
     narrow = table.select(F.struct(*group).alias("g"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.col(name).alias("r"))
     places = in_order(narrow, "g", *(f"o{k}" for k in range(len(order))), "r").select("g", "r", "at")
