@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contentloom.llm import (
     classifier,
+    conversation_repair,
     decontamination,
     html_text,
     length_histogram,
     line_rules,
     link_trust,
     packing,
+    prefix_trie,
     secret_ledger,
     sharding,
     simhash,
@@ -168,6 +170,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 # The rules of the contract.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -176,3 +183,8 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 def op12_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit_conversations(table(spark, sf_dir, "conversations"))

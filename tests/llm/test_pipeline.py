@@ -119,7 +119,7 @@ def test_packing(steps):
 def test_registered():
     names = set(entry_point.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_op1_equals_its_sql(spark):
