@@ -12,9 +12,9 @@ def within_limit(rank: Column, size: Column, max_items: Column) -> Column:
     return (n == 0) | ((n > 0) & (rank <= n)) | ((n < 0) & (rank <= size + n))
 
 
-def apply_limit(items: DataFrame) -> DataFrame:
-    """Rank the items of each source and keep what its limit allows."""
-    ranked = group_rank(items, ["source_id"], ["page_seq", "item_seq"])
+def apply_limit(items: DataFrame, row: str | None = None) -> DataFrame:
+    """Rank the items of each source and keep what its limit allows. ``row`` numbers the rows of a table."""
+    ranked = group_rank(items, ["source_id"], ["page_seq", "item_seq"], row)
     return ranked.where(within_limit(F.col("rank"), F.col("size"), F.col("max_items"))).select(*items.columns)
 
 

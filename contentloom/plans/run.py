@@ -1,6 +1,6 @@
 """One run over a manifest of sources."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,10 +14,10 @@ from contentloom.schemas import ITEM_FIELDS, POSITION_FIELDS, check_items, with_
 from contentloom.session import stage
 from contentloom.sources.drive import drive_items, exploded_links, first_names, listing_arrays
 from contentloom.sources.files import book_items, generic_items, transcript_items
-from contentloom.sources.pages import one_per_key, page_nodes
+from contentloom.sources.pages import met_pages, page_nodes
 from contentloom.sources.reddit import met_threads, thread_items
 from contentloom.functions.urls import url_key
-from contentloom.operators.skew import skew_join
+from contentloom.operators.skew import numbered, skew_join
 
 
 @dataclass
@@ -35,13 +35,10 @@ class Store:
     files: DataFrame | None = None
     book_pages: DataFrame | None = None
     drive_pages: DataFrame | None = None
-    _crawl: Crawl | None = field(default=None, repr=False)
 
     @property
     def crawl(self) -> Crawl:
-        if self._crawl is None:
-            self._crawl = Crawl.parse(self.pages)
-        return self._crawl
+        return Crawl(self.pages)
 
 
 #: Items and rejects of some sources.
@@ -85,8 +82,8 @@ def _drive_parts(sources: DataFrame, store: Store) -> Parts:
     own = sources.select("source_id", "run", F.expr(url_key("source")).alias("url_key"))
     # A source may name the folder in its fragment only, so its key decides and not its address.
     # Keys are narrow; of the crawl, only the listings themselves go through the join.
-    wanted = store.pages.join(own.select("url_key").distinct(), "url_key", "left_semi")
-    listings = page_nodes(one_per_key(wanted), "url_key")
+    wanted = met_pages(store.pages, stage(own.select("url_key").distinct(), "wanted-keys"))
+    listings = page_nodes(wanted, "url_key")
     # Links are found and made unique once per listing, then handed to its sources.
     read = stage(listings.select("url_key", F.expr(listing_arrays()).alias("links")), "listings")
     links = stage(first_names(exploded_links(read), ["url_key"]), "drive-links")
@@ -113,8 +110,8 @@ def _builders(store: Store, unescape: bool):
         "website": ((store.pages,), lambda s: website_parts(s, store.crawl)),
         "pdf": ((store.book_pages,), lambda s: _file_parts(s, store.book_pages, book_items, "file")),
         "reddit": ((store.threads,), lambda s: _reddit_parts(s, store.threads, unescape)),
-        "substack": ((store.pages,), lambda s: substack_parts(s, store.crawl.facts)),
-        "linkedin": ((store.pages,), lambda s: linkedin_parts(s, store.crawl.facts)),
+        "substack": ((store.pages,), lambda s: substack_parts(s, store.crawl)),
+        "linkedin": ((store.pages,), lambda s: linkedin_parts(s, store.crawl)),
         # The scan leaves out the files that the other of the two routes takes.
         "transcript": ((store.files,), lambda s: _file_parts(s, store.files.where(is_text), transcript_items, "path")),
         "generic": ((store.files,), lambda s: _generic_parts(s, store.files.where(~is_text))),
@@ -151,10 +148,10 @@ def _limited() -> Column:
     return F.coalesce(F.col("max_items"), F.lit(0)) != 0
 
 
-def _present(routed: DataFrame) -> dict[bool, set[str]]:
-    """Routes that have sources, by whether those have a limit. At most two rows per route."""
-    rows = routed.groupBy("route", _limited().alias("limited")).count().collect()
-    return {flag: {r["route"] for r in rows if r["limited"] == flag} for flag in (False, True)}
+def _present(routed: DataFrame) -> tuple[set[str], bool]:
+    """Routes that have sources, and whether a source has a limit. At most one row per route is collected."""
+    rows = routed.groupBy("route").agg(F.bool_or(_limited()).alias("limited")).collect()
+    return {r["route"] for r in rows}, any(r["limited"] for r in rows)
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -185,20 +182,17 @@ def run_all(sources: DataFrame, store: Store, routes: Routes | None = None, unes
     """
     spark, routes = sources.sparkSession, routes or Routes()
     routed = routes.apply(with_run(sources))
-    found, finished, lost = [], [], []
-    for limited, names in _present(routed).items():
-        own = routed.where(_limited() if limited else ~_limited())
-        items, missed = route_parts(own, names, store, routes, unescape)
-        lost += missed
-        if items and limited:  # their limit reads them twice
-            items = [stage(_union(items, spark, FOUND), "limited-items")]
-            finished.append(apply_limit(items[0]))
-        else:
-            finished += items
-        found += items
-    done = resolve_types(_union(finished, spark, FOUND)).where(has_content(F.col("content")))
+    names, limited = _present(routed)
+    parts, lost = route_parts(routed, names, store, routes, unescape)
+    found = _union(parts, spark, FOUND)
+    finished = found
+    if limited:  # their limit reads them twice; the others are never ranked
+        free, ranked = found.where(~_limited()), numbered(found.where(_limited()), "row")
+        finished = free.unionByName(apply_limit(ranked, "row").drop("row"))
+        found = free.unionByName(ranked.drop("row"))
+    done = resolve_types(finished).where(has_content(F.col("content")))
     return Run(
-        done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS), _union(lost, spark, REJECT), _union(found, spark, FOUND)
+        done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS), _union(lost, spark, REJECT), found
     )
 
 

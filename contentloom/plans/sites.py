@@ -4,10 +4,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from contentloom.functions.urls import url_key
 from contentloom.operators.crawl import fetch, rejects
+from contentloom.plans.website import Crawl, own_keys
 from contentloom.schemas import item_columns
 
 
-def _own_pages(sources: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+def _own_pages(sources: DataFrame, crawl: Crawl, *columns: str) -> DataFrame:
+    facts = crawl.read(own_keys(sources), *columns)
     own = sources.select("source_id", "run", F.col("source").alias("url"), F.expr(url_key("source")).alias("url_key"))
     return fetch(own, facts, *columns)
 
@@ -33,21 +35,21 @@ def _one_item(pages: DataFrame, content: str, content_type: str, missing: str) -
     return items, lost
 
 
-def substack_parts(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pages = _own_pages(sources, facts, "document_title", "title_readable", "main")
+def substack_parts(sources: DataFrame, crawl: Crawl) -> tuple[DataFrame, DataFrame]:
+    pages = _own_pages(sources, crawl, "document_title", "title_readable", "main")
     return _one_item(pages, "main", "blog", "no main text")
 
 
-def substack_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
+def substack_items(sources: DataFrame, crawl: Crawl) -> DataFrame:
     """Main text of the page under its document title."""
-    return substack_parts(sources, facts)[0]
+    return substack_parts(sources, crawl)[0]
 
 
-def linkedin_parts(sources: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pages = _own_pages(sources, facts, "document_title", "title_readable", "post")
+def linkedin_parts(sources: DataFrame, crawl: Crawl) -> tuple[DataFrame, DataFrame]:
+    pages = _own_pages(sources, crawl, "document_title", "title_readable", "post")
     return _one_item(pages, "post", "linkedin_post", "no post")
 
 
-def linkedin_items(sources: DataFrame, facts: DataFrame) -> DataFrame:
+def linkedin_items(sources: DataFrame, crawl: Crawl) -> DataFrame:
     """The post of the page under its document title."""
-    return linkedin_parts(sources, facts)[0]
+    return linkedin_parts(sources, crawl)[0]

@@ -4,30 +4,50 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from contentloom.functions.urls import is_article_url, url_key
 from contentloom.operators.crawl import discover, explode_links, fetch, rejects
 from contentloom.schemas import item_columns
 from contentloom.session import stage
-from contentloom.sources.pages import one_per_key, page_facts
+from contentloom.sources.pages import met_pages, page_facts
 
 
 @dataclass
 class Crawl:
-    """The parsed crawl, staged once and shared by all page-based routes."""
+    """The crawled pages. A page is parsed when a source or a link meets it, and rendered in the form
+    that is asked of it there; a page that no run meets is neither parsed nor moved."""
 
-    facts: DataFrame
+    pages: DataFrame
 
-    @classmethod
-    def parse(cls, pages: DataFrame) -> "Crawl":
-        return cls(one_per_key(stage(page_facts(pages), "page-facts")))
+    def read(self, keys: DataFrame, *names: str, only: dict[str, str] | None = None) -> DataFrame:
+        """Facts of the pages of ``keys`` (``url_key``, and flags that ``only`` may ask for), as a table."""
+        flags = tuple(c for c in keys.columns if c != "url_key")
+        once = keys.groupBy("url_key").agg(*(F.bool_or(c).alias(c) for c in flags)) if flags else keys.distinct()
+        wanted = stage(once, "wanted-keys")
+        facts = page_facts(met_pages(self.pages, wanted), *names, keep=flags, only=only)
+        return stage(facts.drop(*flags), "page-facts")
+
+
+def own_keys(sources: DataFrame) -> DataFrame:
+    return sources.select(F.expr(url_key("source")).alias("url_key"))
+
+
+#: What the website route asks of a page that a source leads to.
+PAGE_FACTS = ("n_containers", "hub_links", "rendered_links", "page_title", "main")
 
 
 def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tuple[DataFrame, DataFrame]:
     """Items and rejects. ``dedup`` keeps an article once where nested posts name it twice."""
-    facts = crawl.facts
-    keys = ["source_id", "run", "page_seq", "url", "url_key"]
-    links = stage(discover(sources.select("source_id", "source", "run"), facts).select(*keys), "links")
-    wanted = ("n_containers", "hub_links", "rendered_links", "page_title", "main")
-    pages = fetch(links, facts, *wanted)
+    own = sources.select("source_id", "source", "run")
+    # A page without article links is its own only link, so it is read to the end at once.
+    no_links = "coalesce(size(links), 0) = 0"
+    lists = crawl.read(
+        own_keys(own.where(~F.expr(is_article_url("source")))), "links", *PAGE_FACTS, only={"main": f"{no_links} AND n_containers = 0"}
+    )
+    links = stage(discover(own, lists).select("source_id", "run", "page_seq", "url", "url_key"), "links")
+    answered = lists.where(no_links).drop("links")
+    further = links.select("url_key").join(answered.select("url_key"), "url_key", "left_anti")
+    facts = answered.unionByName(crawl.read(further, *PAGE_FACTS, only={"main": "n_containers = 0"}))
+    pages = fetch(links, facts, *PAGE_FACTS)
     has_links, has_posts = F.size("hub_links") > 0, F.col("n_containers") > 0
     read = pages.where("fetched")
 
@@ -38,8 +58,14 @@ def website_parts(sources: DataFrame, crawl: Crawl, dedup: bool = False) -> tupl
         if dedup else hop.alias("next"),
     )
     onward = stage(explode_links(onward, "next"), "onward-links")
-    articles = fetch(onward, facts, "article_title", "article", "h1", "main")
     hub = F.col("from_hub")
+    asked = onward.select("url_key", hub.alias("as_article"), (~hub).alias("as_main"))
+    if onward.isEmpty():  # no hub, so no further pages
+        asked = asked.limit(0)
+    told = crawl.read(
+        asked, "article_title", "article", "h1", "main", only={"article": "as_article", "main": "as_main AND h1 IS NOT NULL"}
+    )
+    articles = fetch(onward, told, "article_title", "article", "h1", "main")
     found = articles.where(F.col("fetched"))
     usable = hub | (F.col("h1").isNotNull() & F.col("main").isNotNull())
     place = ["source_id", "run", "page_seq", "item_seq"]

@@ -8,6 +8,7 @@ from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown, plain_markdown
 from contentloom.functions.urls import url_key
 from contentloom.operators.dom import dom_nodes
+from contentloom.operators.keyfilter import KeyFilter
 from contentloom.session import stage
 
 
@@ -31,33 +32,67 @@ def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
     return dom_nodes(rows).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
-    """Everything the extractors ask of a page, from one parse.
+def _facts() -> dict[str, str]:
+    """What the extractors ask of a page. ``readable`` is false for a page the parser gives up on."""
+    return {
+        "readable": "nodes IS NOT NULL",
+        "links": P.article_links(),
+        "n_containers": f"size({P.post_containers()})",
+        "hub_links": P.hub_links(),
+        "rendered_links": P.read_more_links(),
+        "page_title": P.page_title(),
+        "article_title": P.article_title(),
+        "h1": P.h1_text(),
+        "document_title": P.document_title(),
+        "title_readable": P.title_readable(),
+        "article": article_markdown("date"),
+        "main": plain_markdown(main_text()),
+        "post": markdown(P.break_words_post()),
+    }
 
-    ``readable`` is false for a page the parser gives up on. Staged as a table, it lets each
-    hop of a crawl join the few columns it needs instead of HTML.
+
+#: Forms of a page's text, which cost more than the rest and are made where asked.
+RENDERED = ("article", "main", "post")
+
+
+def page_facts(pages: DataFrame, *names: str, keep: tuple[str, ...] = (), only: dict[str, str] | None = None) -> DataFrame:
+    """``page_id``, ``url_key``, ``readable``, the columns ``keep`` and the facts named, from one parse.
+
+    ``only`` gives a condition for a form of the text, over the other facts and kept columns;
+    pages that do not meet it are not rendered in this form.
     """
+    facts, only = _facts(), only or {}
+    first = [n for n in facts if n == "readable" or n in names and n not in RENDERED]
+    forms = [n for n in RENDERED if n in names]
+    base = ["page_id", "url_key", *keep]
     # What several columns are made of comes first, so that it is worked out once.
-    shared = page_nodes(pages, "page_id", "url", "url_key").selectExpr(
-        "*", f"{P.anchors()} AS anchors", f"{P.page_date()} AS date"
-    )
-    return shared.selectExpr(
-        "page_id",
-        "url_key",
-        "nodes IS NOT NULL AS readable",
-        f"{P.article_links()} AS links",
-        f"size({P.post_containers()}) AS n_containers",
-        f"{P.hub_links()} AS hub_links",
-        f"{P.read_more_links()} AS rendered_links",
-        f"{P.page_title()} AS page_title",
-        f"{P.article_title()} AS article_title",
-        f"{P.h1_text()} AS h1",
-        f"{P.document_title()} AS document_title",
-        f"{P.title_readable()} AS title_readable",
-        f"{article_markdown('date')} AS article",
-        f"{plain_markdown(main_text())} AS main",
-        f"{markdown(P.break_words_post())} AS post",
+    shared = page_nodes(pages, "page_id", "url", "url_key", *keep)
+    if {"links", "rendered_links"} & set(first):
+        shared = shared.selectExpr("*", f"{P.anchors()} AS anchors")
+    told = shared.selectExpr(*base, "nodes", "elements", *(f"{facts[n]} AS {n}" for n in first))
+    if "article" in forms:
+        told = told.selectExpr("*", f"{_asked(P.page_date(), 'article', only)} AS date")
+    return told.selectExpr(*base, *first, *(f"{_asked(facts[n], n, only)} AS {n}" for n in forms))
+
+
+def _asked(value: str, form: str, only: dict[str, str]) -> str:
+    return f"CASE WHEN {only[form]} THEN {value} END" if form in only else value
+
+
+def met_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
+    """The pages of ``keys`` (``url_key``, each once, and other columns, which are added): of a URL
+    that was crawled twice the page with the lowest id. ``keys`` should be a table.
+
+    Pages of other URLs are left out by a filter in the scan, first of the ids, then of the pages.
+    """
+    wanted = KeyFilter(keys, "url_key")
+    ids = (
+        wanted.maybe_wanted(pages.select("page_id", "url_key"))
+        .join(keys, "url_key")
+        .groupBy(*keys.columns)
+        .agg(F.min("page_id").alias("page_id"))
     )
+    return wanted.maybe_wanted(pages).join(ids, ["url_key", "page_id"])
 
 
 def article_markdown(date: str) -> str:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from contentloom.operators.keyfilter import KeyFilter
 from contentloom.operators.routing import Routes
 from contentloom.plans.run import Store, extract, run, run_all
 from contentloom.plans.sink import envelopes, write_envelopes, write_items
@@ -162,11 +163,45 @@ def test_rendered_page_whose_links_are_no_articles(spark):
         "page_id long, url string, html string",
     ).withColumn("url_key", F.col("url"))
     sources = with_run(spark.createDataFrame([(5, "https://r.io/", False, "t", None, None)], SOURCE))
-    items, lost = website_parts(sources, Crawl.parse(pages))
+    items, lost = website_parts(sources, Crawl(pages))
     assert [(r.title, r.content) for r in items.collect()] == [("One", "One\ntext")]
     assert [(r.url, r.reason) for r in lost.collect()] == [("https://r.io/tag/post/2", "no heading or main text")]
 
 
+def test_pages_that_no_source_meets_are_not_rendered(spark, store, monkeypatch):
+    unmet = [(1000 + i, f"https://unmet.io/{i}", ARTICLE.format(i)) for i in range(2000)]
+    pages = store.pages.unionByName(
+        spark.createDataFrame(unmet, "page_id long, url string, html string").withColumn("url_key", F.col("url"))
+    )
+    read, facts = Crawl.read, []
+    monkeypatch.setattr(Crawl, "read", lambda *a, **k: facts.append(read(*a, **k)) or facts[-1])
+    rows = [(0, "https://x.io/start", False, "t", None, None), (1, "https://x.io/hub", False, "t", None, None)]
+    items, _ = website_parts(with_run(spark.createDataFrame(rows, SOURCE)), Crawl(pages))
+    assert items.count() == 5
+    parsed = [[r.url_key.removeprefix("https://x.io/") for r in f.collect()] for f in facts]
+    # The sources, then the articles of the one, then the posts of the other.
+    assert [sorted(p) for p in parsed] == [["hub", "start"], ["blog/a", "blog/b?x=1"], ["one", "two"]]
+    rendered = [[sum(r[c] is not None for r in f.collect()) for c in ("main", "article") if c in f.columns] for f in facts]
+    assert rendered == [[0], [2], [0, 2]]
+
+
+def test_key_filter(spark):
+    rows = spark.range(200_000).select(F.concat(F.lit("https://x.io/"), "id").alias("url_key"), "id")
+    keys = rows.where("id % 100 = 7").select("url_key").unionByName(spark.createDataFrame([(None,), ("absent",)], "url_key string"))
+    passed = KeyFilter(keys, "url_key").maybe_wanted(rows)
+    assert passed.columns == rows.columns
+    assert passed.where("id % 100 = 7").count() == 2000
+    assert passed.count() < 2000 + 200_000 / 8
+    assert KeyFilter(keys.limit(0), "url_key").maybe_wanted(rows).count() == 0
+    # Before the join, what no key asks for is gone from what is shuffled.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = passed.join(keys, "url_key")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(url_key") < plan.index("BroadcastHashJoin")
+
+
 def test_rejects(sources, store):
     web = with_run(Routes().apply(sources).where("route = 'website'"))
     _, lost = website_parts(web, store.crawl)
@@ -181,7 +216,7 @@ def test_rejects(sources, store):
 
 def test_unreadable_titles(sources, store):
     posts = with_run(Routes().apply(sources).where("route = 'linkedin'"))
-    lost = linkedin_parts(posts, store.crawl.facts)[1].collect()
+    lost = linkedin_parts(posts, store.crawl)[1].collect()
     assert sorted((r.url, r.reason) for r in lost) == [
         ("linkedin.com/posts/none", "no post"), ("linkedin.com/posts/untitled", "unreadable title"),
     ]
