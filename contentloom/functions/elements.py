@@ -58,3 +58,9 @@ def packed_text(nodes: str) -> str:
 def plain_text(nodes: str) -> str:
     """Text of a slice as it stands."""
     return f"array_join(transform({_texts(nodes)}, x -> x.text), '')"
+
+
+def text_within(element: str, whole: str) -> str:
+    """Text of an element as it stands, cut out of the text of the whole page. Costs a look-up,
+    however many elements hold the same text."""
+    return f"substring({whole}, {element}.text_at + 1, {element}.text_len)"

@@ -78,6 +78,8 @@ _FIELDS = (
     # Likewise of the first h1 to h3 and the first div with "content" in its class.
     ("first_head", pa.int32(), T.IntegerType()),
     ("first_content", pa.int32(), T.IntegerType()),
+    # Characters of shown text before the event; with text_len, an element's stretch of the page's text.
+    ("text_at", pa.int32(), T.IntegerType()),
 )
 _END, _HREF, _TEXT_LEN, _FIRST_LINK, _FIRST_HEAD, _FIRST_CONTENT = 1, 8, 12, 18, 19, 20
 NODE = T.StructType([T.StructField(n, s) for n, _, s in _FIELDS])
@@ -124,7 +126,7 @@ class _Events(HTMLParser):
         parent = frame.row[0] if frame.row else None
         row = [
             pos, pos, parent, len(self.stack) - 1, ord_, tag, frame.tag, classes,
-            href, src, alt, text, n, marks, *frame.depths, frame.link, None, None, None,
+            href, src, alt, text, n, marks, *frame.depths, frame.link, None, None, None, self.seen_chars,
         ]
         self.rows.append(row)
         return row
@@ -138,8 +140,8 @@ class _Events(HTMLParser):
         if not top.marks & PRE and not text.strip("\t\n\x0c\r "):
             text = "\n" if "\n" in text else " "
         n = 0 if top.marks & HIDDEN else len(text)
-        self.seen_chars += n
         self._add("#text", top, top.count("#text"), top.marks, text=text, n=n)
+        self.seen_chars += n
 
     def handle_data(self, data):
         self.buffer.append(data)

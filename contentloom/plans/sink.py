@@ -18,9 +18,20 @@ def sink_rows(items: DataFrame) -> DataFrame:
     return items.select(*order, *ITEM_FIELDS).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_items(items: DataFrame, path: str) -> None:
-    """JSON lines by team, replacing what is there. Items keep their run and their place in it."""
-    sink_rows(items).write.mode("overwrite").partitionBy("team_id").option("ignoreNullFields", "false").json(path)
+def write_items(items: DataFrame, path: str, run: str | None = None) -> None:
+    """JSON lines by team. Items keep their run and their place in it.
+
+    Without ``run`` everything at the path is replaced. With the name of a run, files lie in folders
+    of their team and this name, and only folders that the run writes to are replaced: writing a run
+    again leaves other runs and teams as they are. A team that the run no longer has items for keeps
+    what it had.
+    """
+    rows, folders = sink_rows(items), ["team_id"]
+    if run is not None:
+        rows, folders = rows.withColumn("run", F.lit(run)), ["team_id", "run"]
+    mode = "static" if run is None else "dynamic"
+    writer = rows.write.mode("overwrite").partitionBy(*folders).option("partitionOverwriteMode", mode)
+    writer.option("ignoreNullFields", "false").json(path)
 
 
 def envelopes(items: DataFrame, part_items: int | None = None) -> DataFrame:

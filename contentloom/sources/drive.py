@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from contentloom.functions.elements import plain_text, select, subtree
-from contentloom.functions.sql import group, q
+from contentloom.functions.elements import plain_text, select, text_within
+from contentloom.functions.sql import bind, group, q
 from contentloom.functions.text import WS, file_title, strip, text_to_markdown
 from contentloom.functions.urls import drive_download_url
 from contentloom.operators.skew import skew_join
@@ -33,7 +33,8 @@ def _all_script_links() -> str:
 def anchor_links() -> str:
     """``ARRAY<STRUCT<file_id, name>>`` of the links to PDF files of a page's ``nodes``."""
     anchors = select("e.tag = 'a' AND e.href RLIKE '/file/d/.+/view'")
-    texts = f"transform({anchors}, a -> struct(a.href AS href, {plain_text(subtree('a'))} AS text))"
+    # Open anchors reach to the end of the page, so each cuts its text out of one string.
+    texts = bind(plain_text("nodes"), "w", f"transform({anchors}, a -> struct(a.href AS href, {text_within('a', 'w')} AS text))")
     books = f"filter({texts}, a -> contains(lower(a.text), '.pdf') OR contains(lower(a.href), '.pdf'))"
     from_address = "concat(element_at(split(a.href, '/'), -2), '.pdf')"
     named = (

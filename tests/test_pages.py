@@ -5,6 +5,7 @@ from contentloom.functions import page as P
 from contentloom.functions.maintext import main_text
 from contentloom.functions.markdown import markdown, plain_markdown
 from contentloom.operators.dom import dom_nodes
+from contentloom.sources.drive import anchor_links
 from contentloom.sources.pages import page_nodes
 
 
@@ -209,3 +210,25 @@ def test_markdown_of_malformed_pages(spark, page, start, length):
     assert text.startswith(start)
     if length:
         assert len(text) == length
+
+
+def test_texts_of_anchors_that_stay_open(read):
+    page = '<a href="/file/d/{0}/view">é{0}.pdf<script>x</script> \U0001f600</a>' + '<a href="/file/d/{1}/view"><b>one</b>&amp;' * 2 + "<p>two.pdf"
+    ids = "A" * 28, "B" * 28
+    (got,) = read(anchor_links(), page.format(*ids))
+    assert [tuple(g) for g in got] == [(ids[0], f"é{ids[0]}.pdf \U0001f600"), (ids[1], "one&one&two.pdf"), (ids[1], "one&two.pdf")]
+
+
+def test_open_anchors_cost_about_what_their_number_does(read):
+    import time
+
+    def seconds(n):
+        pages = ['<a href="/file/d/x/view">t' * n + "end.pdf"] * 4
+        start = time.perf_counter()
+        got = read(f"size({anchor_links()})", *pages)
+        assert got == [n] * 4
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = min(seconds(2000) for _ in range(2)), min(seconds(4000) for _ in range(2))
+    assert many < 3 * few

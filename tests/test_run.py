@@ -314,6 +314,29 @@ def test_item_sink_keeps_nulls_and_text(items, tmp_path):
     assert {p.name for p in (tmp_path / "out/deep").iterdir() if p.is_dir()} == {f"team_id=t{i}" for i in (1, 2, 3, 4)}
 
 
+def test_a_run_written_again_replaces_its_own_items_only(items, tmp_path):
+    path = str(tmp_path / "out")
+
+    def written():
+        back = items.sparkSession.read.json(path).select("team_id", "run", "title")
+        return sorted(map(tuple, back.collect()))
+
+    def titles(df, run):
+        return [(r.team_id, run, r.title) for r in df.collect()]
+
+    write_items(items, path, "monday")
+    write_items(items.where("team_id <> 't1'"), path, "tuesday")
+    both = titles(items, "monday") + titles(items.where("team_id <> 't1'"), "tuesday")
+    assert written() == sorted(both)
+    write_items(items, path, "monday")
+    assert written() == sorted(both)
+    # Fewer items of one team: its folder of this run changes, no other.
+    fewer = items.where("team_id = 't3' AND title = 'n.md'")
+    write_items(fewer, path, "monday")
+    rest = titles(items.where("team_id <> 't3'"), "monday") + titles(items.where("team_id <> 't1'"), "tuesday")
+    assert written() == sorted([("t3", "monday", "n.md"), *rest])
+
+
 def test_envelopes(items, tmp_path):
     rows = envelopes(items).collect()
     assert all(r.part == 0 for r in rows)
