@@ -30,12 +30,22 @@ class KeyFilter:
     def _bit(self) -> Column:
         return self._place().bitwiseAND(_MAP_BITS - 1)
 
+    def _tested(self, rows: DataFrame, how: str) -> tuple[DataFrame, Column]:
+        met = rows.join(F.broadcast(self.maps), self._part() == F.col("part"), how)
+        byte = F.ascii(F.decode(F.substring("bits", F.shiftright(self._bit().cast("int"), 3) + 1, F.lit(1)), "ISO-8859-1"))
+        met = met.withColumn("byte", byte).withColumn("bit", self._bit().cast("int"))
+        return met, F.expr("shiftright(byte, bit & 7) & 1 = 1")
+
     def maybe_wanted(self, rows: DataFrame) -> DataFrame:
         """``rows`` without most of those whose key is not there, and with all whose key is.
 
         Rows are tested in the scan's own tasks, so what is left out is never shuffled. An exact
         inner join with the keys is to follow (Spark would move a semi join below this one).
         """
-        met = rows.join(F.broadcast(self.maps), self._part() == F.col("part")).withColumn("bit", self._bit().cast("int"))
-        byte = F.ascii(F.decode(F.substring("bits", F.shiftright("bit", 3) + 1, F.lit(1)), "ISO-8859-1"))
-        return met.withColumn("byte", byte).where("shiftright(byte, bit & 7) & 1 = 1").select(*rows.columns)
+        met, isset = self._tested(rows, "inner")
+        return met.where(isset).select(*rows.columns)
+
+    def surely_unwanted(self, rows: DataFrame) -> DataFrame:
+        """The other rows: their key, if they have one, is not there."""
+        met, isset = self._tested(rows, "left")
+        return met.where(~F.coalesce(isset, F.lit(False))).select(*rows.columns)

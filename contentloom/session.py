@@ -50,10 +50,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_stages(spark: SparkSession) -> int:
-    """Delete the stage tables of this process, once the results that read them are written."""
-    n = len(_STAGED)
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+def staged() -> list[str]:
+    """Paths of the stage tables that this process has written and not removed."""
+    return list(_STAGED)
+
+
+def remove_stages(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete stage tables of this process, all or those at the paths, once the results that read
+    them are written. Returns how many."""
+    gone = [p for p in _STAGED if paths is None or p in paths]
+    for path in gone:
+        _STAGED.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)

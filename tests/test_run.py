@@ -11,7 +11,7 @@ from contentloom.plans.sites import linkedin_parts
 from contentloom.plans.website import Crawl, website_parts
 from contentloom.schemas import ITEM_FIELDS, SOURCE, check_items, item_columns, with_run
 from contentloom.functions.urls import url_key
-from contentloom.session import stage
+from contentloom.session import remove_stages, stage, staged
 from contentloom.sources.drive import drive_items
 from contentloom.sources.reddit import comment_items
 from contentloom.streaming.incremental import arriving_items
@@ -193,6 +193,9 @@ def test_key_filter(spark):
     assert passed.where("id % 100 = 7").count() == 2000
     assert passed.count() < 2000 + 200_000 / 8
     assert KeyFilter(keys.limit(0), "url_key").maybe_wanted(rows).count() == 0
+    left = KeyFilter(keys, "url_key").surely_unwanted(rows)
+    assert left.count() + passed.count() == 200_000 and left.where("id % 100 = 7").count() == 0
+    assert KeyFilter(keys.limit(0), "url_key").surely_unwanted(rows).count() == 200_000
     # Before the join, what no key asks for is gone from what is shuffled.
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -354,6 +357,17 @@ def test_envelopes(items, tmp_path):
     assert len(lines) == 5 and {json.loads(x)["team_id"] for x in lines} == {"t3"}
 
 
+def test_stage_tables_are_removed(spark):
+    before = staged()
+    one, two = stage(spark.range(3), "one"), stage(spark.range(4), "two")
+    own = [p for p in staged() if p not in before]
+    assert remove_stages(spark, own[:1]) == 1
+    assert two.count() == 4 and staged() == [*before, own[1]]
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        one.count()
+    assert remove_stages(spark, own) == 1 and staged() == before
+
+
 def test_files_as_they_arrive(spark, store, tmp_path):
     store.files.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = arriving_items(spark, str(tmp_path / "in"), "other").writeStream.format("memory").queryName("arrived")
