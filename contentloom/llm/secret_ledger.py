@@ -24,6 +24,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from contentloom.operators.keyfilter import KeyFilter
 from contentloom.operators.skew import skew_join
 from contentloom.session import stage
 
@@ -47,7 +48,8 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # With the lines of the key, and the last one where it is there.
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
@@ -131,7 +133,9 @@ def update(docs: DataFrame, digests: DataFrame, ledger: Ledger, rules: tuple[Rul
         "unseen",
     )
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", digest_of(F.col("text")))
-    blobs = texts.groupBy("digest").agg(F.first("text").alias("text")).join(todo, "digest")
+    # Texts that were scanned before are left out where they are read, and not moved.
+    unseen = KeyFilter(todo, "digest").maybe_wanted(texts)
+    blobs = unseen.groupBy("digest").agg(F.first("text").alias("text")).join(todo, "digest")
     ledger.add("findings", find_spans(blobs, rules))
     pair = F.split("key", "@")
     ledger.add(
