@@ -1,6 +1,6 @@
 """The shared tail of every run: limit, type, empty filter, counts."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from contentloom.operators.routing import resolve_content_type
 from contentloom.operators.skew import group_rank
@@ -12,16 +12,19 @@ def within_limit(rank: Column, size: Column, max_items: Column) -> Column:
     return (n == 0) | ((n > 0) & (rank <= n)) | ((n < 0) & (rank <= size + n))
 
 
-def apply_limit(items: DataFrame, row: str | None = None) -> DataFrame:
-    """Rank the items of each source and keep what its limit allows. ``row`` numbers the rows of a table."""
-    ranked = group_rank(items, ["source_id"], ["page_seq", "item_seq"], row)
-    return ranked.where(within_limit(F.col("rank"), F.col("size"), F.col("max_items"))).select(*items.columns)
+def judge_items(items: DataFrame, row: str | None = None) -> DataFrame:
+    """Items with ``within``: whether their source's ``max_items`` allows them. Sources without a limit
+    are not ranked, nor shuffled. ``row`` numbers the rows of a table."""
+    n = F.coalesce(F.col("max_items"), F.lit(0))
+    ranked = group_rank(items.where(n != 0), ["source_id"], ["page_seq", "item_seq"], row)
+    allowed = within_limit(F.col("rank"), F.col("size"), F.col("max_items")).alias("within")
+    free = items.where(n == 0).withColumn("within", F.lit(True))
+    return free.unionByName(ranked.select(*items.columns, allowed))
 
 
 def limit_items(items: DataFrame) -> DataFrame:
-    """Keep what each source's ``max_items`` allows. Sources without one are not shuffled."""
-    n = F.coalesce(F.col("max_items"), F.lit(0))
-    return items.where(n == 0).unionByName(apply_limit(items.where(n != 0)))
+    """Keep what each source's ``max_items`` allows."""
+    return judge_items(items).where("within").drop("within")
 
 
 def finish_items(items: DataFrame) -> DataFrame:
@@ -43,26 +46,26 @@ def has_content(content: Column) -> Column:
     return content.isNotNull() & (content != "")
 
 
-def run_summary(items: DataFrame) -> DataFrame:
-    """Per source: items found, within the limit, written, skipped as empty, and the type written."""
-    found = items.groupBy("source_id").agg(F.count("*").alias("found"))
-    kept = (
-        resolve_types(limit_items(items))
-        .groupBy("source_id")
-        .agg(
-            F.count("*").alias("limited"),
-            F.count_if(has_content(F.col("content"))).alias("written"),
-            F.count_if(~has_content(F.col("content"))).alias("skipped"),
-            F.min_by(
-                "content_type",
-                F.when(has_content(F.col("content")), F.struct("page_seq", "item_seq")),
-            ).alias("content_type"),
-        )
-    )
-    return found.join(kept, "source_id", "left").select(
-        "source_id",
-        "found",
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("limited", "written", "skipped")],
-        "content_type",
-    )
+def _counts() -> dict[str, Column]:
+    """Of judged items: found, within the limit, written, skipped as empty."""
+    within, full = F.col("within"), has_content(F.col("content"))
+    return {"found": F.count("*"), "limited": F.count_if(within), "written": F.count_if(within & full), "skipped": F.count_if(within & ~full)}
 
+
+def summary_of(judged: DataFrame) -> DataFrame:
+    """Per source: items found, within the limit, written, skipped as empty, and the type first written.
+    One pass over items of ``judge_items``, summed where they lie before they are dealt by source."""
+    written = F.col("within") & has_content(F.col("content"))
+    first = F.min_by("content_type", F.when(written, F.struct("page_seq", "item_seq")))
+    return resolve_types(judged).groupBy("source_id").agg(*(c.alias(n) for n, c in _counts().items()), first.alias("content_type"))
+
+
+def observed(judged: DataFrame, name: str = "run") -> tuple[DataFrame, Observation]:
+    """The same items, and the counts of all of them, which are there once the items have been written.
+    They are to be written by a plan that reads them once: a sort by ranges reads them twice."""
+    counts = Observation(name)
+    return judged.observe(counts, *(c.alias(n) for n, c in _counts().items())), counts
+
+
+def run_summary(items: DataFrame) -> DataFrame:
+    return summary_of(judge_items(items))

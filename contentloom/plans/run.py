@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from contentloom.operators.crawl import rejects
-from contentloom.operators.items import apply_limit, has_content, resolve_types
+from contentloom.operators.items import has_content, judge_items, observed, resolve_types, summary_of
 from contentloom.operators.routing import Routes
 from contentloom.plans.sites import linkedin_parts, substack_parts
 from contentloom.plans.website import Crawl, website_parts
@@ -166,34 +166,55 @@ REJECT = "source_id long, url string, stage string, reason string"
 
 @dataclass
 class Run:
-    """Finished items; rejects (source_id, url, stage, reason): what gave no item, and why; and
-    all items found before limit and filter, for ``run_summary``."""
+    """What a run gives: ``judged``, all items found, with whether their source's limit lets them pass,
+    and the rejects (source_id, url, stage, reason): what gave no item, and why."""
 
-    items: DataFrame
+    judged: DataFrame
     rejects: DataFrame
-    found: DataFrame
+
+    @property
+    def found(self) -> DataFrame:
+        """All items found before limit and filter."""
+        return self.judged.drop("within")
+
+    @property
+    def items(self) -> DataFrame:
+        """Finished items: within the limit, typed, not empty."""
+        return _finished(self.judged)
+
+    def counted_items(self) -> tuple[DataFrame, dict[str, int]]:
+        """Finished items, and the counts of the run (found, limited, written, skipped). The judged items
+        are written as a table once, and counted on the way; sinks that put items in order read them
+        more than once, and read that table then."""
+        judged, counts = observed(self.judged)
+        self.judged = stage(judged, "judged-items")
+        return self.items, counts.get
+
+    def summary(self) -> DataFrame:
+        """The counts by source, in one pass over the judged items."""
+        return summary_of(self.judged)
+
+
+def _finished(judged: DataFrame) -> DataFrame:
+    done = resolve_types(judged.where("within")).where(has_content(F.col("content")))
+    return done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS)
 
 
 def run_all(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> Run:
     """A manifest routed, extracted, limited, typed and without empty items.
 
-    Stage tables (the parsed crawl, links between hops, items with a limit) are written while the
+    Stage tables (facts of met pages, links between hops, items with a limit) are written while the
     plan is built; ``session.remove_stages`` deletes them once the results are.
     """
     spark, routes = sources.sparkSession, routes or Routes()
     routed = routes.apply(with_run(sources))
     names, limited = _present(routed)
     parts, lost = route_parts(routed, names, store, routes, unescape)
-    found = _union(parts, spark, FOUND)
-    finished = found
-    if limited:  # their limit reads them twice; the others are never ranked
-        free, ranked = found.where(~_limited()), numbered(found.where(_limited()), "row")
-        finished = free.unionByName(apply_limit(ranked, "row").drop("row"))
-        found = free.unionByName(ranked.drop("row"))
-    done = resolve_types(finished).where(has_content(F.col("content")))
-    return Run(
-        done.select(*POSITION_FIELDS, "team_id", *ITEM_FIELDS), _union(lost, spark, REJECT), found
-    )
+    judged = _union(parts, spark, FOUND).withColumn("within", F.lit(True))
+    if limited:  # ranks read their items twice; those of sources without a limit are never ranked
+        ranked = numbered(judged.where(_limited()).drop("within"), "row")
+        judged = judged.where(~_limited()).unionByName(judge_items(ranked, "row").drop("row"))
+    return Run(judged, _union(lost, spark, REJECT))
 
 
 def extract(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> DataFrame:

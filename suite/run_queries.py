@@ -164,3 +164,18 @@ def manifest_run(spark, sf_dir):
 )
 def run_rejects(spark, sf_dir):
     return _run(spark, sf_dir).rejects
+
+
+@query(
+    "manifest_summary",
+    f"""
+    WITH f AS (SELECT source_id, count(*) AS found FROM ({FOUND_SQL}) GROUP BY source_id),
+    k AS (SELECT source_id, count(*) AS limited, count(*) FILTER (content <> '') AS written,
+      count(*) FILTER (content = '') AS skipped,
+      arg_min(coalesce({FORCED}, content_type), rn) FILTER (content <> '') AS content_type
+      FROM ({LIMITED_RUN_SQL}) GROUP BY source_id)
+    SELECT source_id, found, coalesce(limited, 0) AS limited, coalesce(written, 0) AS written,
+      coalesce(skipped, 0) AS skipped, content_type FROM f LEFT JOIN k USING (source_id)""",
+)
+def manifest_summary(spark, sf_dir):
+    return _run(spark, sf_dir).summary()

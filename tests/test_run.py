@@ -278,6 +278,20 @@ def test_limits_of_a_run(spark, sources, store):
     assert extract(sources.where("source_id = 1"), store).count() == 3
 
 
+def test_counts_of_a_run_are_gathered_while_it_is_written(sources, store, tmp_path):
+    whole = run_all(sources, store)
+    items, counts = whole.counted_items()
+    write_items(items, str(tmp_path / "out"))
+    by_source = whole.summary().collect()
+    for name in ("found", "limited", "written", "skipped"):
+        assert counts[name] == sum(r[name] for r in by_source)
+    assert counts["written"] == items.sparkSession.read.json(str(tmp_path / "out")).count()
+    hub = next(r for r in by_source if SOURCES[r.source_id][0] == "https://x.io/hub")
+    assert (hub.found, hub.limited, hub.written, hub.skipped, hub.content_type) == (3, 2, 2, 0, "blog")
+    blank = next(r for r in by_source if SOURCES[r.source_id][0] == "calls/blank.txt")
+    assert (blank.found, blank.written, blank.skipped, blank.content_type) == (1, 0, 1, None)
+
+
 def test_threads(spark):
     def body(data):
         return json.dumps([{}, {"data": {"children": [{"data": data}]}}])
