@@ -14,7 +14,7 @@ from contentloom.functions.urls import url_key
 from contentloom.session import remove_stages, stage, staged
 from contentloom.sources.drive import drive_items
 from contentloom.sources.reddit import comment_items
-from contentloom.streaming.incremental import arriving_items
+from contentloom.streaming.incremental import arriving_items, page_items, write_arriving_pages
 
 ARTICLE = "<html><head><title>Doc {0}</title></head><body><article><h1>Article {0}</h1><p>Text of {0}.</p></article></body></html>"
 FILE_ID = "A" * 30
@@ -388,3 +388,26 @@ def test_files_as_they_arrive(spark, store, tmp_path):
     query = stream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(60)
     assert {r.title for r in spark.table("arrived").collect()} == {"c.txt", "n.md", "blank.txt", "absent.md"}
+
+
+def test_pages_as_they_arrive(spark, store, tmp_path):
+    arrived = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    ids = store.pages.where("page_id <> 99")
+    stream = spark.readStream.schema(ids.schema).parquet(arrived)
+
+    def next_batch(rows):
+        rows.coalesce(1).write.mode("append").parquet(arrived)
+        query = write_arriving_pages(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    before = staged()
+    next_batch(ids.where("page_id % 2 = 0"))
+    next_batch(ids.where("page_id % 2 = 1"))
+    assert staged() == before
+    items, lost = page_items(ids)
+    for name, rows in (("items", items), ("rejects", lost)):
+        got = spark.read.parquet(str(tmp_path / "out" / name))
+        assert {r.batch for r in got.collect()} == {0, 1}
+        assert sorted(map(repr, got.drop("batch").collect())) == sorted(map(repr, rows.collect()))
+    assert items.count() + lost.count() == len(PAGES)
