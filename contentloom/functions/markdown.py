@@ -3,13 +3,14 @@
 Every event maps to a piece of text; the joined pieces are then tidied with regular
 expressions. Layout that is only settled once the neighbours are known (emphasis around
 nothing, blank lines, list items, quote prefixes) is written with Unicode noncharacters,
-which no text carries, and replaced at the end. The work is linear in the page and stays
-in the JVM.
+which no text carries, and replaced at the end. The work stays in the JVM and is linear in the
+page and its Markdown: quotes and lists nest to any depth, and each level is a prefix of every line
+within, so events that only start lines again where the lines start anyway are left out before.
 """
 
 from contentloom.functions.elements import marked
 from contentloom.functions.sql import bind, group, q, q_list, replace_all
-from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, MAX_DEPTH, PRE
+from contentloom.operators.dom import CELL, CODE, HEADING, HEADINGS, HIDDEN, PRE
 
 (
     ESC, BOLD, BOLD_END, ITALIC, ITALIC_END, LINK, LINK_MID, LINK_END, BREAK, ITEM, BULLET, ROW,
@@ -85,7 +86,7 @@ _PIECE = f"""CASE
   WHEN {_in('code', '/code')} AND NOT {marked('e', PRE)} THEN '`'
   WHEN e.tag = 'pre' THEN {_cat(_GAP, "'```'", q(NEWLINE), _QUOTES)}
   WHEN e.tag = '/pre' THEN {_cat(q(FENCE_END), _QUOTES, "'```'", _GAP)}
-  WHEN e.tag = 'blockquote' THEN {_cat(_GAP, f"CASE WHEN {_FLAT} OR e.quotes >= {MAX_DEPTH} THEN '' ELSE {q(QUOTE)} END")}
+  WHEN e.tag = 'blockquote' THEN {_cat(_GAP, f"CASE WHEN {_FLAT} THEN '' ELSE {q(QUOTE)} END")}
   WHEN e.tag = '/blockquote' THEN {_GAP}
   WHEN e.tag = 'hr' THEN {_cat(_GAP, "'---'", _GAP)}
   WHEN e.tag = 'table' THEN {_cat(_GAP, q(GROUP))}
@@ -96,6 +97,46 @@ _PIECE = f"""CASE
   WHEN {_in('/td', '/th')} THEN ' |'
   ELSE '' END"""
 
+_GAP_TAGS = (*BLOCK_TAGS, *_closing(*BLOCK_TAGS), "blockquote", "/blockquote", "/ul", "/ol")
+_SPEAKING = (
+    "#text", *_GAP_TAGS, "b", "strong", "/b", "/strong", "i", "em", "/i", "/em", "a", "/a", "li", "ul", "ol", "br",
+    *HEADINGS, *_closing(*HEADINGS), "title", "/title", "img", "code", "/code", "pre", "/pre", "hr",
+    "table", "/table", "tr", "/tr", "td", "th", "/td", "/th",
+)
+_SILENT = f"""NOT {_in(*_SPEAKING)} OR (e.tag = '#text' AND {marked('e', HIDDEN)})
+  OR ({_in('ul', 'ol')} AND {_LISTS} > 0) OR ({_in('a', '/a')} AND NOT coalesce({_LINKED}, false))"""
+# What an event adds to a run of blanks: 1 a blank, 2 line starts, 0 something else.
+_KIND = f"""CASE
+  WHEN e.tag = '#text' THEN CASE WHEN {marked('e', PRE)} OR e.text NOT IN (' ', '\n') THEN 0
+    WHEN e.text = ' ' OR {_FLAT} OR {_LISTS} > 0 THEN 1 ELSE 2 END
+  WHEN NOT {_in(*_GAP_TAGS)} THEN 0
+  WHEN {_in('/ul', '/ol')} AND {_LISTS} > 0 THEN 2
+  WHEN {_FLAT} THEN 1 ELSE 2 END"""
+# A line that shows where it is blank, too, however the lines after it are quoted.
+_FIRM = f"({_LISTS} > 0 OR e.quotes = 0)"
+# Whether an event starts two lines.
+_TWO = f"(NOT (e.tag = '#text' OR ({_in('/ul', '/ol')} AND {_LISTS} > 0)))"
+DEEP = 16
+
+
+def thinned(nodes: str) -> str:
+    """Events that give the same Markdown, without those that a neighbour makes needless.
+
+    Of the line starts in a run, Markdown shows the last and the first, or the first of the least
+    quoted (``_blank_lines``); so a start goes that has a start on both sides and is no less quoted
+    than the one before it, or that is more quoted than the one after it. Nothing that is left out is
+    what another one relies on. Each round works on what the one before it left side by side.
+    """
+    shown = f"filter({nodes}, e -> NOT ({_SILENT}))"
+    rated = f"transform({shown}, e -> struct({_KIND} AS kind, {_FIRM} AS firm, {_TWO} AS two, e.quotes AS quotes, e AS event))"
+    as_before = "p.kind = 2 AND p.quotes <= e.quotes AND (p.firm OR NOT e.firm)"
+    as_after = "NOT e.firm AND f.quotes < e.quotes AND f.two"
+    needless = f"e.kind > 0 AND f.kind > 0 AND (e.kind = 1 OR (f.kind = 2 AND (({as_before}) OR ({as_after}))))"
+    around = bind("get(n, i + 1)", "f", bind("get(n, i - 1)", "p", f"coalesce({needless}, false)"))
+    left = f"aggregate(array(1, 2, 3), {rated}, (n, k) -> filter(n, (e, i) -> NOT {around}))"
+    return f"transform({left}, e -> e.event)"
+
+
 _OPEN = f"{BOLD}{ITALIC}"
 _SHUT = f"{BOLD_END}{ITALIC_END}"
 _BLANK = rf"\s{QUOTE}{INDENT}{BREAK}"
@@ -227,7 +268,9 @@ _TIDY = (
 
 def markdown(nodes: str = "nodes") -> str:
     """Markdown of a slice of document events, with ``#`` headings."""
-    text = f"array_join(transform({nodes}, e -> {_PIECE}), '')"
+    deep = f"exists(d, e -> e.quotes + {_LISTS} > {DEEP})"
+    events = bind(nodes, "d", f"CASE WHEN {deep} THEN {thinned('d')} ELSE d END")
+    text = f"array_join(transform({events}, e -> {_PIECE}), '')"
     for trigger, tidied in _TIDY:
         text = bind(text, "t", f"CASE WHEN {trigger} THEN {tidied} ELSE t END")
     blank = " \t\n\x0b\x0c\r" + INDENT

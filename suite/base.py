@@ -102,15 +102,20 @@ def body_md_sql(inner: str) -> str:
 ARTICLE_MD_SQL = body_md_sql(ARTICLE_SQL)
 
 
-def article_url_sql(url: str) -> str:
-    from contentloom.functions.urls import ARTICLE_PARTS, SKIP_PARTS
+# Fixed values, written down apart from the code they check.
+SKIPPED_SQL = """'/category/', '/tag/', '/author/', '/page/', '/search', '/about', '/contact', '/privacy', '/terms', '/login',
+  '/register', '/subscribe', '/newsletter', '/feed', '/sitemap', '/robots.txt', '/favicon', '/ads', 'javascript:', 'mailto:',
+  'tel:', '#'"""
+TAKEN_SQL = """'/blog/', '/post/', '/article/', '/news/', '/story/', '/202', '/2023/', '/2024/', '/2025/', '.html', '.php', '.asp'"""
+
 
+def article_url_sql(url: str) -> str:
     def any_of(parts):
-        return f"len(list_filter([{sql_list(parts)}], lambda p: contains(lower({url}), p))) > 0"
+        return f"len(list_filter([{parts}], lambda p: contains(lower({url}), p))) > 0"
 
     path = rf"regexp_replace(regexp_extract({url}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), ';[^/]*$', '')"
     parts = f"string_split(trim({path}, '/'), '/')"
     return f"""CASE WHEN coalesce({url}, '') = '' THEN false
-      WHEN {any_of(SKIP_PARTS)} THEN false
-      WHEN {any_of(ARTICLE_PARTS)} THEN true
+      WHEN {any_of(SKIPPED_SQL)} THEN false
+      WHEN {any_of(TAKEN_SQL)} THEN true
       ELSE len({parts}) >= 2 AND length({parts}[-1]) > 3 AND length({parts}[-2]) > 3 END"""

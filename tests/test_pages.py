@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from contentloom.functions import page as P
 from contentloom.functions.maintext import main_text
-from contentloom.functions.markdown import markdown, plain_markdown
+from contentloom.functions.markdown import markdown, plain_markdown, thinned
 from contentloom.operators.dom import dom_nodes
 from contentloom.sources.drive import anchor_links
 from contentloom.sources.pages import page_nodes
@@ -199,7 +201,10 @@ def test_second_pass(evaluate):
         ("x" + "<br>" * 100_000 + "y", "x  \n", 300_002),
         ("<blockquote>a" + "<p></p>" * 100_000 + "</blockquote>b", "> a\n\nb", 6),
         ("<pre>" + "\n" * 100_000 + "x</pre>", "```\n", None),
-        ("<blockquote>" * 2_000 + "x", "> > ", 201),
+        ("<blockquote>" * 100_000 + "x", "> > ", 200_001),
+        ("<blockquote>\n<div>" * 30_000 + "x", "> > ", 60_001),
+        ("<ul>" * 100_000 + "x", "x", 1),
+        ("x" + "<ul>" * 30_000 + "</ul>\n" * 30_000 + "y", "x\n\ny", 4),
         ("<table>" + "<tr><td>x" * 5_000, "| x\n", None),
     ],
 )
@@ -212,6 +217,35 @@ def test_markdown_of_malformed_pages(spark, page, start, length):
         assert len(text) == length
 
 
+def _quoted(levels):
+    lines = ["> " * (k + 1) + f"t{k}\n" + ("> " * k + ">\n" if k < levels - 1 else "") for k in range(levels)]
+    return "".join(lines).strip()
+
+
+def test_quotes_and_lists_of_any_depth(read):
+    def pages(levels):
+        quotes = "".join(f"<blockquote>t{k}" for k in range(levels)) + "</blockquote>" * levels
+        return quotes, "".join(f"<ul><li>t{k}\n" for k in range(levels)) + "</li>\n</ul>\n" * levels
+
+    for levels in (3, 40, 2_000):
+        quotes, lists = read(markdown(), *pages(levels))
+        assert quotes == _quoted(levels)
+        assert lists == "\n".join(" " * 4 * k + "*+-"[k % 3] + f" t{k}" for k in range(levels))
+
+
+def test_leaving_out_line_starts_changes_nothing(read):
+    """Pages of random tags, shallow enough to be rendered from all their events, too."""
+    parts = ["<blockquote>", "</blockquote>", "<p>", "</p>", "<ul>", "</ul>", "<ol>", "<li>", "</li>", "\n", " ", "a", "<br>",
+             "<b>", "</b>", "<td>", "</td>", "<h2>", "</h2>", "<pre>", "</pre>", "<span>", "<div>", "</div>", "<tr>", "<hr>"]
+    rng = random.Random(3)
+    pages = []
+    for _ in range(3_000):
+        some = rng.sample(parts[:11], rng.randint(2, 6)) + rng.sample(parts, rng.randint(1, 4))
+        pages.append("".join(rng.choice(some) for _ in range(rng.randint(3, 16))))
+    got = read(f"struct({markdown()} AS whole, {markdown(thinned('nodes'))} AS thin)", *pages)
+    assert [(p, g.thin) for p, g in zip(pages, got)] == [(p, g.whole) for p, g in zip(pages, got)]
+
+
 def test_texts_of_anchors_that_stay_open(read):
     page = '<a href="/file/d/{0}/view">é{0}.pdf<script>x</script> \U0001f600</a>' + '<a href="/file/d/{1}/view"><b>one</b>&amp;' * 2 + "<p>two.pdf"
     ids = "A" * 28, "B" * 28
