@@ -2,14 +2,19 @@
 
 A page is read once into a tree: tags, with unclosed ones closed as browsers do. Elements that are
 never part of an article (menus, footers, sidebars, notices, adverts, forms, reader comments, ...)
-are set aside by tag, role and class. For every element left, text density is its characters per
+are set aside by tag, role and class. A class that only has a word of such a name in it
+(``share-price``, ``related-work``) is a hint: within an article or ``main`` element, density
+decides, and a part whose link-adjusted characters per tag are like the article's stays. For every element left, text density is its characters per
 tag, adjusted by how many characters and tags of it are links; the density sum of an element is
 the sum of its children's densities. The element with the largest sum is the core of the article.
 The smallest density on the path from there to the body is the threshold: elements at least as
 dense give up the element of the largest sum within them, too, so articles in several parts are
-whole. Where parts lie in ``article`` elements, these are taken whole, with the articles beside them;
+whole. Where parts lie in ``article`` elements, these are taken whole, with the articles beside them
+that are no teasers of other pages (by class, or a heading that is a link, or much text in links);
 where the core lies in a ``main`` element, its headings of the first level belong to the article.
-A class or id that sets an element aside does not, if that holds most of the page's text.
+A class or id that sets an element aside does not, if that holds most of the page's text; reader
+comments are spared only if there is no other text. On a page without ``article`` and ``main``, a
+heading in the page's header that begins the document's title belongs to the text.
 
 Text is what stands in these elements: character references decoded, white space within a block
 one space, blocks trimmed, those without text left out, joined in page order by a line end.
@@ -37,8 +42,16 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-#: A class name with one of these says how a page is laid out, not what the element is.
-LAYOUT_WORDS = frozenset("with has no without layout page site main content wrapper container grid row col column".split())
+#: A class name with one of these says what stands beside an element, not what it is.
+LAYOUT_WORDS = frozenset("with has no without layout".split())
+#: Words that leave the meaning of the others in a class name as it is.
+PLAIN_WORDS = frozenset(
+    "site page main content wrapper wrap container outer inner area box block section group list item items bar row col column"
+    " grid panel slot unit left right top bottom primary secondary global local mobile desktop header heading title body text"
+    " link links button buttons icon icons post posts article articles story stories author meta thread count feed form"
+    " media message label holder zone region the a".split()
+)
+TEASER_WORDS = frozenset("card cards teaser teasers preview tile excerpt promo related recommended".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -73,6 +86,10 @@ OUTSIDE_WORDS = frozenset(
     " related recommended recommendations share sharing social newsletter subscribe subscription signup login"
     " masthead topbar toolbar copyright".split()
 )
+#: Of these, the ones that readers write.
+READER_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: How a class or id sets an element aside: as a hint, by its name, or as readers' comments.
+HINT, NAMED, READERS = 1, 2, 3
 
 
 class Page:
@@ -80,8 +97,11 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.ends, self.aside = ["#root"], [-1], [0], [False]
-        #: Set aside by class or id alone.
-        self.named = [False]
+        #: How class or id alone set it aside, if they do.
+        self.named = [0]
+        #: Elements whose class is that of a teaser.
+        self.teasers: set[int] = set()
+        self.title = ""
         #: Element, text, and in which block it stands.
         self.pieces: list[tuple[int, str, int]] = []
         self._read(source)
@@ -145,8 +165,11 @@ class Page:
             self.parents.append(stack[-1])
             self.ends.append(node + 1)
             aside = _is_aside(name, attributes)
-            self.aside.append(aside or _is_named_aside(name, attributes))
-            self.named.append(self.aside[-1] and not aside)
+            named = 0 if aside else _named_aside(name, attributes)
+            self.aside.append(aside or named > 0)
+            self.named.append(named)
+            if name == "article" and not TEASER_WORDS.isdisjoint(w for c in _class_names(attributes) for w in c):
+                self.teasers.add(node)
             if name in ("br", "td", "th", "img", "wbr"):
                 self.pieces.append((stack[-1], " " if name != "wbr" else "", block))
             if name in VOID:
@@ -159,6 +182,8 @@ class Page:
                 if end < 0:
                     position = len(source)
                     break
+                if name == "title" and not self.title:
+                    self.title = " ".join(html.unescape(source[position:end]).split())
                 position = end
             stack.append(node)
             opened[name] = opened.get(name, 0) + 1
@@ -166,37 +191,109 @@ class Page:
         opened["#root"] = 1
         close_to(0)
 
+    def _sizes(self) -> tuple[list[int], list[int], list[int]]:
+        """Characters, characters in links, and tags within each element."""
+        n = len(self.tags)
+        chars, links, marks = [0] * n, [0] * n, [0] * n
+        for node, piece, _ in self.pieces:
+            chars[node] += len(piece.strip())
+        for node in range(n - 1, 0, -1):
+            if self.tags[node] == "a":
+                links[node] = chars[node]
+            parent = self.parents[node]
+            chars[parent] += chars[node]
+            links[parent] += links[node]
+            marks[parent] += marks[node] + 1
+        return chars, links, marks
+
     def set_aside(self) -> list[bool]:
         """Elements that no article text is taken from. One that holds an article, or a form or an
         element named so by class or id that holds most of the page's text, is no such element itself.
-        Beside an article, such a named element is set aside all the same."""
+        Beside an article, such a named element is set aside all the same; within, a hint counts only
+        if the element is less than half as dense as the article, or a third of it is links."""
         n = len(self.tags)
         holds = [False] * n
-        size = [0] * n
-        for node, piece, _ in self.pieces:
-            size[node] += len(piece)
         for node in range(n - 1, 0, -1):
-            parent = self.parents[node]
-            size[parent] += size[node]
             if holds[node] or (self.tags[node] in ("article", "main") and not self.aside[node]):
-                holds[parent] = True
+                holds[self.parents[node]] = True
+        size, links, marks = self._sizes()
+        #: The nearest article or main element around each element.
+        within = [0] * n
+        for node in range(1, n):
+            within[node] = node if self.tags[node] in ("article", "main") else within[self.parents[node]]
+        # Text that nothing sets aside: whether there is any but the readers'.
+        beside = [False] * n
+        for node in range(1, n):
+            beside[node] = beside[self.parents[node]] or (self.aside[node] and not holds[node]) or (
+                self.tags[node] == "header" and not within[node]
+            )
+        others = any(not beside[node] and not piece.isspace() for node, piece, _ in self.pieces)
+
+        def dense(node: int) -> bool:
+            around = within[self.parents[node]]
+            own, whole = ((size[k] - links[k]) / (marks[k] or 1) for k in (node, around))
+            return 3 * links[node] <= size[node] and 2 * own >= whole
+
         out = [False] * n
-        in_article = [False] * n
         for node in range(1, n):
-            parent, tag = self.parents[node], self.tags[node]
-            in_article[node] = in_article[parent] or tag in ("article", "main")
-            own = self.aside[node] or (tag == "header" and not in_article[node])
-            spared = tag == "form" or (self.named[node] and (in_article[node] or not holds[0]))
-            if own and (holds[node] or (spared and 2 * size[node] > size[0])):
+            parent, tag, named = self.parents[node], self.tags[node], self.named[node]
+            own = self.aside[node] or (tag == "header" and not within[node])
+            if own and holds[node]:
                 own = False
+            elif own and named == READERS:
+                own = others
+            elif own and named == HINT and within[parent]:
+                own = not dense(node)
+            elif own and (tag == "form" or (named and (within[node] or not holds[0]))):
+                own = 2 * size[node] <= size[0]
             out[node] = out[parent] or own
+        self._set_teasers_aside(out, size, links)
         return out
 
+    def _set_teasers_aside(self, out: list[bool], size: list[int], links: list[int]) -> None:
+        """Article elements that only announce another page, beside a larger one that does not."""
+        articles = [k for k, tag in enumerate(self.tags) if tag == "article" and not out[k]]
+        teasers, largest, whole = [], 0, -1
+        for node in articles:
+            if self._is_teaser(node, size, links):
+                teasers.append(node)
+            elif size[node] > largest:
+                largest, whole = size[node], node
+        for node in teasers:
+            if size[node] < largest and not node < whole < self.ends[node]:
+                out[node : self.ends[node]] = [True] * (self.ends[node] - node)
+
+    def _is_teaser(self, node: int, size: list[int], links: list[int]) -> bool:
+        if node in self.teasers or 2 * links[node] > size[node]:
+            return True
+        for k in range(node + 1, self.ends[node]):
+            if self.tags[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and size[k]:
+                # A heading that is a link, with a few words.
+                return links[k] == size[k] and size[node] <= 10 * size[k]
+        return False
+
+    def _title_heading(self) -> int:
+        """The heading in a page header that begins the document's title, or 0."""
+        heads = [k for k, tag in enumerate(self.tags) if tag == "h1"]
+        if len(heads) != 1 or "article" in self.tags or "main" in self.tags:
+            return 0
+        node = self.parents[heads[0]]
+        while node > 0 and self.tags[node] != "header":
+            node = self.parents[node]
+        top = heads[0]
+        text = "".join(piece for k, piece, _ in self.pieces if top <= k < self.ends[top])
+        text = " ".join(html.unescape(text).split())
+        return top if node > 0 and text and self.title.startswith(text) else 0
+
     def main_text(self) -> str:
         out = self.set_aside()
         chosen = self._choose(out)
         if not chosen:
             return ""
+        heading = self._title_heading()
+        if heading and out[heading]:
+            chosen.append(heading)
+            out[heading : self.ends[heading]] = [False] * (self.ends[heading] - heading)
         kept, upto = [False] * len(self.tags), 0
         for node in sorted(set(chosen)):
             for k in range(max(node, upto), self.ends[node]):
@@ -309,17 +406,28 @@ def _is_aside(tag: str, attributes: str) -> bool:
     return False
 
 
-def _is_named_aside(tag: str, attributes: str) -> bool:
-    """Whether a class or id, taken as a whole name, is one of an element beside the article."""
+def _class_names(attributes: str) -> list[list[str]]:
+    """Words of each name in class and id."""
+    return [
+        _WORD.findall(whole)
+        for match in _ATTRIBUTE.finditer(attributes or "")
+        if match[1].lower() in ("class", "id")
+        for whole in (match[2] or match[3] or match[4] or "").lower().split()
+    ]
+
+
+def _named_aside(tag: str, attributes: str) -> int:
+    """How a class or id, taken as a whole name, sets an element aside: not at all (0), by its name,
+    as readers' comments, or as a hint only, if it has words that may give the name another meaning."""
     if not attributes or tag in ("html", "body", "main"):
-        return False
-    for match in _ATTRIBUTE.finditer(attributes):
-        if match[1].lower() in ("class", "id"):
-            for whole in (match[2] or match[3] or match[4] or "").lower().split():
-                words = _WORD.findall(whole)
-                if not OUTSIDE_WORDS.isdisjoint(words) and LAYOUT_WORDS.isdisjoint(words):
-                    return True
-    return False
+        return 0
+    found = 0
+    for words in _class_names(attributes):
+        if OUTSIDE_WORDS.isdisjoint(words) or not LAYOUT_WORDS.isdisjoint(words):
+            continue
+        sure = all(w in OUTSIDE_WORDS or w in PLAIN_WORDS for w in words) and words != ["discussion"]
+        found = max(found, HINT if not sure else NAMED if READER_WORDS.isdisjoint(words) else READERS)
+    return found
 
 
 def main_text(source: str | None) -> str:
