@@ -254,24 +254,23 @@ class Page:
         """Article elements that only announce another page, beside a larger one that does not."""
         articles = [k for k, tag in enumerate(self.tags) if tag == "article" and not out[k]]
         teasers, largest, whole = [], 0, -1
+        #: The first heading with text from each place on.
+        heading = [len(out)] * (len(out) + 1)
+        for k in range(len(out) - 1, 0, -1):
+            here = size[k] and self.tags[k] in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading[k] = k if here else heading[k + 1]
         for node in articles:
-            if self._is_teaser(node, size, links):
+            first = heading[node + 1]
+            # A heading that is a link, with a few words.
+            announces = first < self.ends[node] and links[first] == size[first] and size[node] <= 10 * size[first]
+            if announces or node in self.teasers or 2 * links[node] > size[node]:
                 teasers.append(node)
             elif size[node] > largest:
                 largest, whole = size[node], node
         for node in teasers:
-            if size[node] < largest and not node < whole < self.ends[node]:
+            if not out[node] and size[node] < largest and not node < whole < self.ends[node]:
                 out[node : self.ends[node]] = [True] * (self.ends[node] - node)
 
-    def _is_teaser(self, node: int, size: list[int], links: list[int]) -> bool:
-        if node in self.teasers or 2 * links[node] > size[node]:
-            return True
-        for k in range(node + 1, self.ends[node]):
-            if self.tags[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and size[k]:
-                # A heading that is a link, with a few words.
-                return links[k] == size[k] and size[node] <= 10 * size[k]
-        return False
-
     def _title_heading(self) -> int:
         """The heading in a page header that begins the document's title, or 0."""
         heads = [k for k, tag in enumerate(self.tags) if tag == "h1"]

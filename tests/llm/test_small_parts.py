@@ -245,6 +245,6 @@ def test_main_text_of_odd_pages():
         html_text.main_text(whole[:end])
 
 
-@pytest.mark.parametrize("part", ["<b>", "<p>", "<div>", "<li>", "<a href='", "x<br>", "<tr><td>", "</x>", '<a "', "<!--", "<ul><li>"])
+@pytest.mark.parametrize("part", ["<b>", "<p>", "<div>", "<li>", "<a href='", "x<br>", "<tr><td>", "</x>", '<a "', "<!--", "<ul><li>", "<article>", "<article><h2><a>x"])
 def test_main_text_of_malformed_pages_is_fast(part):
     html_text.main_text(part * 50_000 + "end")
