@@ -15,7 +15,8 @@ rows is split like any other. A single document larger than the limit is a shard
 ``oversized`` true: documents are never cut.
 
 Defined cases: a null text has no bytes, a null key is a key. An empty table gives no shards.
-Other columns are not read by the directory and stay with their rows when shards are written.
+Other columns are not read by the directory and stay with their rows when ``write_shards`` writes
+shards, which has a folder of its own for each; a column that has the name of the folders keeps it.
 """
 
 import math
@@ -23,19 +24,20 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from contentloom.llm.texts import bits_of
-from contentloom.session import stage
+from contentloom.session import remove_stages, stage, staged
 
 BITS = 128
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged ``id``, ``bytes`` of the text, and the two halves of the hash."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """Staged ``id``, ``bytes`` of the text, the two halves of the hash, and ``row`` if it is given."""
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("bytes"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
     )
-    return stage(rows.select("id", "bytes", F.xxhash64("id").alias("high"), F.xxhash64("row").alias("low")), "keys")
+    given = [] if row is None else ["row"]
+    return stage(rows.select("id", "bytes", F.xxhash64("id").alias("high"), F.xxhash64("row").alias("low"), *given), "keys")
 
 
 def hash_bits() -> Column:
@@ -101,3 +103,31 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
         shards["bytes"].alias("shard_bytes"),
         "oversized",
     )
+
+
+def write_shards(
+    docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", folder_col: str = "shard"
+) -> DataFrame:
+    """Write all columns of all rows as Parquet, one file for each shard, in a folder
+    ``shard=b<prefix>`` of its own (``b`` keeps prefixes text, and names that of the only shard).
+    Returns ``prefix``, ``depth``, ``docs``, ``bytes`` and ``oversized`` of each shard.
+
+    Rows are numbered in a written copy, so a task that is repeated finds the same numbers. Narrow rows
+    find their shard; texts move twice, to their shard's name and to their shard. A task writes one
+    shard after the other and holds a batch of rows of one. Files of an earlier call are replaced.
+    An empty table writes no shard.
+    """
+    there = set(staged())
+    while folder_col.lower() in (c.lower() for c in docs.columns):
+        folder_col += "_"
+    numbered = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    keys = keyed(numbered, f"doc.`{id_col}`", f"doc.`{text_col}`", F.col("row"))
+    shards = stage(directory(keys, limit), "directory")
+    names = assign(keys, shards).select("row", F.concat(F.lit("b"), "prefix").alias("name"))
+    placed = numbered.join(names, "row").select("doc", "name")
+    # As many tasks as hold a few shards each.
+    tasks = min(max(shards.count(), 1), 20_000)
+    rows = placed.repartition(tasks, "name").select("doc.*", F.col("name").alias(folder_col))
+    rows.write.mode("overwrite").partitionBy(folder_col).parquet(path)
+    remove_stages(docs.sparkSession, [p for p in staged() if p not in there and "/directory-" not in p])
+    return shards

@@ -168,6 +168,26 @@ def test_shards_of_one_key(spark):
     assert len(rows) == 300 and all(r.shard_bytes <= 100 and r.depth > 64 for r in rows)
 
 
+@pytest.mark.parametrize("limit", [40, 10_000_000])
+def test_written_shards(spark, docs, nothing, tmp_path, limit):
+    path = str(tmp_path / "shards")
+    hot = spark.range(200).select(F.lit(5).alias("doc_id"), F.concat(F.lit("x" * 9), "id").alias("text"))
+    rows = docs.unionByName(hot, allowMissingColumns=True).withColumn("shard", F.lit("mine"))
+    for _ in range(2):  # written again, nothing is there twice
+        shards = {r.prefix: r for r in sharding.write_shards(rows, path, limit).collect()}
+    written = spark.read.parquet(path)
+    assert rows_of(written.drop("shard_").select(rows.columns)) == rows_of(rows)
+    files = {}
+    for r in written.select("text", "shard_", F.input_file_name().alias("file")).collect():
+        files.setdefault((r["shard_"], r.file), []).append(len((r.text or "").encode()))
+    assert sorted(f[0] for f in files) == sorted("b" + p for p in shards)  # one file for each shard
+    for (name, _), sizes in files.items():
+        shard = shards[name[1:]]
+        assert (sum(sizes), len(sizes)) == (shard.bytes, shard.docs)
+        assert sum(sizes) <= limit or (len(sizes) == 1 and shard.oversized)
+    assert sharding.write_shards(nothing, path, limit).count() == 0
+
+
 def test_extract(spark):
     pages = [(1, "u", "<article><p>a</article>", "x"), (2, None, None, "x"), (None, "v", "", "x"), (1, "u", "<article><p>a</article>", "x")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
