@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from contentloom.functions.urls import is_article_url, url_key
-from contentloom.operators.skew import skew_join
+from contentloom.operators.skew import settled_join
 
 
 def discover(sources: DataFrame, facts: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def discover(sources: DataFrame, facts: DataFrame) -> DataFrame:
     own = F.expr(is_article_url("source"))
     itself = F.array("source")
     articles = sources.where(own).withColumn("found", itself)
-    hubs = skew_join(
+    hubs = settled_join(
         sources.where(~own).withColumn("url_key", F.expr(url_key("source"))),
         facts.select("url_key", "links"),
         "url_key",
@@ -31,7 +31,7 @@ def discover(sources: DataFrame, facts: DataFrame) -> DataFrame:
 def fetch(links: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     """Links with the wanted columns of their page; ``fetched`` is false where there is none."""
     found = facts.select("url_key", F.col("readable").alias("fetched"), *columns)
-    joined = skew_join(links, found, "url_key", "left")
+    joined = settled_join(links, found, "url_key", "left")
     return joined.withColumn("fetched", F.coalesce("fetched", F.lit(False)))
 
 

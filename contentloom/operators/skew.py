@@ -35,9 +35,28 @@ def skew_join(
     lookup row is repeated. ``how`` is ``inner`` or ``left``. ``rows`` is read twice, so it should be
     cheap to read or staged.
     """
+    return _salted_join(rows, lookup, key, how, spread, hot_keys(rows, key, parts))
+
+
+def settled_join(
+    rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", spread: Column | None = None, parts: int | None = None
+) -> DataFrame:
+    """``skew_join`` for plans that are built in steps: the hot keys are counted at once, by a job that
+    reads the keys of ``rows`` only, and stand in the plan as constants (there are fewer than
+    ``parts``). So ``rows`` and ``lookup`` are each in the plan once, however often the result is
+    read, and where no key is hot the join is a plain one. ``rows`` should be a table.
+    """
+    found = hot_keys(rows, key, parts).collect()
+    if not found:
+        return rows.join(lookup, key, how)
+    known = F.array(*(F.struct(F.lit(k).alias("hot_key"), F.lit(n).alias("salts")) for k, n in found))
+    return _salted_join(rows, lookup, key, how, spread, rows.sparkSession.range(1).select(F.inline(known)))
+
+
+def _salted_join(rows: DataFrame, lookup: DataFrame, key: str, how: str, spread: Column | None, hot: DataFrame) -> DataFrame:
     taken = {*rows.columns, *lookup.columns}
     hot_key, salts, salt = (unused_name(taken, n) for n in ("hot_key", "salts", "salt"))
-    hot = F.broadcast(hot_keys(rows, key, parts).toDF(hot_key, salts))
+    hot = F.broadcast(hot.toDF(hot_key, salts))
     spread = F.xxhash64(*rows.columns) if spread is None else spread
     plain = F.col(hot_key).isNull()
     salted = (

@@ -17,7 +17,7 @@ from contentloom.sources.files import book_items, generic_items, transcript_item
 from contentloom.sources.pages import met_pages, page_nodes
 from contentloom.sources.reddit import met_threads, thread_items
 from contentloom.functions.urls import url_key
-from contentloom.operators.skew import numbered, skew_join
+from contentloom.operators.skew import numbered, settled_join
 
 
 @dataclass
@@ -56,7 +56,7 @@ def _file_parts(sources: DataFrame, texts: DataFrame, make, key: str) -> Parts:
     if key == "path":
         wanted = wanted.groupBy("path").agg(F.min("text").alias("text"))
     stored = wanted.select(key).distinct().join(make(wanted).withColumn("made", F.lit(True)), key, "left")
-    met = skew_join(own, stage(stored.withColumn("made", F.coalesce("made", F.lit(False))), "texts"), key, "left")
+    met = settled_join(own, stage(stored.withColumn("made", F.coalesce("made", F.lit(False))), "texts"), key, "left")
     items = met.where("made").withColumn("page_seq", F.lit(0)).withColumn("item_seq", F.lit(0))
     lost = _no_item(met.where(F.col("made").isNull()), "file", "not stored").unionByName(
         _no_item(met.where(~F.col("made")), "file", "not UTF-8")
@@ -89,11 +89,11 @@ def _drive_parts(sources: DataFrame, store: Store) -> Parts:
     links = stage(first_names(exploded_links(read), ["url_key"]), "drive-links")
     named = links.where(~F.col("name").contains("/"))
     books = stage(drive_items(named, store.drive_pages), "books")
-    items = skew_join(own, books, "url_key")
-    fetched = skew_join(own, read.select("url_key", F.size("links").alias("n")), "url_key", "left")
+    items = settled_join(own, books, "url_key")
+    fetched = settled_join(own, read.select("url_key", F.size("links").alias("n")), "url_key", "left")
     lost_links = links.join(books.select("url_key", F.col("source_url").alias("url")), ["url_key", "url"], "left_anti")
     reason = F.when(F.col("name").contains("/"), "name with a slash").otherwise("not stored")
-    met_links = skew_join(own, links.withColumn("reason", reason).join(lost_links.select("url_key", "url"), ["url_key", "url"], "left_semi"), "url_key")
+    met_links = settled_join(own, links.withColumn("reason", reason).join(lost_links.select("url_key", "url"), ["url_key", "url"], "left_semi"), "url_key")
     lost = (
         _no_item(fetched.where(F.col("n").isNull()), "listing", "not fetched")
         .unionByName(_no_item(fetched.where("n = 0"), "listing", "no files"))
@@ -203,11 +203,11 @@ def _finished(judged: DataFrame) -> DataFrame:
 def run_all(sources: DataFrame, store: Store, routes: Routes | None = None, unescape: bool = True) -> Run:
     """A manifest routed, extracted, limited, typed and without empty items.
 
-    Stage tables (facts of met pages, links between hops, items with a limit) are written while the
-    plan is built; ``session.remove_stages`` deletes them once the results are.
+    Stage tables (routed sources, facts of met pages, links between hops, items with a limit) are
+    written while the plan is built; ``session.remove_stages`` deletes them once the results are.
     """
     spark, routes = sources.sparkSession, routes or Routes()
-    routed = routes.apply(with_run(sources))
+    routed = stage(routes.apply(with_run(sources)), "routed")  # each route reads its sources several times
     names, limited = _present(routed)
     parts, lost = route_parts(routed, names, store, routes, unescape)
     judged = _union(parts, spark, FOUND).withColumn("within", F.lit(True))

@@ -6,7 +6,7 @@ from contentloom.functions.elements import plain_text, select, text_within
 from contentloom.functions.sql import bind, group, q
 from contentloom.functions.text import WS, file_title, strip, text_to_markdown
 from contentloom.functions.urls import drive_download_url
-from contentloom.operators.skew import skew_join
+from contentloom.operators.skew import settled_join
 from contentloom.schemas import item_columns
 from contentloom.sources.files import book_texts
 
@@ -79,7 +79,7 @@ def drive_items(links: DataFrame, page_texts: DataFrame) -> DataFrame:
     # Rules run once per book, not once per link to it.
     books = books.selectExpr("url", f"{text_to_markdown('text')} AS text")
     local = "concat('_gdrive_', translate(name, ' ', '_'))"
-    found = skew_join(links.where(~F.col("name").contains("/")), books, "url")
+    found = settled_join(links.where(~F.col("name").contains("/")), books, "url")
     kept = [c for c in links.columns if c not in ("url", "name", "pos")]
     return found.select(
         *kept,

@@ -6,7 +6,7 @@ from contentloom.functions.markdown import markdown
 from contentloom.functions.text import decode_entities
 from contentloom.functions.urls import reddit_json_url
 from contentloom.operators.dom import dom_nodes
-from contentloom.operators.skew import skew_join
+from contentloom.operators.skew import settled_join
 from contentloom.schemas import item_columns
 from contentloom.session import stage
 
@@ -76,7 +76,7 @@ def met_threads(sources: DataFrame, threads: DataFrame, unescape: bool = True) -
     rendered = _rendered(first, unescape).withColumn("found", F.lit(True))
     stored = met.select("json_url").distinct().join(rendered, "json_url", "left")
     stored = stored.withColumn("found", F.coalesce("found", F.lit(False)))
-    return skew_join(wanted, stage(stored, "threads"), "json_url", "left")
+    return settled_join(wanted, stage(stored, "threads"), "json_url", "left")
 
 
 def reddit_items(sources: DataFrame, threads: DataFrame, unescape: bool = True) -> DataFrame:

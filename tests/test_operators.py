@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from contentloom.operators.items import finish_items, limit_items, run_summary, within_limit
-from contentloom.operators.skew import group_rank, hot_keys, in_order, skew_join
+from contentloom.operators.skew import group_rank, hot_keys, in_order, settled_join, skew_join
 from contentloom.sources.pages import one_per_key
 from suite.base import expr
 
@@ -109,8 +109,27 @@ def test_skew_join_equals_a_plain_join(spark):
     for how in ("inner", "left"):
         for parts in (None, 1000):
             want = sorted(map(tuple, rows.join(lookup, "k", how).select("id", "k", "v").collect()), key=str)
-            got = sorted(map(tuple, skew_join(rows, lookup, "k", how, parts=parts).select("id", "k", "v").collect()), key=str)
-            assert got == want
+            for join in (skew_join, settled_join):
+                met = join(rows, lookup, "k", how, parts=parts)
+                assert met.columns == ["k", "id", "v"]
+                assert sorted(map(tuple, met.select("id", "k", "v").collect()), key=str) == want
+
+
+def test_settled_join_reads_each_side_once(spark, tmp_path):
+    spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k").write.parquet(f"{tmp_path}/rows")
+    spark.range(-1, 3000).selectExpr("id AS k", "id * 2 AS v").write.parquet(f"{tmp_path}/lookup")
+    rows, lookup = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("rows", "lookup"))
+    # One hot key is salted; without one the join is plain.
+    for part, salted in ((rows, True), (rows.where("k >= 0"), False), (rows.where("id < 0"), False)):
+        met = settled_join(part, lookup, "k", "left")
+        plan = met._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == 2
+        assert ("salt" in plan) == salted
+        assert met.where("v = 2 * k").count() == met.count() == part.count()
+    nulls = rows.selectExpr("id", "CASE WHEN id % 2 = 0 THEN k END AS k")
+    assert settled_join(nulls, lookup, "k", "left").where("k IS NULL AND v IS NULL").count() == 1500
+    quoted = rows.select("id", F.concat(F.lit("it's \\ \""), "k").alias("k"))
+    assert settled_join(quoted, quoted.groupBy("k").count(), "k").count() == 3000
 
 
 def test_salts_follow_a_key_s_share(spark):
