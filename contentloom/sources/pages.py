@@ -18,18 +18,24 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.selectExpr("page_id", "url", f"{url_key('url')} AS url_key", "html")
 
 
-#: Setting of the session: tasks of the parse. Unset, a scan is parsed as it is split, without a
-#: shuffle; spark.sql.files.maxPartitionBytes says how. Set it where a small table is one file.
+#: Setting of the session: tasks of the parse; spark.sql.shuffle.partitions if unset.
 PARSE_TASKS = "spark.contentloom.parse.tasks"
 
 
+def dealt(pages: DataFrame, *keys: str) -> DataFrame:
+    """Pages over the tasks of the parse, by the hash of ``keys``.
+
+    A scan is split by its bytes, which say little of the work: a page costs a hundred times what its
+    packed bytes cost to read, so a small file would be one task, and a large one a few long ones.
+    """
+    conf = pages.sparkSession.conf
+    return pages.repartition(int(conf.get(PARSE_TASKS, None) or conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
     """Events of each page, and its elements, beside the columns ``keep``."""
     rows = pages.select(*keep, "html")
-    tasks = pages.sparkSession.conf.get(PARSE_TASKS, None)
-    if tasks:
-        rows = rows.repartition(int(tasks))
-    return dom_nodes(rows).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
+    return dom_nodes(dealt(rows, *keep)).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
 
 
 def _facts() -> dict[str, str]:

@@ -3,9 +3,10 @@
 from types import SimpleNamespace
 
 import pyarrow as pa
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from contentloom.operators import dom
+from contentloom.sources.pages import PARSE_TASKS, page_nodes
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())])
 
@@ -34,3 +35,16 @@ def test_batches_without_pages_or_events():
     assert nodes[0] is None and nodes[1] == [] and [e["tag"] for e in nodes[2]] == ["p", "#text", "/p"]
     assert nodes[3:] == [None] * 5000
     assert sum(b.num_rows for b in given) == 5003
+
+
+def test_pages_of_one_small_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS page_id", "concat('<p>', id) AS html").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    setting = spark.conf.get(PARSE_TASKS)
+    spark.conf.unset(PARSE_TASKS)
+    try:
+        nodes = page_nodes(spark.read.parquet(str(tmp_path / "pages")), "page_id")
+        tasks = nodes.select(F.spark_partition_id().alias("task"), "page_id", F.size("nodes").alias("n")).collect()
+    finally:
+        spark.conf.set(PARSE_TASKS, setting)
+    assert sorted(r.page_id for r in tasks) == list(range(2000)) and {r.n for r in tasks} == {3}
+    assert len({r.task for r in tasks}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
