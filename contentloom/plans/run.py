@@ -83,7 +83,7 @@ def _drive_parts(sources: DataFrame, store: Store) -> Parts:
     # A source may name the folder in its fragment only, so its key decides and not its address.
     # Keys are narrow; of the crawl, only the listings themselves go through the join.
     wanted = met_pages(store.pages, stage(own.select("url_key").distinct(), "wanted-keys"))
-    listings = page_nodes(wanted, "url_key")
+    listings = page_nodes(wanted, "url_key", deal=False)
     # Links are found and made unique once per listing, then handed to its sources.
     read = stage(listings.select("url_key", F.expr(listing_arrays()).alias("links")), "listings")
     links = stage(first_names(exploded_links(read), ["url_key"]), "drive-links")

@@ -23,7 +23,7 @@ class Crawl:
         flags = tuple(c for c in keys.columns if c != "url_key")
         once = keys.groupBy("url_key").agg(*(F.bool_or(c).alias(c) for c in flags)) if flags else keys.distinct()
         wanted = stage(once, "wanted-keys")
-        facts = page_facts(met_pages(self.pages, wanted), *names, keep=flags, only=only)
+        facts = page_facts(met_pages(self.pages, wanted), *names, keep=flags, only=only, deal=False)
         return stage(facts.drop(*flags), "page-facts")
 
 

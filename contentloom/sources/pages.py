@@ -32,10 +32,11 @@ def dealt(pages: DataFrame, *keys: str) -> DataFrame:
     return pages.repartition(int(conf.get(PARSE_TASKS, None) or conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def page_nodes(pages: DataFrame, *keep: str) -> DataFrame:
-    """Events of each page, and its elements, beside the columns ``keep``."""
+def page_nodes(pages: DataFrame, *keep: str, deal: bool = True) -> DataFrame:
+    """Events of each page, and its elements, beside the columns ``keep``. ``deal`` is false for pages
+    that are ``dealt`` already."""
     rows = pages.select(*keep, "html")
-    return dom_nodes(dealt(rows, *keep)).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
+    return dom_nodes(dealt(rows, *keep) if deal else rows).selectExpr(*keep, "nodes", f"{ELEMENTS} AS elements")
 
 
 def _facts() -> dict[str, str]:
@@ -61,18 +62,20 @@ def _facts() -> dict[str, str]:
 RENDERED = ("article", "main", "post")
 
 
-def page_facts(pages: DataFrame, *names: str, keep: tuple[str, ...] = (), only: dict[str, str] | None = None) -> DataFrame:
+def page_facts(
+    pages: DataFrame, *names: str, keep: tuple[str, ...] = (), only: dict[str, str] | None = None, deal: bool = True
+) -> DataFrame:
     """``page_id``, ``url_key``, ``readable``, the columns ``keep`` and the facts named, from one parse.
 
     ``only`` gives a condition for a form of the text, over the other facts and kept columns;
-    pages that do not meet it are not rendered in this form.
+    pages that do not meet it are not rendered in this form. ``deal`` is that of ``page_nodes``.
     """
     facts, only = _facts(), only or {}
     first = [n for n in facts if n == "readable" or n in names and n not in RENDERED]
     forms = [n for n in RENDERED if n in names]
     base = ["page_id", "url_key", *keep]
     # What several columns are made of comes first, so that it is worked out once.
-    shared = page_nodes(pages, "page_id", "url", "url_key", *keep)
+    shared = page_nodes(pages, "page_id", "url", "url_key", *keep, deal=deal)
     if {"links", "rendered_links"} & set(first):
         shared = shared.selectExpr("*", f"{P.anchors()} AS anchors")
     told = shared.selectExpr(*base, "nodes", "elements", *(f"{facts[n]} AS {n}" for n in first))
@@ -90,6 +93,8 @@ def met_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
     that was crawled twice the page with the lowest id. ``keys`` should be a table.
 
     Pages of other URLs are left out by a filter in the scan, first of the ids, then of the pages.
+    The others are ``dealt``, which is the exchange that the hash join asks for: pages move once and
+    are not sorted. Were one side sent to all tasks instead, those of the other side would parse.
     """
     wanted = KeyFilter(keys, "url_key")
     ids = (
@@ -98,7 +103,7 @@ def met_pages(pages: DataFrame, keys: DataFrame) -> DataFrame:
         .groupBy(*keys.columns)
         .agg(F.min("page_id").alias("page_id"))
     )
-    return wanted.maybe_wanted(pages).join(ids, ["url_key", "page_id"])
+    return dealt(wanted.maybe_wanted(pages), "url_key", "page_id").join(ids.hint("shuffle_hash"), ["url_key", "page_id"])
 
 
 def article_markdown(date: str) -> str:

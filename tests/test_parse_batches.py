@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from contentloom.operators import dom
-from contentloom.sources.pages import PARSE_TASKS, page_nodes
+from contentloom.sources.pages import PARSE_TASKS, met_pages, page_facts, page_nodes
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())])
 
@@ -48,3 +48,19 @@ def test_pages_of_one_small_file_are_parsed_by_many_tasks(spark, tmp_path):
         spark.conf.set(PARSE_TASKS, setting)
     assert sorted(r.page_id for r in tasks) == list(range(2000)) and {r.n for r in tasks} == {3}
     assert len({r.task for r in tasks}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_met_pages_of_one_small_file_are_parsed_by_many_tasks(spark, tmp_path):
+    url = "concat('https://x.io/', id % 1900)"
+    crawl = spark.range(2000).selectExpr("id AS page_id", f"{url} AS url", f"{url} AS url_key", "concat('<p>', id) AS html")
+    crawl.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    spark.range(1000, 1900).selectExpr(f"{url} AS url_key").write.parquet(str(tmp_path / "keys"))
+    setting = spark.conf.get(PARSE_TASKS)
+    spark.conf.unset(PARSE_TASKS)
+    try:
+        met = met_pages(spark.read.parquet(str(tmp_path / "pages")), spark.read.parquet(str(tmp_path / "keys")))
+        facts = page_facts(met, "h1", deal=False).select(F.spark_partition_id().alias("task"), "page_id").collect()
+    finally:
+        spark.conf.set(PARSE_TASKS, setting)
+    assert sorted(r.page_id for r in facts) == list(range(1000, 1900))
+    assert len({r.task for r in facts}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
