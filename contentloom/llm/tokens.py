@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from contentloom.llm.texts import in_batches, narrow
 
 KEPT_WORDS = 300_000
-#: Bytes of text whose words are numbered together: more of them share a look-up, at some 16 bytes a word.
+#: Bytes of text whose words are numbered together; the more, the fewer look-ups.
 NUMBERED_BYTES = 8_000_000
 
 
