@@ -85,25 +85,36 @@ def pivot_table(values: np.ndarray) -> np.ndarray:
     return np.bitwise_count(values[None, :] ^ PIVOTS[:, None]).astype(np.int8)
 
 
-def near_pairs(values: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which of the pairs (places in ``values``) are within the radius."""
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints of one word each, or of a row of words each."""
+    bits = np.bitwise_count(a ^ b)
+    return bits if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int16)
+
+
+def untold_pairs(table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs no pivot tells apart."""
     at = np.arange(len(a))
     for distances in table:
         if not len(at):
             break
         at = at[np.abs(distances[a[at]] - distances[b[at]]) <= radius]
-    return at[np.bitwise_count(values[a[at]] ^ values[b[at]]) <= radius]
+    return at
 
 
-def group_links(values: np.ndarray, radius: int = 3) -> np.ndarray:
-    """Links (pairs of fingerprints) that connect what is within the radius, for one bucket.
+def near_pairs(values: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs (places in ``values``) are within the radius."""
+    at = untold_pairs(table, a, b, radius)
+    return at[apart(values[a[at]], values[b[at]]) <= radius]
+
+
+def group_places(values: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """Pairs of places in ``values`` that connect what is within the radius, for one bucket.
 
     Groups grow from a fingerprint to all that are near it and not yet in a group, so a dense
     group is soon used up and costs no more than its members.
     """
-    order = np.argsort(np.bitwise_count(values ^ PIVOTS[0]), kind="stable")
-    values = values[order]
-    table = pivot_table(values)
+    order = np.argsort(table[0], kind="stable")
+    values, table = values[order], table[:, order]
     free, links = np.arange(len(values)), []
     while len(free) > 1:
         todo, free = [int(free[0])], free[1:]
@@ -114,28 +125,47 @@ def group_links(values: np.ndarray, radius: int = 3) -> np.ndarray:
             stretch = free[low:high]
             hit = near_pairs(values, table[1:], np.full(len(stretch), x), stretch, radius)
             if len(hit):
-                links.append(np.stack([np.full(len(hit), values[x]), values[stretch[hit]]], axis=1))
+                links.append(np.stack([np.full(len(hit), x), stretch[hit]], axis=1))
                 todo += stretch[hit].tolist()
                 free = np.delete(free, low + hit)
-    return np.concatenate(links) if links else np.zeros((0, 2), np.uint64)
+    return order[np.concatenate(links)] if links else np.zeros((0, 2), np.int64)
 
 
-def _links_of_cells(cells: np.ndarray, values: np.ndarray, radius: int, small: int = 48) -> np.ndarray:
-    """Links within each run of equal cell numbers."""
-    starts = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+def group_links(values: np.ndarray, radius: int = 3) -> np.ndarray:
+    """Links (pairs of fingerprints) that connect what is within the radius, for one bucket."""
+    return values[group_places(values, pivot_table(values), radius)]
+
+
+def cell_starts(cells: np.ndarray) -> np.ndarray:
+    """Where each run of equal cell numbers starts."""
+    return np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+
+
+def places_of_cells(cells: np.ndarray, values: np.ndarray, radius: int, table_of, small: int = 48) -> np.ndarray:
+    """Pairs of places that connect what is within the radius in each run of equal cell numbers;
+    ``table_of`` gives the pivot table of such cells and values."""
+    starts = cell_starts(cells)
     sizes = np.diff(np.append(starts, len(cells)))
-    found = [group_links(values[s : s + n], radius) for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True)]
-    keep = np.repeat((sizes > 1) & (sizes <= small), sizes)
-    cells, values = cells[keep], values[keep]
+    found = []
+    for s, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
+        now = slice(s, s + n)
+        found.append(s + group_places(values[now], table_of(cells[now], values[now]), radius))
+    kept = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
+    cells, values = cells[kept], values[kept]
     if len(values):
-        table = pivot_table(values)
+        table = table_of(cells, values)
         for step in range(1, min(small, len(values))):
             a = np.flatnonzero(cells[:-step] == cells[step:])
             if not len(a):
                 break
             hit = a[near_pairs(values, table, a, a + step, radius)]
-            found.append(np.stack([values[hit], values[hit + step]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+            found.append(kept[np.stack([hit, hit + step], axis=1)])
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _links_of_cells(cells: np.ndarray, values: np.ndarray, radius: int, small: int = 48) -> np.ndarray:
+    """Links within each run of equal cell numbers."""
+    return values[places_of_cells(cells, values, radius, lambda _, now: pivot_table(now), small)]
 
 
 def _whole_cells(batches):

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from contentloom.llm import near_copies
+from contentloom.llm import near_copies, simhash
 
 DATA = "/root/testdata/sf0.01"
 
@@ -92,3 +92,78 @@ def test_set_links_connect_all():
             if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
         ]
         assert labels(near_copies.set_links(np.arange(len(sets)), sets, 0.8)) == labels(near_pairs)
+
+
+@pytest.mark.parametrize(
+    "numbers",
+    [
+        # Of 64 bits 33, 31 and 30 differed, beyond a radius of 28.
+        [990, 3226, 3589, 395, 2003, 3925, 4587, 4519, 2836],
+        [3050, 1768, 510, 3309, 1497, 4643, 2680, 4093, 3776],
+        [4833, 4994, 4995, 2872, 3624, 315, 102, 457, 4349],
+        # No key of 32 was in common, each of four minima.
+        [1629, 4351, 4463, 2875, 4891, 3964, 1431, 3485, 2909],
+        [3725, 4703, 4232, 991, 1146, 3941, 3269, 2482, 4968],
+        [3047, 26, 2578, 2451, 732, 2545, 1996, 2192, 1982],
+    ],
+)
+def test_short_texts_at_the_least_similarity_are_compared(numbers):
+    """Texts of four and five shingles, four in common, are candidates: a key is met, and the radius."""
+    words = [str(n) for n in numbers]
+    a, b = (near_copies.shingle_set(" ".join(words[:n]).encode()) for n in (8, 9))
+    assert len(np.intersect1d(a, b)) == 0.8 * len(np.union1d(a, b))
+    assert (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
+    prints = np.stack([np.frombuffer(near_copies.fingerprint(x), np.uint64) for x in (a, b)])
+    assert simhash.apart(prints[:1], prints[1:])[0] <= near_copies.RADIUS
+
+
+def test_short_texts_at_the_least_similarity_are_copies(spark):
+    cases = [[990, 3226, 3589, 395, 2003, 3925, 4587, 4519, 2836], [1629, 4351, 4463, 2875, 4891, 3964, 1431, 3485, 2909]]
+    rows = [(2 * k + n, " ".join(str(x) for x in case[: 8 + n])) for k, case in enumerate(cases) for n in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [0, 2]
+
+
+def test_pivots_of_a_bucket_discard():
+    """Of pairs of unrelated texts in a bucket, its pivots tell most apart, and no pair within the radius."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 2**63, 200, dtype=np.uint64)
+        sets += [np.append(base[rng.permutation(200)[:185]], rng.integers(0, 2**63, 5, dtype=np.uint64)) for _ in range(30)]
+    order = rng.permutation(len(sets))
+    prints = np.stack([np.frombuffer(near_copies.fingerprint(sets[i]), np.uint64) for i in order])
+    groups = order // 30
+    a, b = np.triu_indices(len(sets), 1)
+    table = near_copies.own_pivots(np.zeros(len(sets), np.int64), prints)
+    untold = np.zeros(len(a), bool)
+    untold[simhash.untold_pairs(table, a, b, near_copies.RADIUS)] = True
+    near = simhash.apart(prints[a], prints[b]) <= near_copies.RADIUS
+    assert untold[near].all() and near[groups[a] == groups[b]].all() and not near[groups[a] != groups[b]].any()
+    assert untold[groups[a] != groups[b]].mean() < 0.05
+
+
+def test_cells_are_linked_by_their_own_pivots():
+    """Cells of all sizes, in few and many steps, against every pair of each cell."""
+    rng = np.random.default_rng(8)
+    cells, prints = [], []
+    for cell, n in enumerate([1, 2, 3, 0, 47, 48, 49, 120]):
+        bases = [rng.integers(0, 2, near_copies.BITS, dtype=np.uint8) for _ in range(1 + n // 5)]
+        for _ in range(n):
+            flips = rng.random(near_copies.BITS) < rng.choice([0.02, 0.15, 0.25])
+            prints.append(np.packbits(bases[rng.integers(len(bases))] ^ flips, bitorder="little").view("<u8"))
+            cells.append(cell)
+    cells, prints = np.array(cells), np.stack(prints)
+
+    def labels(pairs):
+        own = list(range(len(cells)))
+        for a, b in pairs:
+            own = [own[b] if x == own[a] else x for x in own]
+        return [own.index(x) for x in own]
+
+    for radius in (20, 100, near_copies.RADIUS):
+        found = simhash.places_of_cells(cells, prints, radius, lambda c, p, r=radius: near_copies.own_pivots(c, p, r))
+        a, b = np.triu_indices(len(cells), 1)
+        near_now = (cells[a] == cells[b]) & (simhash.apart(prints[a], prints[b]) <= radius)
+        assert (cells[found[:, 0]] == cells[found[:, 1]]).all()
+        assert labels(found.tolist()) == labels(zip(a[near_now].tolist(), b[near_now].tolist(), strict=True))
